@@ -128,7 +128,7 @@ extracts AS (
          CAST(doc_id % 20 AS INTEGER) AS main_topic, title,
          TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INTEGER)) AS extracted_at,
          array_to_string(list_sort(list_distinct(list_filter(string_split(content, ' '),
-             w -> regexp_full_match(w, '[A-Z][a-z]+')))), ',') AS ner
+             lambda w: regexp_full_match(w, '[A-Z][a-z]+')))), ',') AS ner
   FROM ex1)"""
 
 FEED_POLLS = """feed_polls AS (
@@ -158,9 +158,9 @@ TOKEN_SEP = r"[\s!-,./:-@\[-^`{-~]+"
 def clean_tokens_sql(text: str) -> str:
     """H3-H5 in DuckDB: same separators, stop words, strip and filter."""
     toks = f"string_split_regex(replace(lower({text}), 'n''t', ' '), '{TOKEN_SEP}')"
-    kept = f"list_filter({toks}, t -> NOT list_contains({STOP_SQL}, t))"
-    stripped = f"list_transform({kept}, t -> regexp_replace(t, '\\W+', '', 'g'))"
-    return f"list_filter({stripped}, t -> regexp_full_match(t, '[a-z]{{3,}}'))"
+    kept = f"list_filter({toks}, lambda t: NOT list_contains({STOP_SQL}, t))"
+    stripped = f"list_transform({kept}, lambda t: regexp_replace(t, '\\W+', '', 'g'))"
+    return f"list_filter({stripped}, lambda t: regexp_full_match(t, '[a-z]{{3,}}'))"
 
 
 TOPIC_TERMS = f"""tt0 AS (

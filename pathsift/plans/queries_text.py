@@ -1,5 +1,185 @@
-"""Registered queries."""
+"""Registered queries for groups F5-F11, G and H (documents in)."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import entities, stats, text
+from ..sources import tables as tb
+from . import oracle_views as ov
+from .registry import query
+
+SINCE = "2024-01-15"
+
+
+@query("h1_corpus", f"""WITH {ov.EXTRACTS}
+SELECT extract_id, document_id, content_length FROM extracts
+WHERE (document_id, content_length) IN (SELECT document_id, max(content_length) FROM extracts GROUP BY 1)""")
+def h1_corpus(spark, sf):
+    return text.corpus(tb.extracts(spark, sf)).select("extract_id", "document_id", "content_length")
+
+
+@query("h2_corpus_since", f"""WITH {ov.EXTRACTS}
+SELECT extract_id, document_id, content_length FROM extracts
+WHERE (document_id, content_length) IN (
+  SELECT document_id, max(content_length) FROM extracts WHERE extracted_at >= TIMESTAMP '{SINCE}' GROUP BY 1)""")
+def h2_corpus_since(spark, sf):
+    return text.corpus(tb.extracts(spark, sf), since=SINCE).select("extract_id", "document_id", "content_length")
+
+
+@query("h5_clean_tokens", f"""
+SELECT doc_id AS document_id, token, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT doc_id, unnest({ov.clean_tokens_sql('text')}) AS token FROM documents) GROUP BY ALL""")
+def h5_clean_tokens(spark, sf):
+    d = tb.table(spark, sf, "documents").withColumnRenamed("doc_id", "document_id")
+    t = text.doc_tokens(d, "text")
+    return t.groupBy("document_id", "token").agg(F.count("*").cast("long").alias("n"))
+
+
+VOCAB_SQL = f"""voc0 AS (SELECT doc_id, unnest({ov.clean_tokens_sql('text')}) AS token FROM documents),
+vocab AS (
+  SELECT CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS term_id, token AS term,
+         CAST(count(DISTINCT doc_id) AS BIGINT) AS df
+  FROM voc0 GROUP BY token)"""
+
+
+def _vocab_and_tokens(spark, sf):
+    d = tb.table(spark, sf, "documents").withColumnRenamed("doc_id", "document_id")
+    t = text.doc_tokens(d, "text")
+    return text.vocabulary(t), t
+
+
+@query("h6_vocabulary", f"WITH {VOCAB_SQL} SELECT term_id, term, df FROM vocab")
+def h6_vocabulary(spark, sf):
+    return _vocab_and_tokens(spark, sf)[0]
+
+
+@query("h7_bag_of_words", f"""WITH {VOCAB_SQL}
+SELECT v.doc_id AS document_id, vocab.term_id, CAST(count(*) AS BIGINT) AS n
+FROM voc0 v JOIN vocab ON vocab.term = v.token GROUP BY ALL""")
+def h7_bag_of_words(spark, sf):
+    vocab, t = _vocab_and_tokens(spark, sf)
+    return text.bag_of_words(t, vocab)
+
+
+ISLANDS_SQL = f"""{ov.TOKENS},
+isl0 AS (
+  SELECT doc_id, sent, pos, trim(trim(token, '"'), '''') AS tok,
+         pos - row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) AS grp
+  FROM tokens WHERE tag IN ('PERSON', 'ORGANIZATION')),
+islands AS (
+  SELECT doc_id, sent, CAST(min(pos) AS INTEGER) AS start, string_agg(tok, ' ' ORDER BY pos) AS phrase
+  FROM isl0 GROUP BY doc_id, sent, grp)"""
+
+
+@query("f5_entity_phrases", f"WITH {ISLANDS_SQL} SELECT doc_id, sent, start, phrase FROM islands")
+def f5_entity_phrases(spark, sf):
+    return entities.merge_adjacent(tb.tokens(spark, sf))
+
+
+@query("f6_entities_from_tokens", f"""WITH {ISLANDS_SQL}
+SELECT doc_id, array_to_string(list_sort(list_distinct(list(phrase))), ',') AS ner FROM islands GROUP BY doc_id""")
+def f6_entities_from_tokens(spark, sf):
+    return entities.entities_from_tokens(tb.tokens(spark, sf))
+
+
+GAZ_SQL = f"""{ov.TOKENS}, {ov.GAZETTEER},
+ng0 AS (
+  SELECT doc_id, sent, pos, token,
+         lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3,
+         lead(pos, 1) OVER w AS p1, lead(pos, 2) OVER w AS p2, lead(pos, 3) OVER w AS p3
+  FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)),
+grams AS (
+  SELECT doc_id, sent, pos AS start, 1 AS n, token AS text FROM ng0
+  UNION ALL SELECT doc_id, sent, pos, 2, token || ' ' || t1 FROM ng0 WHERE t1 IS NOT NULL AND p1 = pos + 1
+  UNION ALL SELECT doc_id, sent, pos, 3, token || ' ' || t1 || ' ' || t2 FROM ng0
+    WHERE t2 IS NOT NULL AND p1 = pos + 1 AND p2 = pos + 2
+  UNION ALL SELECT doc_id, sent, pos, 4, token || ' ' || t1 || ' ' || t2 || ' ' || t3 FROM ng0
+    WHERE t3 IS NOT NULL AND p1 = pos + 1 AND p2 = pos + 2 AND p3 = pos + 3),
+hits AS (SELECT g.doc_id, g.sent, g.start, g.n, g.text, z.label FROM grams g JOIN gazetteer z ON z.phrase = g.text),
+mentions AS (
+  SELECT * FROM hits a WHERE NOT EXISTS (
+    SELECT 1 FROM hits b WHERE b.doc_id = a.doc_id AND b.sent = a.sent AND b.start <= a.start
+      AND b.start + b.n >= a.start + a.n AND b.n > a.n))"""
+
+
+def _mentions(spark, sf):
+    return entities.gazetteer_mentions(tb.tokens(spark, sf), tb.gazetteer(spark, sf))
+
+
+@query("f8_gazetteer_mentions", f"""WITH {GAZ_SQL}
+SELECT doc_id, sent, start, CAST(n AS INTEGER) AS n, text, label FROM mentions""")
+def f8_gazetteer_mentions(spark, sf):
+    return _mentions(spark, sf).withColumn("n", F.col("n").cast("int"))
+
+
+@query("f7_entities_from_spans", f"""WITH {GAZ_SQL}
+SELECT doc_id, array_to_string(list_sort(list_distinct(list(trim(trim(text, '"'), '''')))), ',') AS ner
+FROM mentions WHERE label IN ('PERSON', 'ORG', 'WORK_OF_ART', 'PRODUCT') GROUP BY doc_id""")
+def f7_entities_from_spans(spark, sf):
+    return entities.entities_from_spans(_mentions(spark, sf))
+
+
+def _listy(ner):
+    """Stored entity strings in list-literal form: ['A', 'B'] (or [])."""
+    q = F.transform(F.filter(F.split(ner, ","), lambda x: x != ""), lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+    return F.concat(F.lit("["), F.array_join(q, ", "), F.lit("]"))
+
+
+LISTY_SQL = ("'[' || array_to_string(list_transform(list_filter(string_split(ner, ','), lambda x: x <> ''), "
+             "lambda x: '''' || x || ''''), ', ') || ']'")
+
+
+@query("f9_entity_cleanup", f"""WITH {ov.EXTRACTS}, raw AS (SELECT extract_id, {LISTY_SQL} AS ner FROM extracts)
+SELECT extract_id, ner, CASE WHEN length(ner) > 2 THEN array_to_string(list_sort(list_distinct(list_transform(
+  string_split(ner, ','), lambda x: regexp_replace(trim(trim(trim(trim(x, '"'), ''''), '['), ']'), '[''"]', '', 'g')))), ',')
+  ELSE 'No NERs Recognized' END AS ner_clean
+FROM raw WHERE ner LIKE '%[%]'""")
+def f9_entity_cleanup(spark, sf):
+    e = tb.extracts(spark, sf).select("extract_id", _listy(F.col("ner")).alias("ner"))
+    return entities.cleanup_entity_string(e)
+
+
+@query("f10_entity_list", f"""WITH {ov.EXTRACTS}
+SELECT extract_id, list_transform(list_filter(string_split(ner, ','), lambda x: x <> ''),
+  lambda x: trim(trim(x, '"'), '''')) AS ner_list FROM extracts""")
+def f10_entity_list(spark, sf):
+    return entities.parse_entity_list(tb.extracts(spark, sf), "ner", 1).select("extract_id", "ner_list")
+
+
+@query("f11_backfill_length", f"""WITH {ov.EXTRACTS}
+SELECT extract_id, CAST(strlen(content) AS INTEGER) AS content_length FROM extracts""")
+def f11_backfill_length(spark, sf):
+    from ..operators.extract import backfill_length
+    e = tb.extracts(spark, sf).withColumn("content_length", F.lit(None).cast("int"))
+    return backfill_length(e).select("extract_id", "content_length")
+
+
+def _r(c):
+    return F.round(c, 6).alias(c) if isinstance(c, str) else c
+
+
+STAT_SQL_COLS = """CAST(count(content_length) AS BIGINT) AS count, round(avg(content_length), 6) AS mean,
+  round(stddev_samp(content_length), 6) AS std, CAST(min(content_length) AS DOUBLE) AS min, {pcts},
+  CAST(max(content_length) AS DOUBLE) AS max"""
+
+
+def _pct_sql(ps):
+    return ", ".join(f"round(quantile_cont(content_length, {p}), 6) AS p{int(round(p * 100)):02d}" for p in ps)
+
+
+@query("g1_path_length_stats", f"""WITH {ov.EXTRACTS}
+SELECT domain, xpath, {STAT_SQL_COLS.format(pcts=_pct_sql(stats.PATH_PCTS))}
+FROM extracts WHERE content_length IS NOT NULL GROUP BY domain, xpath""")
+def g1_path_length_stats(spark, sf):
+    g = stats.path_length_stats(tb.extracts(spark, sf))
+    return g.select("domain", "xpath", "count", *[_r(c) for c in g.columns[3:]])
+
+
+@query("g2_domain_length_stats", f"""WITH {ov.EXTRACTS}
+SELECT domain, {STAT_SQL_COLS.format(pcts=_pct_sql(stats.DOMAIN_PCTS))}
+FROM extracts WHERE content_length IS NOT NULL GROUP BY domain""")
+def g2_domain_length_stats(spark, sf):
+    e = tb.extracts(spark, sf)
+    g = stats.domain_length_stats(e, e.select("domain"))
+    return g.select("domain", "count", *[_r(c) for c in g.columns[2:]])

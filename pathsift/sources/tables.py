@@ -149,3 +149,32 @@ def lit_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def col_or(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+# --------------------------------------------------------- topic terms (I)
+
+def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View ``topic_terms(topic, term, weight)``: a deterministic stand-in for
+    a topic model -- topic = rank of the document ``source``, term = cleaned
+    token (H3-H5), weight = the term's share of the topic's tokens."""
+    from ..functions.textcols import clean_tokens
+    from ..operators.keys import dense_ids
+    d = table(spark, sf_dir, "documents").select("source", F.explode(clean_tokens(F.col("text"))).alias("term"))
+    c = d.groupBy("source", "term").agg(F.count("*").alias("n"))
+    tot = c.groupBy("source").agg(F.sum("n").alias("tot"))
+    topics = dense_ids(tot.select("source"), "source", "topic", start=-1)
+    return (c.join(tot, "source").join(topics, "source")
+            .select(F.col("topic").cast("int"), "term", (F.col("n") / F.col("tot")).alias("weight")))
+
+
+# Query-word groups (M15) are a parameter of the overlap reports; these
+# groups use frequent cleaned tokens of the driver documents.
+QUERY_WORDS = [("german", "der"), ("german", "und"), ("french", "que"), ("french", "des"),
+               ("english", "ing"), ("english", "heti")]
+
+# Entity-search keywords (the dashboard's search box), frequent capitalised words.
+ENTITY_KEYWORDS = ["Eriner", "Der", "La", "That"]
+
+
+def query_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUERY_WORDS, "key string, word string")
