@@ -63,7 +63,9 @@ def normalized_weights(topic_terms: DataFrame) -> DataFrame:
     total = topic_terms.groupBy("term").agg(F.sum("weight").alias("_tot"))
     n = topic_terms.join(total, "term").withColumn(
         "norm_weight", F.when(F.col("_tot") == 0, F.lit(0.0)).otherwise(F.col("weight") / F.col("_tot")))
-    w = Window.partitionBy("topic").orderBy(F.col("norm_weight").desc(), "term")
+    # rank on the weight rounded to 12 digits: sums taken in a different order
+    # may differ in the last bit, which must not reorder ties
+    w = Window.partitionBy("topic").orderBy(F.round("norm_weight", 12).desc(), "term")
     return n.drop("_tot").withColumn("rank", F.row_number().over(w))
 
 

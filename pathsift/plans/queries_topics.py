@@ -1,5 +1,119 @@
-"""Registered queries."""
+"""Registered queries for the topic reports (I3, I4, I9-I15) on topic_terms."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.constants import STOP_WORDS
+from ..operators import topic_reports as tr
+from ..sources import tables as tb
+from . import oracle_views as ov
+from .registry import query
+
+QW_SQL = "qw AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{w}')" for k, w in tb.QUERY_WORDS) + \
+    ") AS t(key, word))"
+STOP = ov.STOP_SQL
+
+
+def _top_sql(n, weight="weight", src="topic_terms", stop=False):
+    where = f"WHERE NOT list_contains({STOP}, trim(term))" if stop else ""
+    return (f"SELECT topic, trim(term) AS term, {weight} AS weight, row_number() OVER (PARTITION BY topic "
+            f"ORDER BY {weight} DESC, trim(term)) AS rank FROM {src} {where} QUALIFY rank <= {n}")
+
+
+@query("i3_topic_top_terms", f"""WITH {ov.TOPIC_TERMS}, t AS ({_top_sql(20)})
+SELECT topic, term, round(weight, 8) AS weight, CAST(rank AS INTEGER) AS rank FROM t WHERE topic = 0""")
+def i3_topic_top_terms(spark, sf):
+    t = tr.top_terms(tb.topic_terms(spark, sf), 20, topic=0)
+    return t.select("topic", "term", F.round("weight", 8).alias("weight"), "rank")
+
+
+@query("i4_all_topics_top_terms", f"""WITH {ov.TOPIC_TERMS}, t AS ({_top_sql(100)})
+SELECT topic, term, round(weight, 8) AS weight, CAST(rank AS INTEGER) AS rank FROM t""")
+def i4_all_topics_top_terms(spark, sf):
+    t = tr.top_terms(tb.topic_terms(spark, sf), 100)
+    return t.select("topic", "term", F.round("weight", 8).alias("weight"), "rank")
+
+
+@query("i9_cloud_sizes", f"""WITH {ov.TOPIC_TERMS}, t AS ({_top_sql(20)})
+SELECT topic, term, CAST(floor(floor(weight * 1000) / 2) AS BIGINT) AS size FROM t""")
+def i9_cloud_sizes(spark, sf):
+    return tr.cloud_sizes(tr.top_terms(tb.topic_terms(spark, sf), 20))
+
+
+def _overlap_sql(src, weight, n=100):
+    return f"""t AS ({_top_sql(n, weight, src, stop=True)}),
+hit AS (SELECT DISTINCT qw.key, t.topic FROM t JOIN qw ON qw.word = t.term)"""
+
+
+@query("i10_topic_overlaps", f"""WITH {ov.TOPIC_TERMS}, {QW_SQL}, {_overlap_sql('topic_terms', 'weight')}
+SELECT hit.key, hit.topic, string_agg(t.term, ', ' ORDER BY t.rank) AS terms
+FROM hit JOIN t USING (topic) GROUP BY hit.key, hit.topic""")
+def i10_topic_overlaps(spark, sf):
+    return tr.topic_overlaps(tb.topic_terms(spark, sf), tb.query_words(spark))
+
+
+@query("i11_unique_query_terms", f"""WITH {ov.TOPIC_TERMS}, {QW_SQL}, {_overlap_sql('topic_terms', 'weight')}
+SELECT hit.key, array_to_string(list_sort(list_distinct(list(t.term))), ', ') AS terms
+FROM hit JOIN t USING (topic) GROUP BY hit.key""")
+def i11_unique_query_terms(spark, sf):
+    return tr.unique_query_terms(tb.topic_terms(spark, sf), tb.query_words(spark))
+
+
+NORM_SQL = """tot AS (SELECT term, sum(weight) AS s FROM topic_terms GROUP BY term),
+nw AS (SELECT t.topic, t.term, CASE WHEN tot.s = 0 THEN 0.0 ELSE t.weight / tot.s END AS norm_weight
+       FROM topic_terms t JOIN tot USING (term))"""
+
+
+@query("i12_normalized_weights", f"""WITH {ov.TOPIC_TERMS}, {NORM_SQL}
+SELECT topic, term, round(norm_weight, 8) AS norm_weight,
+       CAST(row_number() OVER (PARTITION BY topic ORDER BY round(norm_weight, 12) DESC, term) AS INTEGER) AS rank FROM nw""")
+def i12_normalized_weights(spark, sf):
+    n = tr.normalized_weights(tb.topic_terms(spark, sf))
+    return n.select("topic", "term", F.round("norm_weight", 8).alias("norm_weight"), "rank")
+
+
+@query("i13_normalized_overlaps", f"""WITH {ov.TOPIC_TERMS}, {QW_SQL}, {NORM_SQL},
+{_overlap_sql('nw', 'norm_weight')}
+SELECT hit.key, hit.topic, string_agg(t.term, ', ' ORDER BY t.rank) AS terms
+FROM hit JOIN t USING (topic) GROUP BY hit.key, hit.topic""")
+def i13_normalized_overlaps(spark, sf):
+    return tr.normalized_overlaps(tb.topic_terms(spark, sf), tb.query_words(spark))[0]
+
+
+@query("i13_normalized_unique_terms", f"""WITH {ov.TOPIC_TERMS}, {QW_SQL}, {NORM_SQL},
+{_overlap_sql('nw', 'norm_weight')}
+SELECT hit.key, array_to_string(list_sort(list_distinct(list(t.term))), ', ') AS terms
+FROM hit JOIN t USING (topic) GROUP BY hit.key""")
+def i13_normalized_unique_terms(spark, sf):
+    return tr.normalized_overlaps(tb.topic_terms(spark, sf), tb.query_words(spark))[1]
+
+
+DIST_SQL = """sq AS (SELECT topic, sum(weight * weight) AS nn FROM topic_terms GROUP BY topic),
+dot AS (SELECT a.topic AS topic_a, b.topic AS topic_b, sum(a.weight * b.weight) AS dot
+        FROM topic_terms a JOIN topic_terms b USING (term) GROUP BY 1, 2),
+dist AS (SELECT topic_a, topic_b, sqrt(greatest(na.nn + nb.nn - 2 * dot, 0.0)) AS distance
+         FROM dot JOIN sq na ON na.topic = topic_a JOIN sq nb ON nb.topic = topic_b)"""
+
+
+@query("i14_topic_distances", f"""WITH {ov.TOPIC_TERMS}, {DIST_SQL}
+SELECT topic_a, topic_b, round(distance, 8) AS distance FROM dist""")
+def i14_topic_distances(spark, sf):
+    d = tr.topic_distances(tb.topic_terms(spark, sf))
+    return d.select("topic_a", "topic_b", F.round("distance", 8).alias("distance"))
+
+
+@query("i15_similar_topics", f"""WITH {ov.TOPIC_TERMS}, {DIST_SQL},
+best AS (SELECT topic_a, topic_b, distance, row_number() OVER (PARTITION BY topic_a ORDER BY distance, topic_b) AS rank
+         FROM dist WHERE topic_a <> topic_b QUALIFY rank <= 5),
+t AS ({_top_sql(100)}),
+terms AS (SELECT topic AS topic_b, string_agg(term, ', ' ORDER BY rank) AS terms FROM t GROUP BY 1)
+SELECT topic_a, CAST(rank AS INTEGER) AS rank, topic_b, round(distance, 8) AS distance, terms
+FROM best LEFT JOIN terms USING (topic_b)""")
+def i15_similar_topics(spark, sf):
+    tt = tb.topic_terms(spark, sf)
+    s = tr.similar_topics(tr.topic_distances(tt), tt)
+    return s.select("topic_a", "rank", "topic_b", F.round("distance", 8).alias("distance"), "terms")
+
+
+del STOP_WORDS
