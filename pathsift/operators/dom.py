@@ -218,11 +218,9 @@ def short_attribute_paths(summary: DataFrame) -> DataFrame:
 
 
 def full_attribute_paths(summary: DataFrame) -> DataFrame:
-    """``//*/a/b/tag`` + predicates in three variants (class+id, id
+    """``//*/body/a/b/tag`` + predicates in three variants (class+id, id
     only, none) for every summary path and stored value."""
-    steps = F.split("dict_path", "/")
-    anc = F.slice(steps, 2, F.size(steps) - 1)
-    base = F.concat(F.lit("//*/"), F.array_join(anc, "/"))
+    base = F.concat(F.lit("//*/"), F.col("dict_path"))
     v = summary.select("domain", base.alias("base"), F.explode("values").alias("v"))
     idp = F.when(F.col("v.id") != "", F.concat(F.lit("[contains(@id, '"), F.col("v.id"), F.lit("')]"))).otherwise("")
     return (v.select("domain", F.explode(F.array(
@@ -235,20 +233,26 @@ def full_attribute_paths(summary: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ D16
 
-ATTR_PATH_RE = r"^//\*/(?:[a-z0-9]+/)*([a-z0-9]+)"
-
-
 def select_by_attribute_path(nodes: DataFrame, xpaths: DataFrame) -> DataFrame:
-    """Nodes hit by ``//*/tag[contains(@class,'c')][contains(@id,'i')]``
-    paths: equi-join on tag, then substring tests on class and id."""
+    """Nodes hit by ``//*/[a/b/]tag[contains(@class,'c')][contains(@id,'i')]``
+    paths: equi-join on (domain, tag), then the listed ancestor steps must end
+    the node's ancestor chain and the class/id substring tests must hold."""
+    steps = F.split(F.regexp_extract("xpath", r"^//\*/([^\[]*)", 1), "/")
     p = xpaths.select(
         "domain", "xpath",
-        F.regexp_extract("xpath", ATTR_PATH_RE, 1).alias("tag"),
+        F.element_at(steps, -1).alias("tag"),
+        F.slice(steps, 1, F.size(steps) - 1).alias("want_anc"),
         F.regexp_extract("xpath", r"\[contains\(@class, '([^']*)'\)\]", 1).alias("want_cls"),
         F.regexp_extract("xpath", r"\[contains\(@id, '([^']*)'\)\]", 1).alias("want_id"))
-    return (nodes.join(p, ["domain", "tag"])
-            .filter(F.col("cls").contains(F.col("want_cls")) & F.col("eid").contains(F.col("want_id")))
-            .drop("want_cls", "want_id"))
+    anc = F.when(F.col("in_body"), F.concat(F.array(F.lit("html"), F.lit("body")), F.col("chain"))) \
+           .otherwise(F.slice(F.split(F.col("tag_path"), "/"), 2, F.size(F.split(F.col("tag_path"), "/")) - 2))
+    n_want = F.size("want_anc")
+    suffix_ok = (n_want == 0) | ((F.size("_anc") >= n_want)
+                                 & (F.slice("_anc", F.greatest(F.size("_anc") - n_want + 1, F.lit(1)), n_want)
+                                    == F.col("want_anc")))
+    return (nodes.withColumn("_anc", anc).join(F.broadcast(p), ["domain", "tag"])
+            .filter(suffix_ok & F.col("cls").contains(F.col("want_cls")) & F.col("eid").contains(F.col("want_id")))
+            .drop("want_cls", "want_id", "want_anc", "_anc"))
 
 
 def seq_window(domain_col: str = "domain", order_col: str = "page_id"):

@@ -31,3 +31,246 @@ SELECT domain, CAST(seq AS INTEGER) AS seq, path, is_content FROM model""")
 def e7_content_paths(spark, sf):
     run = train_and_extract(tb.pages(spark, sf))
     return run.model.select("domain", "seq", "path", "is_content")
+
+
+# ---------------------------------------------------------------- B: keys
+
+PROC_SQL = f"""{ov.PAGES}, {ov.TRAIN}, proc AS (SELECT * FROM tr WHERE seq <= 50)"""
+
+
+def _processed(p):
+    return paths.training_pages(p)
+
+
+@query("b1_netloc", f"WITH {ov.PAGES} SELECT page_id, domain AS netloc FROM pg")
+def b1_netloc(spark, sf):
+    return keys.netloc(tb.pages(spark, sf)).select("page_id", "netloc")
+
+
+@query("b2_root_key", f"""WITH {ov.PAGES}
+SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1)) || '://' || domain || '/' AS root
+FROM pg""")
+def b2_root_key(spark, sf):
+    return keys.root_key(tb.pages(spark, sf)).select("page_id", "root")
+
+
+@query("b3_domain_keys", f"""WITH {ov.PAGES}
+SELECT CAST(row_number() OVER (ORDER BY domain) AS BIGINT) AS domain_id, domain AS domain_name
+FROM (SELECT DISTINCT domain FROM pg)""")
+def b3_domain_keys(spark, sf):
+    names = tb.pages(spark, sf).select(F.col("domain").alias("domain_name"))
+    existing = spark.createDataFrame([], "domain_id long, domain_name string")
+    return keys.get_or_create_keys(names, existing, "domain_name", "domain_id")
+
+
+FIRST_SQL = f"""{ov.PAGES},
+done AS (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY domain ORDER BY page_id) = 1)"""
+
+
+def _first_cycle(p):
+    """Pages stored after a first poll cycle: the first page of each domain."""
+    return keys.first_of_batch(p)
+
+
+@query("b4_document_keys", f"""WITH {FIRST_SQL}
+SELECT CAST((SELECT count(*) FROM done) + row_number() OVER (ORDER BY url) AS BIGINT) AS document_id, url
+FROM pg WHERE page_id NOT IN (SELECT page_id FROM done)""")
+def b4_document_keys(spark, sf):
+    """Documents already stored get ids by URL; new keys for the rest."""
+    p = tb.pages(spark, sf)
+    stored = _first_cycle(p).select("url")
+    existing = keys.dense_ids(stored, "url", "document_id")
+    return keys.new_keys_only(p.select("url"), existing, "url", "document_id").select("document_id", "url")
+
+
+@query("b5_unprocessed", f"""WITH {FIRST_SQL}
+SELECT page_id, url FROM pg WHERE url NOT IN (SELECT url FROM done)""")
+def b5_unprocessed(spark, sf):
+    p = tb.pages(spark, sf)
+    done = _first_cycle(p)
+    return keys.unprocessed(p, done).select("page_id", "url")
+
+
+B7_SQL = f"""{PROC_SQL},
+b7 AS (SELECT d.domain, CAST(coalesce(c.n, 0) AS BIGINT) AS n_docs
+       FROM (SELECT DISTINCT domain FROM pg) d
+       LEFT JOIN (SELECT domain, count(*) AS n FROM proc GROUP BY 1) c USING (domain))"""
+
+
+def _b7(spark, sf):
+    p = tb.pages(spark, sf)
+    return keys.per_domain_counts(_processed(p), p)
+
+
+@query("b7_docs_per_domain", f"WITH {B7_SQL} SELECT domain, n_docs FROM b7")
+def b7_docs_per_domain(spark, sf):
+    return _b7(spark, sf)
+
+
+@query("b8_training_gate", f"WITH {B7_SQL} SELECT domain, n_docs, n_docs = 0 OR n_docs < 50 AS train FROM b7")
+def b8_training_gate(spark, sf):
+    c = _b7(spark, sf)
+    return keys.training_gate(c, models=c.filter("n_docs > 0"))
+
+
+@query("b9_training_page", f"""WITH {ov.PAGES}
+SELECT domain, page_id, url FROM pg QUALIFY row_number() OVER (PARTITION BY domain ORDER BY page_id) = 1""")
+def b9_training_page(spark, sf):
+    return keys.first_of_batch(tb.pages(spark, sf)).select("domain", "page_id", "url")
+
+
+# ---------------------------------------------------------------- D: DOM
+
+def _nodes(spark, sf, modes=("direct",)):
+    return dom.explode_nodes(tb.pages(spark, sf).select("page_id", "domain", "html"), modes=modes)
+
+
+@query("d1_doctype", f"""WITH {ov.PAGES}, d AS (
+  SELECT page_id, domain, trim(regexp_extract(html, '(?i)<!doctype\\s+([^>]*)>', 1)) AS doctype FROM pg)
+SELECT page_id, domain, doctype, CASE WHEN doctype = 'html' THEN 'html5' ELSE 'html4' END AS tag_set,
+       CASE WHEN doctype = 'html' THEN 8 ELSE 2 END AS n_tags FROM d WHERE doctype <> ''""")
+def d1_doctype(spark, sf):
+    return dom.doctype_check(tb.pages(spark, sf))
+
+
+@query("d2_page_paths", f"WITH {ov.PAGES}, {ov.NODES} SELECT domain, page_id, path AS abs_path FROM node")
+def d2_page_paths(spark, sf):
+    return dom.page_paths(_nodes(spark, sf))
+
+
+@query("d5_direct_text", f"WITH {ov.PAGES}, {ov.NODES} SELECT page_id, path AS abs_path, item AS direct_text FROM node")
+def d5_direct_text(spark, sf):
+    return _nodes(spark, sf).select("page_id", "abs_path", "direct_text")
+
+
+@query("d6_child_text")
+def d6_child_text(spark, sf):
+    return _nodes(spark, sf, ("child",)).select("page_id", "abs_path", "child_text")
+
+
+@query("d7_subtree_text")
+def d7_subtree_text(spark, sf):
+    return _nodes(spark, sf, ("subtree",)).select("page_id", "abs_path", "subtree_text")
+
+
+@query("d10_title", f"""WITH {ov.PAGES}
+SELECT page_id, {ov.unescape("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title FROM pg""")
+def d10_title(spark, sf):
+    return dom.page_titles(_nodes(spark, sf, ()))
+
+
+SUMMARY_SQL = f"""{ov.PAGES},
+summ AS (
+  SELECT DISTINCT domain, 'body/' || t.tag AS dict_path, t.cls AS class, '' AS id FROM pg,
+    (VALUES ('nav', ''), ('div', 'ad'), ('article', ''), ('footer', '')) AS t(tag, cls)
+  WHERE regexp_matches(html, '(?i)<!doctype\\s+html\\s*>'))"""
+
+
+@query("d12_dom_summary", f"WITH {SUMMARY_SQL} SELECT domain, dict_path, class, id FROM summ")
+def d12_dom_summary(spark, sf):
+    s = dom.dom_summary(_nodes(spark, sf, ()))
+    return s.select("domain", "dict_path", F.explode("values").alias("v")).select(
+        "domain", "dict_path", F.col("v.class").alias("class"), F.col("v.id").alias("id"))
+
+
+@query("d14_short_attribute_paths")
+def d14_short_attribute_paths(spark, sf):
+    return dom.short_attribute_paths(dom.dom_summary(_nodes(spark, sf, ())))
+
+
+D15_SQL = f"""{SUMMARY_SQL},
+d15 AS (
+  SELECT DISTINCT domain, 'class_id' AS variant, '//*/' || dict_path ||
+         CASE WHEN class <> '' THEN '[contains(@class, ''' || class || ''')]' ELSE '' END ||
+         CASE WHEN id <> '' THEN '[contains(@id, ''' || id || ''')]' ELSE '' END AS xpath FROM summ
+  UNION SELECT domain, 'id', '//*/' || dict_path ||
+         CASE WHEN id <> '' THEN '[contains(@id, ''' || id || ''')]' ELSE '' END FROM summ
+  UNION SELECT domain, 'none', '//*/' || dict_path FROM summ)"""
+
+
+@query("d15_full_attribute_paths", f"WITH {D15_SQL} SELECT domain, variant, xpath FROM d15")
+def d15_full_attribute_paths(spark, sf):
+    return dom.full_attribute_paths(dom.dom_summary(_nodes(spark, sf, ())))
+
+
+@query("d16_select_by_attribute_path", f"""WITH {D15_SQL}, {ov.NODES.replace("'empty' AS item", "'empty' AS item")}
+SELECT n.page_id, d15.xpath, n.path AS abs_path FROM d15 JOIN node n ON n.domain = d15.domain
+  AND n.path = '/html/' || regexp_extract(d15.xpath, '^//\\*/([^\\[]*)', 1)
+  AND (n.path <> '/html/body/div' OR d15.xpath NOT LIKE '%@class%' OR d15.xpath LIKE '%''ad''%')
+WHERE d15.variant = 'class_id'""")
+def d16_select_by_attribute_path(spark, sf):
+    nodes = _nodes(spark, sf, ())
+    xp = dom.full_attribute_paths(dom.dom_summary(nodes)).filter("variant = 'class_id'")
+    return dom.select_by_attribute_path(nodes, xp).select("page_id", "xpath", "abs_path")
+
+
+# ---------------------------------------------------------------- E: model tables
+
+def _run(spark, sf):
+    return train_and_extract(tb.pages(spark, sf))
+
+
+RAT = f"{ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}"
+
+
+@query("e5_ratio_history", f"""WITH {RAT}
+SELECT domain, path, round(max_by(ratio, seq), 8) AS latest_ratio, CAST(count(*) AS BIGINT) AS n_rounds
+FROM rat GROUP BY domain, path""")
+def e5_ratio_history(spark, sf):
+    h = paths.ratio_history(_run(spark, sf).ratios)
+    return h.select("domain", "path", F.round("latest_ratio", 8).alias("latest_ratio"),
+                    F.size("ratio_values").cast("long").alias("n_rounds"))
+
+
+@query("e6_two_means_split", f"""WITH {RAT}, {ov.MODEL}
+SELECT domain, CAST(seq AS INTEGER) AS seq, round(threshold, 8) AS threshold FROM sp WHERE rn = 1""")
+def e6_two_means_split(spark, sf):
+    s = paths.two_means_split(_run(spark, sf).ratios, ["domain", "seq"])
+    return s.select("domain", "seq", F.round("threshold", 8).alias("threshold"))
+
+
+@query("e9_extract_counts", f"""WITH {RAT}, {ov.MODEL}
+SELECT domain, path, CAST(sum(CAST(is_content AS INTEGER)) AS BIGINT) AS extract_count FROM model GROUP BY ALL""")
+def e9_extract_counts(spark, sf):
+    return paths.extract_counts(_run(spark, sf).model)
+
+
+@query("e10_content_path_list", f"""WITH {RAT}, {ov.MODEL}
+SELECT domain, path FROM model WHERE is_content AND seq = (SELECT max(seq) FROM model m2 WHERE m2.domain = model.domain)""")
+def e10_content_path_list(spark, sf):
+    return paths.latest_content_paths(_run(spark, sf).model)
+
+
+# ---------------------------------------------------------------- F4 / A sinks
+
+@query("f4_extract_records", f"""WITH x AS ({ov.main_extract_sql()}), {ov.PAGES}
+SELECT x.page_id AS document_id, x.domain, x.xpath, x.content, 'Attribs' AS xpath_type, x.content_length,
+       {ov.unescape("regexp_extract(pg.html, '(?is)<title>(.*?)</title>', 1)")} AS title
+FROM x JOIN pg USING (page_id)""")
+def f4_extract_records(spark, sf):
+    from ..operators.extract import extract_records
+    run = _run(spark, sf)
+    rec = extract_records(run.main, titles=dom.page_titles(run.nodes))
+    return rec.select("document_id", "domain", "xpath", "content", "xpath_type", "content_length", "title")
+
+
+@query("a4_keyed_update", f"""WITH {ov.EXTRACTS},
+rep AS (SELECT * FROM extracts QUALIFY row_number() OVER (
+  PARTITION BY document_id ORDER BY content_length DESC NULLS LAST, extract_id) = 1),
+upd AS (SELECT doc_id AS document_id, CAST(quality * 10 + toxic AS INTEGER) AS main_topic FROM labels)
+SELECT rep.document_id, coalesce(upd.main_topic, rep.main_topic) AS main_topic
+FROM rep LEFT JOIN upd USING (document_id)""")
+def a4_keyed_update(spark, sf):
+    from ..operators.dashboard import representative
+    from ..sources.store import keyed_update
+    rep = representative(tb.extracts(spark, sf)).select("document_id", "main_topic")
+    upd = tb.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("document_id"), (F.col("quality") * 10 + F.col("toxic")).cast("int").alias("main_topic"))
+    return keyed_update(rep, upd, ["document_id"], ["main_topic"])
+
+
+@query("a9_ratio_log", f"""WITH {RAT}
+SELECT domain, path || ';--;' || printf('%.8f', ratio) AS line FROM rat""")
+def a9_ratio_log(spark, sf):
+    from ..sources.store import ratio_log_lines
+    return ratio_log_lines(_run(spark, sf).ratios)

@@ -1,5 +1,37 @@
-"""Registered queries."""
+"""Registered queries for the feed group C (events in)."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from ..sources import tables as tb
+from ..streaming import feeds
+from . import oracle_views as ov
+from .registry import query
+
+C1_SQL = f"""WITH {ov.FEED_POLLS},
+p AS (
+  SELECT *, last_value(CASE WHEN ok THEN coalesce(etag, '') END IGNORE NULLS) OVER (
+    PARTITION BY feed_url ORDER BY poll_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM feed_polls),
+s AS (
+  SELECT *, CASE WHEN NOT ok THEN 'unchanged'
+                 WHEN prev IS NULL OR coalesce(etag, '') <> prev THEN 'changed' ELSE 'same' END AS status
+  FROM p)
+SELECT feed_url, poll_ts, event_id, ok, etag, status, status = 'changed' AS changed,
+       CASE WHEN status = 'changed' THEN coalesce(etag, '') ELSE prev END AS validator
+FROM s"""
+
+
+@query("c1_feed_changes", C1_SQL)
+def c1_feed_changes(spark, sf):
+    return feeds.feed_changes(tb.feed_polls(spark, sf))
+
+
+@query("c3_changed_polls", f"""{C1_SQL.replace('FROM s', 'FROM s WHERE status = ' + "'changed'", 1)}""")
+def c3_changed_polls(spark, sf):
+    return feeds.changed_feeds(feeds.feed_changes(tb.feed_polls(spark, sf)))
+
+
+@query("c4_dedupe_polls", f"""WITH {ov.FEED_POLLS}
+SELECT DISTINCT ON (event_id) feed_url, poll_ts, event_id, ok, etag FROM feed_polls""")
+def c4_dedupe_polls(spark, sf):
+    return feeds.dedupe_polls(tb.feed_polls(spark, sf))

@@ -117,3 +117,12 @@ def i15_similar_topics(spark, sf):
 
 
 del STOP_WORDS
+
+
+@query("a10_report_lines", f"""WITH {ov.TOPIC_TERMS}, {QW_SQL}, {_overlap_sql('topic_terms', 'weight')},
+o AS (SELECT hit.key, hit.topic, string_agg(t.term, ', ' ORDER BY t.rank) AS terms
+      FROM hit JOIN t USING (topic) GROUP BY hit.key, hit.topic)
+SELECT key || ';' || topic || ';' || terms AS line FROM o""")
+def a10_report_lines(spark, sf):
+    from ..sources.store import report_lines
+    return report_lines(tr.topic_overlaps(tb.topic_terms(spark, sf), tb.query_words(spark)))

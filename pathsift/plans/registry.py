@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import queries_content, queries_text, queries_topics, queries_dashboard  # noqa: F401
-    from . import queries_feeds  # noqa: F401
+    from . import queries_feeds, queries_lda  # noqa: F401
