@@ -20,29 +20,41 @@ def model_rounds(train: DataFrame, model: DataFrame) -> DataFrame:
             .filter(F.col("model_seq").isNotNull()).select("domain", "seq", "model_seq"))
 
 
+def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def page_model(pages_df: DataFrame, train: DataFrame, model: DataFrame,
-               limit: int = TRAIN_DOC_LIMIT) -> DataFrame:
+               limit: int = TRAIN_DOC_LIMIT, small: bool = False) -> DataFrame:
     """``(page_id, domain, model_seq)``: the model each page is extracted with.
 
     A page of round ``k <= limit`` is extracted right after training on it;
-    later pages use the model of round ``limit``.
+    later pages use the model of round ``limit``.  ``small`` (a checked
+    bound on the training tables) lets both lookups be broadcast, so the
+    page side is never shuffled by domain.
     """
     p = (pages_df.select("page_id", "domain")
-         .join(train.select("page_id", "seq"), "page_id", "left")
+         .join(_maybe_broadcast(train.select("page_id", "seq"), small), "page_id", "left")
          .withColumn("seq", F.coalesce("seq", F.lit(limit))))
-    return p.join(model_rounds(train, model), ["domain", "seq"]).select("page_id", "domain", "model_seq")
+    return p.join(_maybe_broadcast(model_rounds(train, model), small), ["domain", "seq"]) \
+            .select("page_id", "domain", "model_seq")
 
 
 def content_items(nodes: DataFrame, pages_model: DataFrame, model: DataFrame,
-                  text_col: str = "direct_text") -> DataFrame:
-    """Texts of every content path on every page: ``(page_id, domain, path, item)``."""
+                  text_col: str = "direct_text", small: bool = False) -> DataFrame:
+    """Texts of every content path on every page: ``(page_id, domain, path, item)``.
+
+    Past the training gate all pages of a domain read the same model round,
+    so a shuffle join on (domain, round, path) would put a hot domain in one
+    task; under a checked bound the path model is broadcast instead (beyond
+    it, AQE's skew-join split takes over)."""
     cp = (model.filter("is_content")
           .select("domain", F.col("seq").alias("model_seq"), "path",
                   dom.path_tags(F.col("path")).alias("tag_path"),
                   dom.path_indexes(F.col("path")).alias("idx_path")))
     n = nodes.select("page_id", "tag_path", "pos_path", F.col(text_col).alias("item")) \
              .join(pages_model, "page_id")
-    return (n.join(cp, ["domain", "model_seq", "tag_path"])
+    return (n.join(_maybe_broadcast(cp, small), ["domain", "model_seq", "tag_path"])
             .filter(dom.match_condition())
             .select("page_id", "domain", "path", "item").distinct())
 

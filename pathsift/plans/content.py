@@ -40,15 +40,17 @@ def train_and_extract(pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT,
     if persist:
         nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
     tr = paths.training_pages(pages_df, limit)
-    nodes_t = nodes.join(F.broadcast(tr.select("page_id", "seq")) if _small(tr, limit) else
+    small = _small(tr, limit)
+    nodes_t = nodes.join(F.broadcast(tr.select("page_id", "seq")) if small else
                          tr.select("page_id", "seq"), "page_id")
     items = paths.path_items_by_round(nodes_t, tr)
     ratios = paths.path_ratios(items)
     model = paths.content_paths(ratios)
     if persist:
         model = model.persist(StorageLevel.MEMORY_AND_DISK)
-    pm = extract.page_model(pages_df, tr, model, limit)
-    items_x = extract.content_items(nodes, pm, model)
+    small_model = small and model.count() <= BROADCAST_ROWS
+    pm = extract.page_model(pages_df, tr, model, limit, small=small)
+    items_x = extract.content_items(nodes, pm, model, small=small_model)
     main = extract.longest_extract(items_x, keep_empty=keep_empty)
     return ContentRun(nodes, tr, ratios, model, main)
 
@@ -57,7 +59,7 @@ BROADCAST_ROWS = 2_000_000
 
 
 def _small(train: DataFrame, limit: int) -> bool:
-    """Broadcast the training-page list only under a checked bound: it holds
+    """Broadcast the training tables only under a checked bound: they hold
     at most ``limit`` rows per domain, so the domain count decides."""
     n_domains = train.select("domain").distinct().count()
     return n_domains * limit <= BROADCAST_ROWS

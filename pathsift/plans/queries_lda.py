@@ -15,6 +15,7 @@ from .registry import query
 
 _MODELS: dict = {}
 SINCE = "2024-01-15"
+SWEEP_PASSES = 10
 
 
 def _tokens(spark, sf):
@@ -65,4 +66,5 @@ def i8_online_update(spark, sf):
 
 @query("i2_topic_count_sweep")
 def i2_topic_count_sweep(spark, sf):
-    return topics.topic_count_sweep(_tokens(spark, sf), [10, LDA_TOPICS, 30], passes=LDA_PASSES)
+    # the original HDP model has no pass count of its own; the sweep uses 10
+    return topics.topic_count_sweep(_tokens(spark, sf), [10, LDA_TOPICS, 30], passes=SWEEP_PASSES)
