@@ -64,3 +64,14 @@ def html_unescape_basic(c: Column) -> Column:
                     ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
+
+
+def token_rows(df, text_col: str, keep: list[str]):
+    """H3-H5 as rows ``keep... , token``: explode first, then the stop-word
+    set test (an ``InSet`` hash lookup), the strip and the filter are plain
+    column expressions inside whole-stage codegen (the array form above runs
+    interpreted lambdas)."""
+    t = df.select(*keep, F.explode(word_tokens(F.col(text_col))).alias("_t"))
+    t = t.filter(~F.col("_t").isin(STOP_WORDS))
+    t = t.select(*keep, F.regexp_replace("_t", r"\W+", "").alias("token"))
+    return t.filter(F.col("token").rlike("^[a-z]{3,}$"))

@@ -44,6 +44,9 @@ def train_and_extract(pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT,
     nodes_t = nodes.join(F.broadcast(tr.select("page_id", "seq")) if small else
                          tr.select("page_id", "seq"), "page_id")
     items = paths.path_items_by_round(nodes_t, tr)
+    if persist:
+        # read by every branch of the ratio plan (texts, pairs, counts)
+        items = items.persist(StorageLevel.MEMORY_AND_DISK)
     ratios = paths.path_ratios(items)
     model = paths.content_paths(ratios)
     if persist:

@@ -157,9 +157,9 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View ``topic_terms(topic, term, weight)``: a deterministic stand-in for
     a topic model -- topic = rank of the document ``source``, term = cleaned
     token (H3-H5), weight = the term's share of the topic's tokens."""
-    from ..functions.textcols import clean_tokens
+    from ..functions.textcols import token_rows
     from ..operators.keys import dense_ids
-    d = table(spark, sf_dir, "documents").select("source", F.explode(clean_tokens(F.col("text"))).alias("term"))
+    d = token_rows(table(spark, sf_dir, "documents"), "text", ["source"]).withColumnRenamed("token", "term")
     c = d.groupBy("source", "term").agg(F.count("*").alias("n"))
     tot = c.groupBy("source").agg(F.sum("n").alias("tot"))
     topics = dense_ids(tot.select("source"), "source", "topic", start=-1)
