@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TRAIN_DOC_LIMIT
 from ..operators import dom, extract, paths
+from ..session import cores, num_partitions
 
 
 @dataclass
@@ -33,8 +34,9 @@ def train_and_extract(pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT,
     src = pages_df.select("page_id", "domain", "html")
     # Small scans arrive as one or two splits; spread the parse over the
     # cluster.  Large inputs already have enough splits and are not shuffled.
-    target = spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < target:
+    target = cores(spark)
+    n_parts = num_partitions(src)
+    if n_parts is not None and n_parts < target:
         src = src.repartition(target, "page_id")
     nodes = dom.explode_nodes(src, modes=("direct",))
     if persist:

@@ -65,7 +65,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def cores(spark: SparkSession) -> int:
+    """Default parallelism of the cluster (shuffle partitions when the
+    session does not expose a SparkContext, e.g. Spark Connect)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def num_partitions(df) -> int | None:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:
+        return None
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Partition count for CPU-heavy stages (edit distance, parsing)."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, spark.sparkContext.defaultParallelism * 4)
+    return max(shuffle, cores(spark) * 4)
