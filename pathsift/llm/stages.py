@@ -4,10 +4,44 @@ predecessor kept and lets the decisions take effect."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import common
 from .tokens import default_tokenizer
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores below 0.5 go."""
+    from . import quality_fm
+    model = quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(model.score(F.col("text")) >= 0.5)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays;
+    of rows that share an id, one."""
+    from . import jaccard_join
+    kept = (jaccard_join.components(docs).filter(F.col("doc_id") == F.col("component_id"))
+            .select("doc_id").distinct())
+    stay = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
+    return stay.dropDuplicates(["doc_id"])
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings are cut out; a document of which nothing
+    stays goes, one that was empty before stays."""
+    from . import suffix_dedup
+    return suffix_dedup.cut_documents(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    from . import decontaminate
+    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = common.saved(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Optimal length buckets and token-budget batches of the remaining texts."""
     from .length_buckets import length_batches, token_lengths
