@@ -40,3 +40,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .length_buckets import length_batches, token_lengths
     return length_batches(token_lengths(common.documents(spark, sf_dir), default_tokenizer()))
+
+
+@query
+def op8_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .distribution_rules import judge
+    return judge(common.documents(spark, sf_dir))
+
+
+@query
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_fm
+    docs = common.documents(spark, sf_dir)
+    return quality_fm.scores(docs, quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import labelled, toxicity_crf
+    docs = common.documents(spark, sf_dir)
+    model = toxicity_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_crf.scores(docs, model).select(
+        "doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "spans")

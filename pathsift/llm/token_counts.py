@@ -88,6 +88,7 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     keys = common.id_and_text(docs).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
         digest_of(normalise(F.col("text"))).alias("content_digest"))
-    counts = read_cache(spark, cache_path, version_digest(tokenizer))
+    # written, so that the join below reads plain rows and a hot digest can be split
+    counts = common.saved(read_cache(spark, cache_path, version_digest(tokenizer)), "counts")
     return (keys.join(counts, "content_digest", "left")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
