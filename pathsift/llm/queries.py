@@ -63,3 +63,9 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_crf.scores(docs, model).select(
         "doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "spans")
+
+
+@query
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent_lm import lm_scores
+    return lm_scores(common.documents(spark, sf_dir))
