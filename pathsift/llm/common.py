@@ -128,6 +128,18 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0]:o[-1]], o - o[0]
 
 
+def bounded(batches, column: str = "text", budget: int = 4 << 20):
+    """Slices of Arrow batches with at most ``budget`` bytes of text, one
+    document at least, so that working memory doesn't follow the batch."""
+    for b in batches:
+        _, offs = buffers(b.column(column))
+        at, n = 0, b.num_rows
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + budget, side="right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def doc_of(offs: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Index of the document that holds each byte position."""
     return np.searchsorted(offs, pos, side="right") - 1

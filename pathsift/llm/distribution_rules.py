@@ -135,7 +135,7 @@ def _count_parts(rules: Rules):
 
     def run(batches):
         held, words = {}, 0
-        for b in batches:
+        for b in common.bounded(batches):
             data, offs = common.buffers(b.column("text"))
             s, e, doc = common.word_ranges(data, offs)
             h, classes = common.range_hashes(data, s, e), _class_counts(data, offs)
@@ -206,7 +206,7 @@ def _judge(refs, rules: Rules):
     rest_ref = np.array([1 - refs[k][2].sum() for k in names])
 
     def run(batches):
-        for b in batches:
+        for b in common.bounded(batches):
             data, offs = common.buffers(b.column("text"))
             n = len(offs) - 1
             facts = base_facts(data, offs)

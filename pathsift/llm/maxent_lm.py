@@ -107,7 +107,7 @@ def _count(cfg: Settings):
 
     def run(batches):
         hs, ts, held = [], [], 0
-        for b in batches:
+        for b in common.bounded(batches):
             h, t, _, _ = token_stream(b.column("text"), cfg.tail_classes)
             hs.append(h)
             ts.append(t)
@@ -226,7 +226,7 @@ def _train(model: Model):
         acc = [np.ones_like(m.outer), np.ones_like(m.inner)]
         touched = [np.zeros(len(m.outer), bool), np.zeros(len(m.inner), bool)]
         task = TaskContext.get().partitionId()
-        for b in batches:
+        for b in common.bounded(batches):
             h, t, doc, _ = token_stream(b.column("text"), cfg.tail_classes)
             _step(m, m.symbols(h, t), doc, acc, touched)
         block = 0
@@ -344,7 +344,7 @@ def _score(model: Model):
     base_mass = np.log10(model.train_tokens + model.distinct + 1)
 
     def run(batches):
-        for b in batches:
+        for b in common.bounded(batches):
             h, t, doc, _ = token_stream(b.column("text"), cfg.tail_classes)
             n = b.num_rows
             sym = model.symbols(h, t)

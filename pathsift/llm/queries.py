@@ -69,3 +69,9 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maxent_lm import lm_scores
     return lm_scores(common.documents(spark, sf_dir))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches
+    return matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -277,7 +277,7 @@ def _score(model: Tagger):
     schema = common.arrow_schema(OUT)
 
     def run(batches):
-        for b in batches:
+        for b in common.bounded(batches):
             data, offs = common.buffers(b.column("text"))
             n = len(offs) - 1
             s, e, doc, first, p = model.tag(data, offs)
