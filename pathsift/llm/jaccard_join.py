@@ -45,7 +45,10 @@ COUNTS = "block int, task int, counts binary"
 ENTRIES = "bucket int, classes binary, sizes binary, which binary, grams binary, ranks binary"
 MEMBERS = "gram bigint, cls binary, n int, pos int, pivot binary"
 SETS = "cls binary, n int, grams binary"
+FILTER = "block bigint, marks binary"
 LINKS = "a binary, b binary"
+#: Bits (as a power of two) of one block of the class filter.
+FILTER_BLOCK = 14
 
 
 @dataclass
@@ -57,6 +60,7 @@ class Settings:
     fan_in: int = 64
     bucket_bytes: int = 24 << 20
     flush_bytes: int = 12 << 20
+    filter_bits: int = 27
 
     def needed(self, n):
         """Fewest common n-grams of a set of size n with any set it links to."""
@@ -211,6 +215,22 @@ def _prefixes(levels: np.ndarray, buckets: int, cfg: Settings):
     return run
 
 
+def _reachable(gram, n, rank, cfg: Settings) -> np.ndarray:
+    """Members (sorted by n-gram and size) that may link to another one: the
+    overlap needed is least with the smallest partner of allowed length."""
+    if not len(gram):
+        return np.zeros(0, dtype=bool)
+    group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+    span = int(n.max()) + 2
+    at = np.searchsorted(group * span + n, group * span + cfg.needed(n))
+    own = np.arange(len(gram))
+    at = np.where(at == own, own + 1, at)
+    inside = at < len(gram)
+    at = np.minimum(at, len(gram) - 1)
+    inside &= group[at] == group
+    return inside & (cfg.needed(n[at]) <= n) & (np.minimum(n - rank, n[at]) >= cfg.overlap(n, n[at]))
+
+
 def _groups(cfg: Settings):
     schema = common.arrow_schema(MEMBERS)
 
@@ -239,6 +259,10 @@ def _groups(cfg: Settings):
             new = np.ones(len(gram), dtype=bool)
             new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1]).any(axis=1)
             cls, n, gram, rank = cls[new], n[new], gram[new], rank[new]
+        # a member whose rest can't reach the overlap with its least partner has none here
+        for _ in range(2):
+            may = _reachable(gram, n.astype(np.int64), rank, cfg)
+            cls, n, gram, rank = cls[may], n[may], gram[may], rank[may]
         first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         length = np.diff(np.append(first, len(gram)))
         pivot = np.repeat(first, length)
@@ -264,15 +288,67 @@ def _groups(cfg: Settings):
     return run
 
 
-def _sets(cfg: Settings):
+def _slots(classes: np.ndarray, bits: int) -> np.ndarray:
+    return (classes[:, 0] >> U64(64 - bits)).astype(np.int64)
+
+
+def _slot_rows(bits: int):
+    schema = common.arrow_schema("slot bigint")
+
+    def run(batches):
+        for b in batches:
+            cls = np.frombuffer(b"".join(b.column("cls").to_pylist()), U64).reshape(-1, 2)
+            yield common.arrow_batch(schema, slot=_slots(cls, bits))
+    return run
+
+
+def _filter_block():
+    schema = common.arrow_schema(FILTER)
+
+    def run(table: pa.Table) -> pa.Table:
+        here = np.zeros(1 << FILTER_BLOCK, dtype=bool)
+        here[table.column("slot").to_numpy() & (len(here) - 1)] = True
+        return pa.Table.from_batches([common.arrow_batch(
+            schema, block=[table.column("block")[0].as_py()], marks=[np.packbits(here).tobytes()])])
+    return run
+
+
+def class_filter(classes: DataFrame, cfg: Settings) -> np.ndarray:
+    """A bit table that holds all of ``classes`` (a Bloom filter of one hash).
+    It has at most ``2 ** filter_bits`` bits; more classes make it let through
+    sets that no pair asks for, never lose one."""
+    count = classes.count()
+    bits = min(cfg.filter_bits, max(FILTER_BLOCK, int(64 * count).bit_length()))
+    marks = (classes.mapInArrow(_slot_rows(bits), "slot bigint").distinct()
+             .withColumn("block", F.shiftright("slot", FILTER_BLOCK))
+             .groupBy("block").applyInArrow(_filter_block(), FILTER))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (FILTER_BLOCK - 3)
+    for r in marks.collect():
+        out[r["block"] * size:(r["block"] + 1) * size] = np.frombuffer(r["marks"], np.uint8)
+    return out
+
+
+def _sets(wanted: np.ndarray, cfg: Settings):
+    """Sets of the classes that pass the filter, once per task."""
     schema = common.arrow_schema(SETS)
+    bits = int(len(wanted) * 8).bit_length() - 1
 
     def run(batches):
+        seen: set[bytes] = set()
         for b in common.bounded(batches):
             g, d, n = sets_of(b.column("text"), cfg)
-            ends = np.cumsum(n)
-            yield common.arrow_batch(schema, cls=_binary(classes_of(g, d, n)), n=n.astype(np.int32),
-                                     grams=[g[e - k:e].tobytes() for e, k in zip(ends, n, strict=True)])
+            classes = classes_of(g, d, n)
+            slot = _slots(classes, bits)
+            pick = (wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+            ends, rows = np.cumsum(n), []
+            for i in np.flatnonzero((pick == 1) & (n > 0)):
+                key = classes[i].tobytes()
+                if key not in seen:
+                    seen.add(key)
+                    rows.append(i)
+            yield common.arrow_batch(schema, cls=_binary(classes[rows]), n=n[rows].astype(np.int32),
+                                     grams=[g[ends[i] - n[i]:ends[i]].tobytes() for i in rows])
     return run
 
 
@@ -309,11 +385,15 @@ def _verify(cfg: Settings):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, cfg: Settings) -> DataFrame:
-    """Links among ``pairs`` (a, b), each verified once."""
+def _verified(pairs: DataFrame, text: DataFrame, cfg: Settings, name: str) -> DataFrame:
+    """Links among ``pairs`` (a, b), each verified once.  The sets are made anew
+    from the texts of the classes that take part."""
+    pairs = common.saved(pairs, f"{name}-pairs")
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = text.mapInArrow(_sets(class_filter(classes, cfg), cfg), SETS).dropDuplicates(["cls"])
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    return pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS)
+    return common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), f"{name}-links")
 
 
 def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
@@ -332,14 +412,8 @@ def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     sized = measured.filter("block is null").select("doc_id", "n", "cls")
     classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # one text for each class that shares a prefix n-gram with another
-    wanted = (members.select("cls").distinct().join(classes, "cls").filter("rep is not null")
-              .select(F.col("rep").alias("doc_id")))
-    sets = common.saved(rows.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(cfg), SETS)
-                        .dropDuplicates(["cls"]), "sets")
-
     first = members.filter("pivot is not null").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    links = common.saved(_verified(first, sets, cfg), "links")
+    links = _verified(first, text, cfg, "first")
     labels = common.saved(connected(links), "labels")
 
     # pairs of a group that are still apart
@@ -356,7 +430,7 @@ def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
                      & (F.least("x.n", "y.n") >= need))
               .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = common.saved(_verified(second.join(tried, ["a", "b"], "left_anti"), sets, cfg), "links")
+    more = _verified(second.join(tried, ["a", "b"], "left_anti"), text, cfg, "second")
     labels = common.saved(connected(links.unionByName(more)), "labels")
 
     # a component's id is the least document id of its classes
