@@ -43,7 +43,7 @@ from .components import connected
 SIZES = "doc_id bigint, n bigint, cls binary, block int, task int, counts binary"
 COUNTS = "block int, task int, counts binary"
 ENTRIES = "bucket int, classes binary, sizes binary, which binary, grams binary, ranks binary"
-MEMBERS = "gram bigint, cls binary, n int, pos int, pivot binary"
+MEMBERS = "gram bigint, cls binary, n int, pos int, pivots array<binary>"
 SETS = "cls binary, n int, grams binary"
 FILTER = "block bigint, marks binary"
 LINKS = "a binary, b binary"
@@ -61,6 +61,8 @@ class Settings:
     bucket_bytes: int = 24 << 20
     flush_bytes: int = 12 << 20
     filter_bits: int = 27
+    star_turns: int = 1
+    gram_bytes: int = 5
 
     def needed(self, n):
         """Fewest common n-grams of a set of size n with any set it links to."""
@@ -277,13 +279,20 @@ def _groups(cfg: Settings):
                 pivot[k:to] = k
                 k = to
         keep = np.repeat(length > 1, length)
-        a, b = pivot, np.arange(len(gram))
-        possible = (a != b) & (np.minimum(n[a] - rank[a], n[b] - rank[b]) >=
-                               cfg.overlap(n[a].astype(np.int64), n[b].astype(np.int64)))
-        raw = _binary(cls[pivot])
-        marked = pa.compute.if_else(pa.array(possible), raw, pa.nulls(len(gram), pa.binary())) if len(gram) else raw
+        own, size = np.arange(len(gram)), n.astype(np.int64)
+        # pivots of a part: its smallest set, and the one with the earliest position
+        by_rank = np.lexsort((rank, pivot))
+        part, at = np.unique(pivot[by_rank], return_index=True)
+        early = by_rank[at][np.searchsorted(part, pivot)]
+        hubs, ok = [], []
+        for a in (pivot, early):
+            hubs.append(a)
+            ok.append((a != own) & (np.minimum(n[a] - rank[a], n - rank) >= cfg.overlap(size[a], size)))
+        hubs, ok = np.stack(hubs, axis=1), np.stack(ok, axis=1)
+        offsets = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
+        pivots = pa.ListArray.from_arrays(pa.array(offsets), _binary(cls[hubs[ok]]))
         out = common.arrow_batch(schema, gram=(np.int64(bucket) << 40) | gram, cls=_binary(cls), n=n, pos=rank,
-                                 pivot=marked)
+                                 pivots=pivots.cast(schema.field("pivots").type))
         return pa.Table.from_batches([out.filter(pa.array(keep)) if len(gram) else out])
     return run
 
@@ -329,6 +338,19 @@ def class_filter(classes: DataFrame, cfg: Settings) -> np.ndarray:
     return out
 
 
+def _short(g: np.ndarray, size: int) -> bytes:
+    """The leading ``size`` bytes of sorted hashes.  With 5 of them, two sets of
+    1,000 n-grams share one by chance once in a million pairs, and that only
+    matters for a pair one n-gram short of the threshold."""
+    return np.ascontiguousarray(g.byteswap().view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _long(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view(U64).ravel().byteswap()
+
+
 def _sets(wanted: np.ndarray, cfg: Settings):
     """Sets of the classes that pass the filter, once per task."""
     schema = common.arrow_schema(SETS)
@@ -348,7 +370,7 @@ def _sets(wanted: np.ndarray, cfg: Settings):
                     seen.add(key)
                     rows.append(i)
             yield common.arrow_batch(schema, cls=_binary(classes[rows]), n=n[rows].astype(np.int32),
-                                     grams=[g[ends[i] - n[i]:ends[i]].tobytes() for i in rows])
+                                     grams=[_short(g[ends[i] - n[i]:ends[i]], cfg.gram_bytes) for i in rows])
     return run
 
 
@@ -379,21 +401,59 @@ def _verify(cfg: Settings):
     def run(batches):
         for b in batches:
             left, right = b.column("grams_a"), b.column("grams_b")
-            ok = [linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), cfg)
+            ok = [linked(_long(x.as_py(), cfg.gram_bytes), _long(y.as_py(), cfg.gram_bytes), cfg)
                   for x, y in zip(left, right, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).cast(schema)
     return run
 
 
-def _verified(pairs: DataFrame, text: DataFrame, cfg: Settings, name: str) -> DataFrame:
-    """Links among ``pairs`` (a, b), each verified once.  The sets are made anew
-    from the texts of the classes that take part."""
-    pairs = common.saved(pairs, f"{name}-pairs")
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = text.mapInArrow(_sets(class_filter(classes, cfg), cfg), SETS).dropDuplicates(["cls"])
+def _verified(pairs: DataFrame, sets: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b), written, and the links among them."""
+    pairs = common.saved(pairs, "pairs")
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    return common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), f"{name}-links")
+    return pairs, common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), "links")
+
+
+def _may_link(n, pos, m, at, cfg: Settings):
+    """Length and positional filters as a column."""
+    need = F.ceil((n + m) * cfg.percent / (100 + cfg.percent))
+    return (F.least(n, m) >= need) & (F.least(n - pos, m - at) >= need)
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the groups that still span components, with their labels."""
+    placed = common.saved(members.join(labels, members["cls"] == labels["node"], "left").select(
+        "gram", "cls", "n", "pos", F.coalesce("label", "cls").alias("label")), "placed")
+    apart = (placed.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .filter("lo <> hi").select("gram"))
+    return common.saved(placed.join(apart, "gram", "left_semi"), "apart")
+
+
+def _star_pairs(apart: DataFrame, turn: int, cfg: Settings) -> DataFrame:
+    """In even turns, each member outside its group's largest component with the
+    earliest member of that; in odd turns, with the group's earliest member."""
+    first = F.min(F.struct("pos", F.xxhash64("cls", F.lit(turn)).alias("k"), "cls", "n"))
+    if turn % 2:
+        hubs = apart.groupBy("gram").agg(F.min(F.struct("pos", F.xxhash64("cls", F.lit(turn)).alias("k"), "cls", "n",
+                                                        "label")).alias("hub")).withColumn("to", F.col("hub.label"))
+    else:
+        parts = apart.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"), first.alias("hub"))
+        hubs = (parts.groupBy("gram").agg(F.max(F.struct("c", "label", "hub")).alias("h"))
+                .select("gram", F.col("h.hub").alias("hub"), F.col("h.label").alias("to")))
+    hubs = hubs.select("gram", "to", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"),
+                       F.col("hub.pos").alias("hub_pos"))
+    return (apart.join(hubs, "gram").filter("label <> to")
+            .filter(_may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), cfg))
+            .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
+
+
+def _pairs_apart(apart: DataFrame, cfg: Settings) -> DataFrame:
+    """All pairs of a group that lie in different components."""
+    x, y = apart.alias("x"), apart.alias("y")
+    return (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label"))
+                   & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), cfg))
+            .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
 
 
 def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
@@ -412,26 +472,19 @@ def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     sized = measured.filter("block is null").select("doc_id", "n", "cls")
     classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
 
-    first = members.filter("pivot is not null").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _verified(first, text, cfg, "first")
+    wanted = class_filter(members.select("cls").distinct(), cfg)
+    sets = common.saved(text.mapInArrow(_sets(wanted, cfg), SETS).dropDuplicates(["cls"]), "sets")
+    members = members.select("gram", "cls", "n", "pos", "pivots")
+    pairs, links = _verified(members.select(F.explode("pivots").alias("u"), F.col("cls").alias("v"))
+                             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), sets, cfg)
     labels = common.saved(connected(links), "labels")
-
-    # pairs of a group that are still apart
-    placed = members.join(labels, members["cls"] == labels["node"], "left").select(
-        "gram", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
-    placed = common.saved(placed, "placed")
-    apart = (placed.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .filter("lo <> hi").select("gram"))
-    left = common.saved(placed.join(apart, "gram", "left_semi"), "apart")
-    x, y = left.alias("x"), left.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * cfg.percent / (100 + cfg.percent))
-    second = (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label"))
-                     & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
-                     & (F.least("x.n", "y.n") >= need))
-              .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(second.join(tried, ["a", "b"], "left_anti"), text, cfg, "second")
-    labels = common.saved(connected(links.unionByName(more)), "labels")
+    members = members.drop("pivots")
+    for turn in range(cfg.star_turns + 1):
+        members = _placed(members.select("gram", "cls", "n", "pos"), labels)
+        new = _pairs_apart(members, cfg) if turn == cfg.star_turns else _star_pairs(members, turn, cfg)
+        tried, found = _verified(new.join(pairs, ["a", "b"], "left_anti"), sets, cfg)
+        pairs, links = pairs.unionByName(tried), links.unionByName(found)
+        labels = common.saved(connected(links), "labels")
 
     # a component's id is the least document id of its classes
     of_class = classes.join(labels, classes["cls"] == labels["node"], "left").select(
