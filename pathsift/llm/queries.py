@@ -81,3 +81,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import components
     return components(common.documents(spark, sf_dir))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removals
+    return removals(common.documents(spark, sf_dir))
