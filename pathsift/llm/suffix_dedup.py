@@ -42,6 +42,7 @@ from . import common
 from .common import U64
 
 ANCHORS = "bucket int, docs binary, which binary, hashes binary, places binary"
+PARTS = "shard int, docs binary, counts binary, places binary"
 REPEATED = "doc_id bigint, digest bigint, places binary"
 RUNS = "bucket int, docs binary, places binary, bounds binary, shared binary, rests binary, lefts binary, spans binary"
 SPANS = "doc_id bigint, digest bigint, spans binary"
@@ -133,8 +134,9 @@ def _send_anchors(buckets: int, cfg: Settings):
     return run
 
 
-def _repeated():
-    schema = common.arrow_schema(REPEATED)
+def _repeated(shards: int):
+    """Places of repeated anchors, packed by shard of their documents."""
+    schema = common.arrow_schema(PARTS)
 
     def run(table: pa.Table) -> pa.Table:
         docs, hashes, places = [], [], []
@@ -154,13 +156,39 @@ def _repeated():
         same = np.concatenate([[False], hashes[1:] == hashes[:-1], [False]])
         many = same[:-1] | same[1:]
         docs, places = docs[many], places[many]
+        home = (common.mix64(docs[:, 0].astype(U64)) % U64(shards)).astype(np.int64)
+        order = np.lexsort((places, docs[:, 1], docs[:, 0], home))
+        docs, places, home = docs[order], places[order], home[order]
+        cut = np.searchsorted(home, np.arange(shards + 1))
+        out = [k for k in range(shards) if cut[k + 1] > cut[k]]
+        packed = [_pack_places(docs[cut[k]:cut[k + 1]], places[cut[k]:cut[k + 1]]) for k in out]
+        return pa.Table.from_batches([common.arrow_batch(
+            schema, shard=out, docs=[x[0].tobytes() for x in packed], counts=[x[1].tobytes() for x in packed],
+            places=[x[2].tobytes() for x in packed])])
+    return run
+
+
+def _pack_places(docs: np.ndarray, places: np.ndarray):
+    """Distinct documents of sorted rows, how many places each has, the places."""
+    first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]).any(axis=1)]))
+    return docs[first], np.diff(np.append(first, len(docs))).astype(np.uint32), places
+
+
+def _by_document():
+    schema = common.arrow_schema(REPEATED)
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, places = [], []
+        for d, c, p in zip(*(table.column(x).to_pylist() for x in ("docs", "counts", "places")), strict=True):
+            docs.append(np.repeat(np.frombuffer(d, np.int64).reshape(-1, 2), np.frombuffer(c, np.uint32), axis=0))
+            places.append(np.frombuffer(p, np.uint32))
+        docs, places = np.concatenate(docs), np.concatenate(places)
         order = np.lexsort((places, docs[:, 1], docs[:, 0]))
-        docs, places = docs[order], places[order]
-        first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]).any(axis=1)])) if len(docs) else []
-        parts = np.split(places, first[1:]) if len(docs) else []
+        keys, counts, places = _pack_places(docs[order], places[order])
+        ends = np.cumsum(counts)
         return pa.Table.from_batches([common.arrow_batch(
-            schema, doc_id=docs[first, 0] if len(docs) else [], digest=docs[first, 1] if len(docs) else [],
-            places=[p.tobytes() for p in parts])])
+            schema, doc_id=keys[:, 0], digest=keys[:, 1],
+            places=[places[e - c:e].tobytes() for e, c in zip(ends, counts, strict=True)])])
     return run
 
 
@@ -239,9 +267,9 @@ def _make_runs(buckets: int, cfg: Settings):
             keys = _doc_keys(b).tolist()
             raw = data.tobytes()
             cut = np.searchsorted(doc, np.arange(len(offs)))
-            for i, parts in enumerate(b.column("places").to_pylist()):
+            for i, places in enumerate(b.column("places").to_pylist()):
                 begin = int(offs[i])
-                wanted = np.concatenate([np.frombuffer(p, np.uint32) for p in parts]).astype(np.int64) + begin
+                wanted = np.frombuffer(places, np.uint32).astype(np.int64) + begin
                 j = np.arange(cut[i], cut[i + 1])
                 j = j[np.isin(at[j], wanted)]
                 for a, key, first, last in zip(at[j].tolist(), h[j].tolist(), lo[j].tolist(), hi[j].tolist(), strict=True):
@@ -468,14 +496,14 @@ def repeated_spans(docs: DataFrame, cfg: Settings) -> DataFrame:
     common.arrow_rows(spark)
     rows = _keyed(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
-    sent = rows.mapInArrow(_send_anchors(common.n_partitions(total, cfg.anchor_bucket), cfg), ANCHORS)
-    places = common.saved(sent.groupBy("bucket").applyInArrow(_repeated(), REPEATED), "repeated-anchors")
+    parts = common.n_partitions(total, cfg.anchor_bucket)
+    sent = rows.mapInArrow(_send_anchors(parts, cfg), ANCHORS)
+    places = common.saved(sent.groupBy("bucket").applyInArrow(_repeated(parts), PARTS)
+                          .groupBy("shard").applyInArrow(_by_document(), REPEATED), "repeated-anchors")
     count = places.agg(F.sum(F.octet_length("places") / 4)).first()[0]
     buckets = common.n_partitions(count, cfg.merge_bucket)
-    by_doc = places.groupBy("doc_id", "digest").agg(F.collect_list("places").alias("places"))
-    texts = rows.mapInArrow(_only_marked(id_filter(places.select("doc_id").distinct(), cfg)),
-                            "doc_id bigint, digest bigint, text string")
-    runs = texts.join(by_doc, ["doc_id", "digest"]).mapInArrow(_make_runs(buckets, cfg), RUNS)
+    texts = rows.mapInArrow(_only_marked(id_filter(places, cfg)), "doc_id bigint, digest bigint, text string")
+    runs = texts.join(places, ["doc_id", "digest"]).mapInArrow(_make_runs(buckets, cfg), RUNS)
     spans = common.saved(runs.groupBy("bucket").applyInArrow(_merge_bucket(cfg), SPANS), "spans")
     return spans.groupBy("doc_id", "digest").agg(F.collect_list("spans").alias("spans"))
 
