@@ -35,9 +35,9 @@ STATS, BINS = 13, 16
 class Settings:
     word_buckets: int = 1 << 16
     factors: int = 8
-    rows_per_class: int = 6000
-    byte_budget: int = 32 << 20
-    epochs: int = 6
+    rows_per_class: int = 2500
+    byte_budget: int = 8 << 20
+    epochs: int = 8
     batch: int = 128
     rate: float = 0.08
     l2: float = 2e-5

@@ -45,8 +45,8 @@ _TOKEN[128:] = _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = True
 class Settings:
     buckets: int = 1 << 18
     chain: int = 512
-    rows_per_class: int = 1500
-    byte_budget: int = 6 << 20
+    rows_per_class: int = 1000
+    byte_budget: int = 3 << 20
     rounds: int = 20
     rate: float = 0.5
     l2: float = 1e-4
