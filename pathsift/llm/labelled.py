@@ -8,6 +8,8 @@ the same table always gives the same sample.
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,10 @@ def held_out(col: str = "doc_id"):
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class: int,
-                 byte_budget: int) -> pa.Table:
-    """A table (label, text) on the driver.  Contradicting labels of one id
+                 byte_budget: int) -> tuple[pa.Table, float]:
+    """A table (label, text) on the driver, and by how much the log odds of
+    label 1 among all training labels exceed those in the sample, which a
+    model's intercept has to make up for.  Contradicting labels of one id
     count as the lesser; null ids, labels other than 0 and 1 and null texts
     take no part; of repeated rows each counts."""
     rows = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label"))
@@ -54,4 +58,10 @@ def sample_texts(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_cl
     for value, k in limits.items():
         if k is not None:
             keep = keep | ((F.col("label") == value) & (F.col("k") <= k))
-    return texts.filter(keep).orderBy("k", "label").limit(2 * rows_per_class).select("label", "text").toArrow()
+    sample = texts.filter(keep).orderBy("k", "label").limit(2 * rows_per_class).select("label", "text").toArrow()
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = sample.column("label").to_pylist()
+    shift = 0.0
+    if min(n.get(0, 0), n.get(1, 0), got.count(0), got.count(1)) > 0:
+        shift = math.log(n[1] / n[0]) - math.log(got.count(1) / got.count(0))
+    return sample, shift

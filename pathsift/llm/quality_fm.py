@@ -36,7 +36,8 @@ class Settings:
     word_buckets: int = 1 << 16
     factors: int = 8
     rows_per_class: int = 2500
-    byte_budget: int = 8 << 20
+    byte_budget: int = 12 << 20
+    calibration: int = 4            # each so manieth row of the sample calibrates the scores
     epochs: int = 8
     batch: int = 128
     rate: float = 0.08
@@ -110,6 +111,8 @@ class Machine:
     bias: float
     w: np.ndarray
     v: np.ndarray
+    scale: float = 1.0
+    offset: float = 0.0
 
     def raw(self, ptr, idx, val):
         """Scores before the logistic function, and the factor sums."""
@@ -124,6 +127,7 @@ class Machine:
             return np.zeros(0)
         data, offs = common.buffers(texts)
         z, _ = self.raw(*inputs(data, offs, self.cfg))
+        z = self.scale * z + self.offset
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
     def score(self, text: Column) -> Column:
@@ -176,8 +180,30 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Settings | None = None) -> Ma
     """Fit on the bounded labelled sample of ``docs``."""
     cfg = cfg or Settings()
     common.arrow_rows(docs.sparkSession)
-    sample = labelled.sample_texts(docs, labels, "quality", cfg.rows_per_class, cfg.byte_budget)
-    return fit(sample.column("text").combine_chunks(), sample.column("label").to_numpy().astype(float), cfg)
+    sample, shift = labelled.sample_texts(docs, labels, "quality", cfg.rows_per_class, cfg.byte_budget)
+    texts, y = sample.column("text").combine_chunks(), sample.column("label").to_numpy().astype(float)
+    own = np.arange(len(y)) % cfg.calibration == 0
+    model = fit(texts.filter(pa.array(~own)), y[~own], cfg)
+    calibrate(model, texts.filter(pa.array(own)), y[own], shift)
+    return model
+
+
+def calibrate(model: Machine, texts: pa.Array, y: np.ndarray, shift: float) -> None:
+    """Logistic fit of the labels on the raw scores of rows the machine has not
+    seen, each class weighted by its share among all training labels."""
+    if not 0 < y.sum() < len(y):
+        return
+    z = np.concatenate([model.raw(*inputs(*common.buffers(texts.slice(k, model.cfg.batch)), model.cfg))[0]
+                        for k in range(0, len(y), model.cfg.batch)])
+    x = np.stack([z.astype(float), np.ones(len(z))], axis=1)
+    weight = np.where(y == 1, np.exp(shift / 2), np.exp(-shift / 2))
+    b, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        b = b - np.linalg.solve(hess, x.T @ (weight * (p - y)) + 0.1 * (b - prior))
+    if np.isfinite(b).all() and b[0] > 0:
+        model.scale, model.offset = float(b[0]), float(b[1])
 
 
 def scores(docs: DataFrame, model: Machine) -> DataFrame:

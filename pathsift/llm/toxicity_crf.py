@@ -269,8 +269,10 @@ def fit(texts: pa.Array, labels: np.ndarray, cfg: Settings) -> Tagger:
 def train(docs: DataFrame, labels: DataFrame, cfg: Settings | None = None) -> Tagger:
     cfg = cfg or Settings()
     common.arrow_rows(docs.sparkSession)
-    sample = labelled.sample_texts(docs, labels, "toxic", cfg.rows_per_class, cfg.byte_budget)
-    return fit(sample.column("text").combine_chunks(), sample.column("label").to_numpy().astype(int), cfg)
+    sample, shift = labelled.sample_texts(docs, labels, "toxic", cfg.rows_per_class, cfg.byte_budget)
+    model = fit(sample.column("text").combine_chunks(), sample.column("label").to_numpy().astype(int), cfg)
+    model.doc_weights[0] += shift
+    return model
 
 
 def _score(model: Tagger):
