@@ -190,13 +190,20 @@ def collapse(s: str) -> str:
 
 def _text(n: Node, skip=("script", "style")) -> str:
     """Text of ``n`` and its descendants (not its tail), comments excluded."""
-    if n.tag == "#comment":
-        return ""
-    out = [] if n.tag in skip else [n.text]
-    for c in n.children:
-        if c.tag != "#comment" and c.tag not in skip:
-            out.append(_text(c, skip))
-        out.append(c.tail)
+    out, stack = [], [(n, False)]
+    while stack:            # an explicit stack: nesting may be thousands deep
+        node, is_tail = stack.pop()
+        if is_tail:
+            out.append(node.tail)
+            continue
+        if node.tag == "#comment":
+            continue
+        if node.tag not in skip:
+            out.append(node.text)
+        elif node is not n:
+            continue
+        for c in reversed(node.children):
+            stack += [(c, True), (c, False)]
     return "".join(out)
 
 

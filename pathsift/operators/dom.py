@@ -250,7 +250,7 @@ def select_by_attribute_path(nodes: DataFrame, xpaths: DataFrame) -> DataFrame:
     suffix_ok = (n_want == 0) | ((F.size("_anc") >= n_want)
                                  & (F.slice("_anc", F.greatest(F.size("_anc") - n_want + 1, F.lit(1)), n_want)
                                     == F.col("want_anc")))
-    return (nodes.withColumn("_anc", anc).join(F.broadcast(p), ["domain", "tag"])
+    return (nodes.withColumn("_anc", anc).join(p, ["domain", "tag"])
             .filter(suffix_ok & F.col("cls").contains(F.col("want_cls")) & F.col("eid").contains(F.col("want_id")))
             .drop("want_cls", "want_id", "want_anc", "_anc"))
 

@@ -40,10 +40,13 @@ def entities_from_spans(mentions: DataFrame, keep=SPAN_ENTITY_LABELS) -> DataFra
         F.array_join(F.array_sort(F.collect_set(_strip_quotes(F.col("text")))), ",").alias("ner"))
 
 
-def gazetteer_mentions(tokens: DataFrame, gazetteer: DataFrame, max_len: int = 4) -> DataFrame:
+def gazetteer_mentions(tokens: DataFrame, gazetteer: DataFrame, max_len: int | None = None) -> DataFrame:
     """F8: dictionary tagging.  Every 1..``max_len`` token n-gram of a sentence
     is an equi-join probe into ``gazetteer(phrase, label)``; where matches
-    nest, the longest wins.  ``(doc_id, sent, start, n, text, label)``."""
+    nest, the longest wins.  ``max_len`` defaults to the longest phrase of the
+    gazetteer.  ``(doc_id, sent, start, n, text, label)``."""
+    if max_len is None:
+        max_len = gazetteer.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     w = Window.partitionBy("doc_id", "sent").orderBy("pos")
     t = tokens.select("doc_id", "sent", "pos", "token")
     for i in range(1, max_len):
@@ -60,7 +63,7 @@ def gazetteer_mentions(tokens: DataFrame, gazetteer: DataFrame, max_len: int = 4
     g = grams[0]
     for x in grams[1:]:
         g = g.unionByName(x)
-    hits = g.join(F.broadcast(gazetteer.select(F.col("phrase").alias("text"), "label")), "text")
+    hits = g.join(gazetteer.select(F.col("phrase").alias("text"), "label"), "text")
     a, b = hits.alias("a"), hits.alias("b")
     covered = (a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.sent") == F.col("b.sent"))
                       & (F.col("b.start") <= F.col("a.start"))

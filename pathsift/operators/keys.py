@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TRAIN_DOC_LIMIT
 from ..functions.textcols import authority, domain_root
+from ..session import ensure_checkpoint_dir
 
 
 def netloc(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -23,10 +24,13 @@ def dense_ids(values: DataFrame, col: str, id_col: str, start: Column | int = 0)
     """Dense ids ``start + 1 ..`` in sorted order of ``col`` without a global
     single-partition window: range-partition by the value, number rows inside
     each range, and offset each range by the sizes of the ranges before it
-    (one small row per partition)."""
+    (one small row per partition).  The ranges come from a sample, so they are
+    checkpointed: numbers and sizes always see the same ranges."""
     spark = values.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    ranged = values.select(col).repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    ranged = (values.select(col).repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id())
+              .checkpoint())
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
     sizes = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
     offs = sizes.withColumn(
@@ -45,9 +49,8 @@ def get_or_create_keys(names: DataFrame, existing: DataFrame, name_col: str, id_
     if dup:
         raise ValueError(f"{name_col} maps to more than one {id_col}")
     new = names.select(name_col).distinct().join(existing.select(name_col), name_col, "left_anti")
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    fresh = dense_ids(new, name_col, "_rank").crossJoin(F.broadcast(top)) \
-        .select(name_col, (F.col("_top") + F.col("_rank")).alias(id_col))
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top")).scalar()
+    fresh = dense_ids(new, name_col, id_col, start=top)
     return existing.select(id_col, name_col).unionByName(fresh.select(id_col, name_col))
 
 

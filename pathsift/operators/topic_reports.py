@@ -42,7 +42,7 @@ def topic_overlaps(topic_terms: DataFrame, query_words: DataFrame, n: int = TOP_
     query-word group: ``(key, topic, terms)`` with the topic's terms in rank
     order.  All topics take part."""
     t = top_terms(_drop_stop(topic_terms), n, weight_col=weight_col)
-    hit = t.join(F.broadcast(query_words.select("key", F.col("word").alias("term"))), "term") \
+    hit = t.join(query_words.select("key", F.col("word").alias("term")), "term") \
            .select("key", "topic").distinct()
     return _ordered_terms(t.join(hit, "topic"), ["key", "topic"])
 
@@ -51,7 +51,7 @@ def unique_query_terms(topic_terms: DataFrame, query_words: DataFrame, n: int =
                        weight_col: str = "weight") -> DataFrame:
     """Per query key, the distinct terms of all its overlapping topics."""
     t = top_terms(_drop_stop(topic_terms), n, weight_col=weight_col)
-    hit = t.join(F.broadcast(query_words.select("key", F.col("word").alias("term"))), "term") \
+    hit = t.join(query_words.select("key", F.col("word").alias("term")), "term") \
            .select("key", "topic").distinct()
     return t.join(hit, "topic").groupBy("key").agg(
         F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("terms"))
@@ -81,20 +81,24 @@ def topic_distances(topic_terms: DataFrame) -> DataFrame:
     vectors (a term missing from a topic counts 0):
     ``sqrt(|a|^2 + |b|^2 - 2 a.b)``.
 
-    Pairs come from the join on shared terms, so each term fans out to at
-    most (topics per term)^2 rows -- bounded by the model's topic count.  A
-    topic-term matrix from LDA is dense, so every pair shares terms; pairs of
-    topics without a single shared term are not listed.
+    Every pair of topics is listed (the grid is bounded by the model's topic
+    count); pairs without a shared term have a product of 0.  Products come
+    from the join on shared terms, one triangle only.
     """
     sq = topic_terms.groupBy("topic").agg(F.sum(F.col("weight") * F.col("weight")).alias("nn"))
     a = topic_terms.select(F.col("topic").alias("topic_a"), "term", F.col("weight").alias("wa"))
     b = topic_terms.select(F.col("topic").alias("topic_b"), "term", F.col("weight").alias("wb"))
-    dot = a.join(b, "term").groupBy("topic_a", "topic_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    dot = (a.join(b, "term").filter("topic_a <= topic_b").groupBy("topic_a", "topic_b")
+           .agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")))
     na = sq.select(F.col("topic").alias("topic_a"), F.col("nn").alias("na"))
     nb = sq.select(F.col("topic").alias("topic_b"), F.col("nn").alias("nb"))
-    d2 = F.greatest(F.col("na") + F.col("nb") - 2 * F.col("dot"), F.lit(0.0))
-    return (dot.join(F.broadcast(na), "topic_a").join(F.broadcast(nb), "topic_b")
-            .select("topic_a", "topic_b", F.sqrt(d2).alias("distance")))
+    grid = na.join(nb, F.col("topic_a") <= F.col("topic_b")).join(dot, ["topic_a", "topic_b"], "left")
+    d2 = F.greatest(F.col("na") + F.col("nb") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0))
+    half = grid.select("topic_a", "topic_b", F.sqrt(d2).alias("distance"))
+    sides = F.when(F.col("topic_a") == F.col("topic_b"), F.array(F.struct("topic_a", "topic_b"))).otherwise(
+        F.array(F.struct("topic_a", "topic_b"),
+                F.struct(F.col("topic_b").alias("topic_a"), F.col("topic_a").alias("topic_b"))))
+    return half.select(F.explode(sides).alias("p"), "distance").select("p.topic_a", "p.topic_b", "distance")
 
 
 def similar_topics(distances: DataFrame, topic_terms: DataFrame, n: int = SIMILAR_TOPICS,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.constants import STOP_WORDS
 from ..operators import topic_reports as tr
 from ..sources import tables as tb
 from . import oracle_views as ov
@@ -92,8 +91,9 @@ def i13_normalized_unique_terms(spark, sf):
 DIST_SQL = """sq AS (SELECT topic, sum(weight * weight) AS nn FROM topic_terms GROUP BY topic),
 dot AS (SELECT a.topic AS topic_a, b.topic AS topic_b, sum(a.weight * b.weight) AS dot
         FROM topic_terms a JOIN topic_terms b USING (term) GROUP BY 1, 2),
-dist AS (SELECT topic_a, topic_b, sqrt(greatest(na.nn + nb.nn - 2 * dot, 0.0)) AS distance
-         FROM dot JOIN sq na ON na.topic = topic_a JOIN sq nb ON nb.topic = topic_b)"""
+dist AS (SELECT na.topic AS topic_a, nb.topic AS topic_b,
+         sqrt(greatest(na.nn + nb.nn - 2 * coalesce(dot, 0.0), 0.0)) AS distance
+         FROM sq na CROSS JOIN sq nb LEFT JOIN dot ON topic_a = na.topic AND topic_b = nb.topic)"""
 
 
 @query("i14_topic_distances", f"""WITH {ov.TOPIC_TERMS}, {DIST_SQL}
@@ -116,8 +116,6 @@ def i15_similar_topics(spark, sf):
     return s.select("topic_a", "rank", "topic_b", F.round("distance", 8).alias("distance"), "terms")
 
 
-del STOP_WORDS
-
 
 @query("a10_report_lines", f"""WITH {ov.TOPIC_TERMS}, {QW_SQL}, {_overlap_sql('topic_terms', 'weight')},
 o AS (SELECT hit.key, hit.topic, string_agg(t.term, ', ' ORDER BY t.rank) AS terms
