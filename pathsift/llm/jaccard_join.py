@@ -374,6 +374,19 @@ def _sets(wanted: np.ndarray, cfg: Settings):
     return run
 
 
+def _named_sets(wanted: np.ndarray):
+    """Rows of the sets table whose classes pass the filter."""
+    bits = int(len(wanted) * 8).bit_length() - 1
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                slot = _slots(np.frombuffer(b"".join(b.column("cls").to_pylist()), U64).reshape(-1, 2), bits)
+                pick = (wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+                yield b.filter(pa.array(pick == 1))
+    return run
+
+
 _RANGES = np.arange(1, 16, dtype=U64) << U64(60)
 
 
@@ -408,8 +421,11 @@ def _verify(cfg: Settings):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b), written, and the links among them."""
+    """The pairs (a, b), written, and the links among them.  Only the sets that
+    these pairs name are shuffled."""
     pairs = common.saved(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = sets.mapInArrow(_named_sets(class_filter(named, cfg)), SETS)
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
     return pairs, common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), "links")
