@@ -33,7 +33,7 @@ def topic_documents(rep: DataFrame, topic: int | None = None, limit: int | None
 
 
 def docs_per_day(topic_docs: DataFrame) -> DataFrame:
-    """Documents per day within the topic's result rows."""
+    """Documents of each topic per day."""
     return topic_docs.groupBy("main_topic", F.to_date("extracted_at").alias("day")) \
                      .agg(F.count("*").cast("long").alias("n_docs"))
 
@@ -111,19 +111,21 @@ def ordered(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
 
 
 def topic_page(extracts: DataFrame, topic_terms: DataFrame, topic: int) -> dict[str, DataFrame]:
-    """J3 + J4 + I3 + I9 for one topic; the article rows are cached once."""
+    """J3 + J4 + I3 + I9 for one topic.  The article list is one page of
+    ``RESULT_LIMIT`` rows; the days count all of the topic's documents."""
     from .topic_reports import cloud_sizes, top_terms
     rep = representative(extracts)
-    docs = topic_documents(rep, topic).cache()
+    docs = topic_documents(rep, topic, limit=None)
     terms = top_terms(topic_terms, TOP_TERMS_APP).filter(F.col("topic") == topic)
-    return {"articles": article_list(docs), "per_day": docs_per_day(docs),
+    return {"articles": article_list(topic_documents(rep, topic)), "per_day": docs_per_day(docs),
             "keywords": terms, "cloud": cloud_sizes(terms)}
 
 
 def entity_page(extracts: DataFrame, topic_terms: DataFrame, keywords: Sequence[str]) -> dict[str, DataFrame]:
-    """J5 + J6 + J7 + J8 for a keyword list; the hit rows are cached once."""
+    """J5 + J6 + J7 + J8 for a keyword list.  The article list is one page of
+    ``RESULT_LIMIT`` rows a keyword; topics count all hits."""
     rep = representative(extracts)
-    hits = entity_hits(entity_search(rep, keywords)).cache()
-    per_topic = hits_per_topic(hits)
-    return {"articles": article_list(hits), "per_topic": per_topic,
+    page = entity_hits(entity_search(rep, keywords))
+    per_topic = hits_per_topic(entity_hits(entity_search(rep, keywords, limit=None)))
+    return {"articles": article_list(page), "per_topic": per_topic,
             "keywords": hit_topic_keywords(per_topic, topic_terms).orderBy("weight")}

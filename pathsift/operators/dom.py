@@ -207,10 +207,12 @@ def short_attribute_paths(summary: DataFrame) -> DataFrame:
     """For every summary path that has a structural descendant, one
     ``//*/tag[contains(@class,'c')][contains(@id,'i')]`` per stored value."""
     s = summary.select("domain", "dict_path", "values")
-    desc = summary.select("domain", F.col("dict_path").alias("child_path"))
-    parents = (s.join(desc, "domain")
-               .filter(F.col("child_path").startswith(F.concat(F.col("dict_path"), F.lit("/"))))
-               .select("domain", "dict_path", "values").distinct())
+    steps = F.split("dict_path", "/")
+    above = (summary.filter(F.size(steps) > 1)
+             .select("domain", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1),
+                                                     lambda n: F.array_join(F.slice(steps, 1, n), "/")))
+                     .alias("dict_path")).distinct())
+    parents = s.join(above, ["domain", "dict_path"], "left_semi")
     v = parents.select("domain", F.element_at(F.split("dict_path", "/"), -1).alias("tag"),
                        F.explode("values").alias("v"))
     return v.select("domain", F.concat(F.lit("//*/"), F.col("tag"),
@@ -253,7 +255,3 @@ def select_by_attribute_path(nodes: DataFrame, xpaths: DataFrame) -> DataFrame:
     return (nodes.withColumn("_anc", anc).join(p, ["domain", "tag"])
             .filter(suffix_ok & F.col("cls").contains(F.col("want_cls")) & F.col("eid").contains(F.col("want_id")))
             .drop("want_cls", "want_id", "want_anc", "_anc"))
-
-
-def seq_window(domain_col: str = "domain", order_col: str = "page_id"):
-    return Window.partitionBy(domain_col).orderBy(order_col)

@@ -77,6 +77,17 @@ def longest_extract(items: DataFrame, keep_empty: bool = False) -> DataFrame:
             .select("page_id", "domain", "b.xpath", "b.content", (-F.col("b.nl")).alias("content_length")))
 
 
+def page_outcomes(pages_df: DataFrame, main: DataFrame, model: DataFrame) -> DataFrame:
+    """One row per page: ``extracted``, and where it is false the ``reason``:
+    ``no_model`` (its domain never gave content paths) or ``no_text``."""
+    done = main.select("page_id").withColumn("extracted", F.lit(True))
+    known = model.select("domain").distinct().withColumn("_known", F.lit(True))
+    out = pages_df.select("page_id", "domain").join(done, "page_id", "left").join(known, "domain", "left")
+    return out.select("page_id", "domain", F.coalesce("extracted", F.lit(False)).alias("extracted"),
+                      F.when(F.col("extracted"), F.lit(None)).when(F.col("_known"), F.lit("no_text"))
+                      .otherwise(F.lit("no_model")).alias("reason"))
+
+
 def extract_records(main: DataFrame, titles: DataFrame | None = None,
                     topics: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """the stored extract row (M3): path, text, document, type, length,

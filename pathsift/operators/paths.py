@@ -100,7 +100,6 @@ def path_ratios(items: DataFrame, normalized: bool = True, partitions: int | Non
     texts = it.select("tid", "item").dropDuplicates(["tid"])
     n_items = it.groupBy("domain", "path", "seq").agg(F.count("*").alias("n_items"))
 
-    first = items.groupBy("domain", "path").agg(F.min("seq").alias("first_seen"))
     a = it.select("domain", "path", F.col("seq").alias("k"), F.col("tid").alias("a"))
     b = it.select("domain", "path", F.col("seq").alias("j"), F.col("tid").alias("b"))
     bg = (a.join(b, ["domain", "path"]).filter(F.col("j") < F.col("k")).select("domain", "path", "k", "a", "b"))
@@ -122,10 +121,13 @@ def path_ratios(items: DataFrame, normalized: bool = True, partitions: int | Non
          .withColumnRenamed("k", "seq")
          .join(n_items, ["domain", "path", "seq"]))
     ratio = F.col("m") / F.col("n_items") if normalized else F.col("m")
-    del first
     return r.select("domain", "path", "seq", "n_items", ratio.alias("ratio"))
 
 
+#: By its formula the same ratio as E2.
+ngram_ratios = path_ratios
+
+
 # ------------------------------------------------------------------ E5
 
 def ratio_history(ratios: DataFrame) -> DataFrame:

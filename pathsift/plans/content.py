@@ -22,6 +22,7 @@ from ..session import cores, num_partitions
 class ContentRun:
     nodes: DataFrame
     train: DataFrame
+    items: DataFrame
     ratios: DataFrame
     model: DataFrame
     main: DataFrame
@@ -57,7 +58,7 @@ def train_and_extract(pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT,
     pm = extract.page_model(pages_df, tr, model, limit, small=small)
     items_x = extract.content_items(nodes, pm, model, small=small_model)
     main = extract.longest_extract(items_x, keep_empty=keep_empty)
-    return ContentRun(nodes, tr, ratios, model, main)
+    return ContentRun(nodes, tr, items, ratios, model, main)
 
 
 BROADCAST_ROWS = 2_000_000

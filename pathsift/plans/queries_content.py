@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dom, keys, paths
+from ..operators import dom, extract, keys, paths
 from ..sources import tables as tb
 from . import oracle_views as ov
 from .content import train_and_extract
@@ -17,6 +17,15 @@ def f1_main_extract(spark, sf):
     return train_and_extract(tb.pages(spark, sf)).main
 
 
+@query("f1_page_outcomes", f"""WITH x AS ({ov.main_extract_sql()}), {ov.PAGES}
+SELECT pg.page_id, pg.domain, x.page_id IS NOT NULL AS extracted FROM pg LEFT JOIN x USING (page_id)""")
+def f1_page_outcomes(spark, sf):
+    """One row for every page: extracted, or why not."""
+    p = tb.pages(spark, sf)
+    run = train_and_extract(p)
+    return extract.page_outcomes(p, run.main, run.model).select("page_id", "domain", "extracted")
+
+
 @query("e2_path_ratio", f"""WITH {ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}
 SELECT domain, path, CAST(seq AS INTEGER) AS seq, CAST(n_items AS BIGINT) AS n_items,
        round(ratio, 8) AS ratio FROM rat""")
@@ -26,6 +35,14 @@ def e2_path_ratio(spark, sf):
                              F.round("ratio", 8).alias("ratio"))
 
 
+@query("e1_path_ratio_plain", f"""WITH {ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}
+SELECT domain, path, CAST(seq AS INTEGER) AS seq, round(ratio * n_items, 6) AS ratio FROM rat""")
+def e1_path_ratio_plain(spark, sf):
+    run = train_and_extract(tb.pages(spark, sf))
+    return paths.path_ratios(run.items, normalized=False).select("domain", "path", "seq",
+                                                                 F.round("ratio", 6).alias("ratio"))
+
+
 @query("e7_content_paths", f"""WITH {ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}, {ov.MODEL}
 SELECT domain, CAST(seq AS INTEGER) AS seq, path, is_content FROM model""")
 def e7_content_paths(spark, sf):
@@ -35,13 +52,6 @@ def e7_content_paths(spark, sf):
 
 # ---------------------------------------------------------------- B: keys
 
-PROC_SQL = f"""{ov.PAGES}, {ov.TRAIN}, proc AS (SELECT * FROM tr WHERE seq <= 50)"""
-
-
-def _processed(p):
-    return paths.training_pages(p)
-
-
 @query("b1_netloc", f"WITH {ov.PAGES} SELECT page_id, domain AS netloc FROM pg")
 def b1_netloc(spark, sf):
     return keys.netloc(tb.pages(spark, sf)).select("page_id", "netloc")
@@ -91,15 +101,15 @@ def b5_unprocessed(spark, sf):
     return keys.unprocessed(p, done).select("page_id", "url")
 
 
-B7_SQL = f"""{PROC_SQL},
+B7_SQL = f"""{ov.PAGES},
 b7 AS (SELECT d.domain, CAST(coalesce(c.n, 0) AS BIGINT) AS n_docs
        FROM (SELECT DISTINCT domain FROM pg) d
-       LEFT JOIN (SELECT domain, count(*) AS n FROM proc GROUP BY 1) c USING (domain))"""
+       LEFT JOIN (SELECT domain, count(*) AS n FROM pg GROUP BY 1) c USING (domain))"""
 
 
 def _b7(spark, sf):
     p = tb.pages(spark, sf)
-    return keys.per_domain_counts(_processed(p), p)
+    return keys.per_domain_counts(p, p)
 
 
 @query("b7_docs_per_domain", f"WITH {B7_SQL} SELECT domain, n_docs FROM b7")
@@ -193,7 +203,7 @@ def d15_full_attribute_paths(spark, sf):
     return dom.full_attribute_paths(dom.dom_summary(_nodes(spark, sf, ())))
 
 
-@query("d16_select_by_attribute_path", f"""WITH {D15_SQL}, {ov.NODES.replace("'empty' AS item", "'empty' AS item")}
+@query("d16_select_by_attribute_path", f"""WITH {D15_SQL}, {ov.NODES}
 SELECT n.page_id, d15.xpath, n.path AS abs_path FROM d15 JOIN node n ON n.domain = d15.domain
   AND n.path = '/html/' || regexp_extract(d15.xpath, '^//\\*/([^\\[]*)', 1)
   AND (n.path <> '/html/body/div' OR d15.xpath NOT LIKE '%@class%' OR d15.xpath LIKE '%''ad''%')

@@ -21,7 +21,7 @@ HITS_SQL = f"""{REP_SQL},
 hits0 AS (SELECT rep.*, kw AS keyword FROM rep, unnest({KW_SQL}) AS t(kw)
           WHERE contains(lower(coalesce(ner, '')), kw)),
 hits AS (SELECT * FROM hits0 QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY document_id DESC) <= 50),
-hitd AS (SELECT DISTINCT document_id, content, title, main_topic, extracted_at, ner FROM hits)"""
+hitd AS (SELECT DISTINCT document_id, content, title, main_topic, extracted_at, ner FROM hits0)"""
 
 
 def _rep(spark, sf):
@@ -49,10 +49,18 @@ def j3_topic_documents(spark, sf):
     return db.topic_documents(_rep(spark, sf)).select("main_topic", "document_id", "title", "extracted_at")
 
 
+@query("j3_topic_documents_all", f"""WITH {REP_SQL}
+SELECT main_topic, document_id, title, extracted_at FROM rep""")
+def j3_topic_documents_all(spark, sf):
+    docs = db.topic_documents(_rep(spark, sf), limit=None)
+    return db.ordered(docs, "extracted_at", descending=True).select("main_topic", "document_id", "title",
+                                                                    "extracted_at")
+
+
 @query("j4_docs_per_day", f"""WITH {TOPIC_DOCS_SQL}
-SELECT main_topic, CAST(extracted_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS n_docs FROM td GROUP BY ALL""")
+SELECT main_topic, CAST(extracted_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS n_docs FROM rep GROUP BY ALL""")
 def j4_docs_per_day(spark, sf):
-    return db.docs_per_day(db.topic_documents(_rep(spark, sf)))
+    return db.docs_per_day(db.topic_documents(_rep(spark, sf), limit=None))
 
 
 @query("j5_entity_search", f"WITH {HITS_SQL} SELECT keyword, document_id, main_topic FROM hits")
@@ -60,15 +68,20 @@ def j5_entity_search(spark, sf):
     return db.entity_search(_rep(spark, sf), KW).select("keyword", "document_id", "main_topic")
 
 
+@query("j5_entity_search_all", f"WITH {HITS_SQL} SELECT keyword, document_id, main_topic FROM hits0")
+def j5_entity_search_all(spark, sf):
+    return db.entity_search(_rep(spark, sf), KW, limit=None).select("keyword", "document_id", "main_topic")
+
+
 @query("j6_entity_hits", f"WITH {HITS_SQL} SELECT document_id, extracted_at FROM hitd")
 def j6_entity_hits(spark, sf):
-    return db.entity_hits(db.entity_search(_rep(spark, sf), KW)).select("document_id", "extracted_at")
+    return db.entity_hits(db.entity_search(_rep(spark, sf), KW, limit=None)).select("document_id", "extracted_at")
 
 
 @query("j7_hits_per_topic", f"""WITH {HITS_SQL}
 SELECT main_topic, CAST(count(*) AS BIGINT) AS n_docs FROM hitd GROUP BY main_topic""")
 def j7_hits_per_topic(spark, sf):
-    return db.hits_per_topic(db.entity_hits(db.entity_search(_rep(spark, sf), KW)))
+    return db.hits_per_topic(db.entity_hits(db.entity_search(_rep(spark, sf), KW, limit=None)))
 
 
 @query("j8_hit_topic_keywords", f"""WITH {HITS_SQL}, {ov.TOPIC_TERMS},
@@ -77,7 +90,7 @@ top AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER
 SELECT topic, term, round(weight, 8) AS weight, CAST(rank AS INTEGER) AS rank FROM top
 WHERE topic IN (SELECT main_topic FROM hitd)""")
 def j8_hit_topic_keywords(spark, sf):
-    per = db.hits_per_topic(db.entity_hits(db.entity_search(_rep(spark, sf), KW)))
+    per = db.hits_per_topic(db.entity_hits(db.entity_search(_rep(spark, sf), KW, limit=None)))
     k = db.hit_topic_keywords(per, tb.topic_terms(spark, sf))
     return k.select("topic", "term", F.round("weight", 8).alias("weight"), "rank")
 
@@ -135,3 +148,17 @@ SELECT main_topic, CAST(count(*) AS BIGINT) AS n_docs FROM hitd GROUP BY main_to
 def j17_entity_page_topics(spark, sf):
     page = db.entity_page(tb.extracts(spark, sf), tb.topic_terms(spark, sf), KW)
     return page["per_topic"]
+
+
+@query("j16_topic_page_days", f"""WITH {REP_SQL}
+SELECT main_topic, CAST(extracted_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS n_docs
+FROM rep WHERE main_topic = 5 GROUP BY ALL""")
+def j16_topic_page_days(spark, sf):
+    return db.topic_page(tb.extracts(spark, sf), tb.topic_terms(spark, sf), 5)["per_day"]
+
+
+@query("j17_entity_page_articles", f"""WITH {HITS_SQL}
+SELECT DISTINCT title, document_id AS article_id FROM hits""")
+def j17_entity_page_articles(spark, sf):
+    page = db.entity_page(tb.extracts(spark, sf), tb.topic_terms(spark, sf), KW)
+    return page["articles"].select("title", "article_id")

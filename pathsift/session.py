@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,23 +47,20 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is left untouched.  Only
-    when it is unset (local tests) is a fresh scratch folder created.
+    On a cluster the setting names shared storage and is left untouched; it is
+    an error to leave it unset there.  In local mode a fresh scratch folder is
+    created.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         cur = tempfile.mkdtemp(prefix="pathsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)
     return cur
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def cores(spark: SparkSession) -> int:
     """Default parallelism of the cluster (shuffle partitions when the
     session does not expose a SparkContext, e.g. Spark Connect)."""
