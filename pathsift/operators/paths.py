@@ -35,9 +35,9 @@ from . import dom
 
 
 def text_id(c) -> F.Column:
-    """Compact id of a text item; length is part of it so a hash collision
-    would also need equal lengths."""
-    return F.struct(F.xxhash64(c).alias("h"), F.length(c).alias("n"))
+    """Id of a text item: its SHA-256, since two texts that shared an id would
+    share their distances, and its length, which the ratio needs."""
+    return F.struct(F.unhex(F.sha2(c, 256)).alias("h"), F.length(c).alias("n"))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -56,5 +56,7 @@ def test_reloaded_topic_model_scores_identically(spark, tmp_path):
     again = topics.load_model(str(tmp_path), model.name)
     a = sorted(map(tuple, topics.main_topics(model, tokens).collect()))
     assert a == sorted(map(tuple, topics.main_topics(again, tokens).collect()))
-    sums = topics.topic_term_weights(again, spark).groupBy("topic").agg(F.sum("weight").alias("s")).collect()
+    weights = topics.topic_term_weights(topics.stored_lambda(spark, str(tmp_path), model.name),
+                                        topics.stored_vocabulary(spark, str(tmp_path), model.name))
+    sums = weights.groupBy("topic").agg(F.sum("weight").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in sums)
