@@ -4,10 +4,12 @@ A document's histogram of character classes and its histogram over the most
 common words of its language are compared with references by the
 Jensen-Shannon distance (square root of the divergence in bits).  The
 references are the same histograms over all documents: one per language that
-holds a thousandth of all words or more (so at most a thousand), and one of
-all texts together for the rest and for null languages.  A distance counts
-only where the document is long enough for its histogram, and its limit is
-relaxed by the divergence that sampling alone gives to a text of that length.
+holds ``reference_words`` words or, in a small table, ``min_share`` of all
+words, and one of all texts together.  A text without a reference of its own
+(null or scarcer language) takes the least distance over all references.  A
+distance counts only where the document is long enough for its histogram, and
+its limit is relaxed by the divergence that sampling alone gives to a text of
+that length.
 
 The fixed base rules (length, repeated word windows) stand beside it.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -60,6 +62,8 @@ class Rules:
     min_word_tokens: int = 100
     slack: float = 0.8
     min_share: float = 0.001
+    reference_words: int = 20_000
+    cells: int = 1 << 17
     flush_words: int = 1 << 20
 
 
@@ -154,28 +158,42 @@ def _count_parts(rules: Rules):
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """language -> (class shares, common word hashes ascending, their shares);
-    ``POOLED`` holds all texts together.  At most ``common_words`` rows for
-    each of at most ``1 / min_share`` languages reach the driver."""
+    """``=`` and language -> (class shares, common word hashes ascending, their shares);
+    ``POOLED`` holds all texts together.  At most ``common_words`` rows (16
+    bytes each) of each language that holds ``reference_words`` words reach the
+    driver, however small its share of the table."""
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     parts = rows.mapInArrow(_count_parts(rules), PARTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     parts = common.saved(parts, "histograms")
     words = parts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     total = words.agg(F.sum("total")).first()[0] or 0
-    out = {}
-    pooled = (parts.groupBy("kind", "item").agg(F.sum("n").alias("n")))
-    named = {r["lang"]: r["total"] for r in words.filter(F.col("total") >= max(1, rules.min_share * total)).collect()
-             if r["lang"]}
-    for name, frame, size in [(POOLED, pooled, total),
-                              *((k, parts.filter(F.col("lang") == k), v) for k, v in named.items())]:
-        classes = np.zeros(CLASSES)
-        for r in frame.filter("kind = 0").select("item", "n").collect():
-            classes[r["item"]] = r["n"]
-        top = frame.filter("kind = 1").orderBy(F.desc("n"), "item").limit(rules.common_words).collect()
-        h = np.array([r["item"] for r in top], dtype=np.int64).view(U64)
-        share = np.array([r["n"] for r in top], dtype=float) / max(size, 1)
-        order = np.argsort(h)
-        out[name] = (classes / max(classes.sum(), 1.0), h[order], share[order])
+    pooled = parts.groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    least = max(1, min(rules.min_share * total, rules.reference_words))
+    named = words.filter((F.col("total") >= least) & (F.col("lang") != "")).select("lang", "total")
+    sizes = {POOLED: total} | {f"={r['lang']}": r["total"] for r in named.collect()}
+    mine = parts.join(F.broadcast(named.select("lang")), "lang", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+    cols = "lang", "item", "n"
+    top = [pooled.filter("kind = 1").orderBy(F.desc("n"), "item").limit(rules.common_words)
+           .select(F.lit(POOLED).alias("lang"), "item", "n"),
+           mine.filter("kind = 1").withColumn("rank", rank).filter(F.col("rank") <= rules.common_words)
+           .select(F.concat(F.lit("="), "lang").alias("lang"), "item", "n")]
+    kinds = [pooled.filter("kind = 0").select(F.lit(POOLED).alias("lang"), "item", "n"),
+             mine.filter("kind = 0").select(F.concat(F.lit("="), "lang").alias("lang"), "item", "n")]
+    classes = {k: np.zeros(CLASSES) for k in sizes}
+    for r in (x for f in kinds for x in f.select(*cols).collect()):
+        classes[r["lang"]][r["item"]] = r["n"]
+    found = {k: (np.zeros(0, U64), np.zeros(0)) for k in sizes}
+    for frame in top:
+        rows = frame.select(*cols).toArrow().to_pydict()
+        lang = np.array(rows["lang"], dtype=object)
+        item, n = np.array(rows["item"], dtype=np.int64).view(U64), np.array(rows["n"], dtype=float)
+        order = np.lexsort((item, lang.astype(str)))
+        cuts = np.flatnonzero(lang[order][1:] != lang[order][:-1]) + 1
+        for at in np.split(order, cuts):
+            if len(at):
+                found[lang[at[0]]] = item[at], n[at] / max(sizes[lang[at[0]]], 1)
+    out = {k: (classes[k] / max(classes[k].sum(), 1.0), *found[k]) for k in sizes}
     return out
 
 
@@ -204,6 +222,33 @@ def _judge(refs, rules: Rules):
     order = np.argsort(keys)
     keys, share = keys[order], share[order]
     rest_ref = np.array([1 - refs[k][2].sum() for k in names])
+    # the references that hold each word: of word i those from start[i] to start[i + 1]
+    word = np.concatenate([refs[k][1] for k in names])
+    holder = np.repeat(np.arange(len(names)), [len(refs[k][1]) for k in names])
+    by_word = np.argsort(word, kind="stable")
+    holder, held_share = holder[by_word], np.concatenate([refs[k][2] for k in names])[by_word]
+    vocabulary, start = np.unique(word[by_word], return_index=True)
+    start = np.append(start, len(word))
+
+    def least_distances(classes, doc, hashes, n_words):
+        """The least distance of each document to any of the references."""
+        n, m = len(classes), len(names)
+        shares = classes / np.maximum(classes.sum(axis=1), 1)[:, None]
+        char_d = js_distance(shares[:, None, :], class_ref[None]).min(axis=1)
+        at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
+        known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), dtype=bool)
+        cell, count = np.unique(doc[known] * max(len(vocabulary), 1) + at[known], return_counts=True)
+        cd, cw = cell // max(len(vocabulary), 1), cell % max(len(vocabulary), 1)
+        p = count / np.maximum(n_words, 1)[cd]
+        times = start[cw + 1] - start[cw]
+        entry = np.repeat(start[cw] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        to, p, q = np.repeat(cd, times) * m + holder[entry], np.repeat(p, times), held_share[entry]
+        seen_p = np.bincount(to, weights=p, minlength=n * m).reshape(n, m)
+        seen_q = np.bincount(to, weights=q, minlength=n * m).reshape(n, m)
+        div = np.bincount(to, weights=_half_terms(p, q), minlength=n * m).reshape(n, m)
+        div = div + _half_terms(np.maximum(1 - seen_p, 0), np.maximum(rest_ref, 0)[None])
+        div += np.maximum(1 - rest_ref[None] - seen_q, 0) / 2
+        return char_d, np.sqrt(np.maximum(div, 0)).min(axis=1)
 
     def run(batches):
         for b in common.bounded(batches):
@@ -211,14 +256,17 @@ def _judge(refs, rules: Rules):
             n = len(offs) - 1
             facts = base_facts(data, offs)
             doc, (s, e) = facts.pop("_doc"), facts.pop("_data")
-            lang = np.array([index.get(x, index[POOLED]) for x in b.column("lang").to_pylist()], dtype=np.int64)
+            lang = np.array([index.get(f"={x}", -1) for x in b.column("lang").to_pylist()], dtype=np.int64)
+            lonely = np.flatnonzero(lang < 0)
+            lang[lonely] = index[POOLED]
             classes = _class_counts(data, offs)
             chars = classes.sum(axis=1)
             char_d = js_distance(classes / np.maximum(chars, 1)[:, None], class_ref[lang])
             # words: only cells that the document has, and the reference's remaining mass
             word_d = np.ones(n)
             if len(keys) and len(doc):
-                k = common.mix64(common.range_hashes(data, s, e) + salt[lang[doc]])
+                hashes = common.range_hashes(data, s, e)
+                k = common.mix64(hashes + salt[lang[doc]])
                 at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                 known = keys[at] == k
                 cell, count = np.unique(doc[known] * len(keys) + at[known], return_counts=True)
@@ -231,6 +279,13 @@ def _judge(refs, rules: Rules):
                 div += _half_terms(np.maximum(1 - seen_p, 0), np.maximum(rest, 0))
                 div += np.maximum(1 - rest - seen_q, 0) / 2
                 word_d = np.sqrt(np.maximum(div, 0))
+                step = max(1, rules.cells // len(names))
+                for part in (lonely[i:i + step] for i in range(0, len(lonely), step)):
+                    place = np.full(n, -1, dtype=np.int64)
+                    place[part] = np.arange(len(part))
+                    mine = place[doc] >= 0
+                    char_d[part], word_d[part] = least_distances(classes[part], place[doc[mine]], hashes[mine],
+                                                                 facts["n_words"][part])
             with np.errstate(divide="ignore", invalid="ignore"):
                 # n draws over k cells diverge from their own source by about k / (8 n ln 2)
                 char_ok = (chars < rules.min_chars) | (
