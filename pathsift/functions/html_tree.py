@@ -73,6 +73,7 @@ class _Builder(HTMLParser):
         self.body = None
         self.stack = [self.root]
         self.doctype = None
+        self.failed = False
 
     # -- structure helpers
     def _cur(self):
@@ -95,6 +96,12 @@ class _Builder(HTMLParser):
             self.stack.append(self.body)
 
     # -- parser callbacks
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:      # a marked section of unknown name, as <![foo]>: a comment up to its ">"
+            return self.parse_bogus_comment(i)
+
     def handle_decl(self, decl):
         if self.doctype is None and decl[:7].upper() == "DOCTYPE":
             self.doctype = decl[7:].strip()
@@ -179,11 +186,16 @@ def parse(html: str) -> _Builder:
     try:
         b.feed(html or "")
         b.close()
-    except Exception:  # malformed markup: keep what was built so far
-        pass
+    except Exception:  # what was built so far is only a part of the page
+        b.failed = True
     return b
 
 
+def fails(html: str) -> bool:
+    """Does the parser stop before the end of the page?"""
+    return parse(html).failed
+
+
 def collapse(s: str) -> str:
     return " ".join(s.split())
 
@@ -246,9 +258,12 @@ def page_records(html: str):
     ``(abs_path, tag_path, positions, chain, in_body, node)``: ``abs_path`` is
     the element path with an index only where same-tag siblings exist,
     ``positions`` the 1-based same-tag position at every step, ``chain`` the
-    tags strictly between ``body`` and the element.
+    tags strictly between ``body`` and the element.  A page that can't be
+    parsed to its end has no nodes.
     """
     b = parse(html)
+    if b.failed:
+        return None, None, []
     title = None
     stack = [(b.root, "/html", "/html", [1], [], False)]
     out = []

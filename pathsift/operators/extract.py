@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import html_tree
 from ..functions.constants import EMPTY, TRAIN_DOC_LIMIT, XPATH_TYPE
 from . import dom
 
@@ -79,13 +81,19 @@ def longest_extract(items: DataFrame, keep_empty: bool = False) -> DataFrame:
 
 def page_outcomes(pages_df: DataFrame, main: DataFrame, model: DataFrame) -> DataFrame:
     """One row per page: ``extracted``, and where it is false the ``reason``:
-    ``no_model`` (its domain never gave content paths) or ``no_text``."""
+    ``parse_error`` (the markup, where the pages have ``html``, can't be parsed
+    to its end), ``no_model`` (its domain never gave content paths) or ``no_text``."""
     done = main.select("page_id").withColumn("extracted", F.lit(True))
     known = model.select("domain").distinct().withColumn("_known", F.lit(True))
-    out = pages_df.select("page_id", "domain").join(done, "page_id", "left").join(known, "domain", "left")
+    has_html = "html" in pages_df.columns
+    out = pages_df.select("page_id", "domain", *["html"] * has_html).join(done, "page_id", "left")
+    # only pages without an extract are parsed again
+    fails = F.udf(html_tree.fails, T.BooleanType())
+    broken = fails(F.when(F.col("extracted").isNull(), F.col("html"))) if has_html else F.lit(False)
+    out = out.withColumn("_broken", broken).drop("html").join(known, "domain", "left")
     return out.select("page_id", "domain", F.coalesce("extracted", F.lit(False)).alias("extracted"),
-                      F.when(F.col("extracted"), F.lit(None)).when(F.col("_known"), F.lit("no_text"))
-                      .otherwise(F.lit("no_model")).alias("reason"))
+                      F.when(F.col("extracted"), F.lit(None)).when(F.col("_broken"), F.lit("parse_error"))
+                      .when(F.col("_known"), F.lit("no_text")).otherwise(F.lit("no_model")).alias("reason"))
 
 
 def extract_records(main: DataFrame, titles: DataFrame | None = None,

@@ -61,7 +61,7 @@ def ingest_cycle(articles: DataFrame, store: str, cycle: int, limit: int = TRAIN
     kept = (known.withColumn("_r", F.row_number().over(order))
             .filter((F.col("_r") <= limit) | (F.col("cycle") == cycle)).select("page_id", "domain", "html"))
     run = train_and_extract(kept, limit)
-    fresh = new.select("page_id", "domain")
+    fresh = new.select("page_id", "domain", "html")
     main = run.main.join(fresh.select("page_id"), "page_id", "left_semi")
     _put(main, f"{store}/extracts", cycle)
     _put(extract.page_outcomes(fresh, main, run.model).filter(~F.col("extracted")).drop("extracted"),
