@@ -40,7 +40,7 @@ from . import common
 from .common import U64
 from .components import connected
 
-SIZES = "doc_id bigint, n bigint, cls binary, block int, task int, counts binary"
+SIZES = "doc_id bigint, key binary, n bigint, cls binary, block int, task int, counts binary"
 COUNTS = "block int, task int, counts binary"
 ENTRIES = "bucket int, classes binary, sizes binary, which binary, grams binary, ranks binary"
 MEMBERS = "gram bigint, cls binary, n int, pos int, pivots array<binary>"
@@ -131,7 +131,8 @@ def _measure(cfg: Settings):
             g, d, n = sets_of(b.column("text"), cfg)
             sketch += np.bincount((g >> U64(64 - cfg.sketch_bits)).astype(np.int64),
                                   minlength=len(sketch)).astype(np.uint32)
-            yield common.arrow_batch(schema, doc_id=b.column("doc_id"), n=n, cls=_binary(classes_of(g, d, n)),
+            key = b.column("key") if "key" in b.schema.names else pa.nulls(len(n), pa.binary())
+            yield common.arrow_batch(schema, doc_id=b.column("doc_id"), key=key, n=n, cls=_binary(classes_of(g, d, n)),
                                      block=pa.nulls(len(n), pa.int32()), task=pa.nulls(len(n), pa.int32()),
                                      counts=pa.nulls(len(n), pa.binary()))
         size = 1 << cfg.block_bits
@@ -139,7 +140,7 @@ def _measure(cfg: Settings):
         for k in range(0, len(sketch), size):
             part = sketch[k:k + size]
             if part.any():
-                yield common.arrow_batch(schema, doc_id=[None], n=[None], cls=[None], block=[k // size], task=[task],
+                yield common.arrow_batch(schema, doc_id=[None], key=[None], n=[None], cls=[None], block=[k // size], task=[task],
                                          counts=[part.tobytes()])
     return run
 
@@ -472,12 +473,10 @@ def _pairs_apart(apart: DataFrame, cfg: Settings) -> DataFrame:
             .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
 
 
-def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
-    cfg = cfg or Settings()
-    spark = docs.sparkSession
-    common.arrow_rows(spark)
-    rows = common.id_and_text(docs)
+def _resolved(rows: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, n, cls of every row (columns doc_id, text and, where wanted,
+    key); cls, component_id and label, the component's least class, of every class."""
+    common.arrow_rows(rows.sparkSession)
     text = rows.select("text")
     measured = common.saved(rows.mapInArrow(_measure(cfg), SIZES), "set-sizes")
     levels = frequency_levels(measured, cfg)
@@ -485,7 +484,7 @@ def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     buckets = common.n_partitions(total, cfg.bucket_bytes)
     members = common.saved(text.mapInArrow(_prefixes(levels, buckets, cfg), ENTRIES)
                            .groupBy("bucket").applyInArrow(_groups(cfg), MEMBERS), "members")
-    sized = measured.filter("block is null").select("doc_id", "n", "cls")
+    sized = measured.filter("block is null").select("doc_id", "key", "n", "cls")
     classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
 
     wanted = class_filter(members.select("cls").distinct(), cfg)
@@ -506,7 +505,23 @@ def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     of_class = classes.join(labels, classes["cls"] == labels["node"], "left").select(
         "cls", "rep", F.coalesce("label", "cls").alias("label"))
     ids = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = common.saved(of_class.join(ids, "label").select("cls", "component_id"), "class-components")
-    return (sized.join(of_class, "cls", "left")
+    return sized, common.saved(of_class.join(ids, "label").select("cls", "component_id", "label"), "class-components")
+
+
+def components(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    sized, of_class = _resolved(common.id_and_text(docs), cfg or Settings())
+    return (sized.join(of_class.select("cls", "component_id"), "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def first_keys(rows: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """Of ``rows`` (doc_id, text, and key, a digest of both) the key of each
+    component's first row, by doc_id (null last) and key; texts without
+    n-grams are no near duplicates and keep each key."""
+    sized, of_class = _resolved(rows, cfg or Settings())
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    firsts = sized.filter("n > 0").groupBy("cls").agg(F.min(first).alias("first"))
+    firsts = firsts.join(of_class, "cls").groupBy("label").agg(F.min("first").alias("first")).select("first.key")
+    return firsts.unionByName(sized.filter("n = 0").select("key").distinct())

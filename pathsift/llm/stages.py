@@ -18,13 +18,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays;
-    of rows that share an id, one."""
+    """Of each group of near duplicates the document with the least id stays
+    (null ids come last; of texts under one id, that of the least digest); of
+    rows that share id and text, one.  A document that is alone stays, whatever
+    its id; texts without words are near duplicates of none."""
     from . import jaccard_join
-    kept = (jaccard_join.components(docs).filter(F.col("doc_id") == F.col("component_id"))
-            .select("doc_id").distinct())
-    stay = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    number = F.col("doc_id").cast("long")
+    key = F.unhex(F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.lit("\n"), text)))
+    kept = jaccard_join.first_keys(docs.select(number.alias("doc_id"), text.alias("text"), key.alias("key")))
+    wordless = number.isNull() & ~text.rlike(r"[^\x20\x09-\x0D]")
+    stay = docs.filter(~wordless).withColumn("_key", key).dropDuplicates(["_key"])
+    stay = stay.join(kept, stay["_key"] == kept["key"], "left_semi").drop("_key")
+    return stay.unionByName(docs.filter(wordless))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +41,14 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; they are told apart by id
+    (null too) and text."""
     from . import decontaminate
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = common.saved(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    found = decontaminate.matches(docs.select(key.alias("doc_id"), "text"),
+                                  spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = common.saved(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
