@@ -2,7 +2,10 @@
 
 import random
 
-from pathsift.llm import distribution_rules
+import pytest
+from pyspark.sql import functions as F
+
+from pathsift.llm import distribution_rules, labelled
 
 COLUMNS = "doc_id bigint, text string, lang string"
 
@@ -30,3 +33,39 @@ def test_texts_without_own_reference_are_held_to_the_nearest(spark):
     assert {k for k, r in got.items() if not r["kept"]} == {4000, 4001}
     own = max(r["word_distance"] for k, r in got.items() if 2000 <= k < 3000)
     assert all(got[k]["word_distance"] < own + 0.03 for k in lone)
+
+
+def training_ids(spark, n):
+    """Ids that are not held out, in the order in which the sample takes them."""
+    rows = spark.range(n).selectExpr("id AS doc_id").filter(~labelled.held_out()).orderBy(F.xxhash64("doc_id")).collect()
+    return [r[0] for r in rows]
+
+
+@pytest.mark.parametrize("case", ["huge", "hot"])
+def test_label_sample_keeps_every_class(spark, case):
+    """A huge text, or an id of many rows, that comes first of its class."""
+    ids = training_ids(spark, 60)
+    rows = [(k, f"text {k}", "en") for k in ids]
+    if case == "huge":
+        rows[0] = ids[0], "x " * 6000, "en"                # above the class's half of the budget
+        rows[1] = ids[1], "y " * 2400, "en"                # fits, and would leave nothing for the others
+    else:
+        rows += [(ids[0], f"text {ids[0]}", "en")] * 50 + [(ids[0], f"other text {j}", "en") for j in range(50)]
+    labels = spark.createDataFrame([(k, int(j % 9 == 0 or j == 1)) for j, k in enumerate(ids)], "doc_id bigint, toxic int")
+    sample, _ = labelled.sample_texts(spark.createDataFrame(rows, COLUMNS), labels, "toxic", 20, 10_000)
+    got = sample.to_pydict()
+    toxic = [t for t, y in zip(got["text"], got["label"], strict=True) if y == 1]
+    want = [f"text {k}" for j, k in enumerate(ids) if j % 9 == 0 or j == 1]
+    assert toxic == (want if case == "hot" else ["y " * 2400, *want[2:]])
+    assert got["label"].count(0) == 20
+
+
+def test_label_sample_says_when_a_class_is_missing(spark):
+    ids = training_ids(spark, 30)
+    docs = spark.createDataFrame([(k, "z" * (500 if j == 0 else 5), "en") for j, k in enumerate(ids)], COLUMNS)
+    labels = spark.createDataFrame([(k, int(j == 0)) for j, k in enumerate(ids)], "doc_id bigint, toxic int")
+    with pytest.raises(ValueError, match="toxic = 1"):
+        labelled.sample_texts(docs, labels, "toxic", 20, 900)
+    with pytest.warns(RuntimeWarning, match="toxic = 1"):
+        sample, shift = labelled.sample_texts(docs, labels.filter("toxic = 0"), "toxic", 20, 900)
+    assert sample.num_rows == 0 and shift == 0.0
