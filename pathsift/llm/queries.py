@@ -21,6 +21,10 @@ def query(fn):
     return fn
 
 
+def twin(name: str, sql: str) -> None:
+    ORACLE[name] = sql
+
+
 @query
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_packing import write_packed
@@ -87,3 +91,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import removals
     return removals(common.documents(spark, sf_dir))
+
+
+@query
+def op11_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .golomb_dedup import exact_groups
+    return exact_groups(common.documents(spark, sf_dir))
+
+
+twin("op11_golomb_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM d""")
