@@ -104,3 +104,30 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM d""")
+
+
+@query
+def op12_k2treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .treap_search import build_index, search
+    index = build_index(common.documents(spark, sf_dir), common.scratch_path(spark, "treap-index"))
+    return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+twin("op12_k2treap_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT row_number() OVER () AS r, doc_id, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+t AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS len FROM w),
+p AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+      FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM w) GROUP BY r, doc_id, n, term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+s AS (SELECT q.item_id, p.r, p.doc_id,
+             sum(floor(1000 * ln((2 * t.total + 2)::DOUBLE / (2 * f.df + 1)))::BIGINT
+                 * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 90 + (90 * p.n * t.total) // t.len))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) CROSS JOIN t GROUP BY q.item_id, p.r, p.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10""")
