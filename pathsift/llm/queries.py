@@ -131,3 +131,9 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT item_id, doc_id, score,
              row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 WHERE rank <= 10""")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import repair
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
