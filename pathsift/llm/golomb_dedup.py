@@ -261,7 +261,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
         rows = rows.join(clash, "label", "left_anti").unionByName(own)
     rows = rows.select("doc_id", "place", "sha", "label")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("place").alias("place")))
-    groups = rows.groupBy("label").agg(first.alias("first"), F.count("*").alias("group_size"))
+    # stored, so that the join has a shuffle of its own that can split a hot group
+    groups = common.saved(rows.groupBy("label").agg(first.alias("first"), F.count("*").alias("group_size")), "dedup-groups")
     return rows.join(groups, "label").select(
         "doc_id", F.col("first.id").alias("keep_id"), "group_size",
         (F.col("place") == F.col("first.place")).alias("kept"), F.col("sha").alias("text_sha256"))
