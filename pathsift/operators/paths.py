@@ -9,11 +9,12 @@ text changes from page to page as content.
 
 Here every training round of every domain is computed at once:
 
-* background = items of pages ``first_seen <= j < k`` (a range condition in a
-  self-join on ``(domain, path)``) plus one ``'empty'`` row;
+* background = the distinct texts of the path with their number of pages
+  ``first_seen <= j < k``, plus one ``'empty'``; text that every page repeats
+  is one row, whatever the number of rounds;
 * each distinct text pair is compared exactly once, on a repartitioned pair
-  table, with a bit-parallel edit distance in a pandas UDF;
-* medians are ``percentile(x, 0.5)``; the 2-means split is exact in one
+  table, with bit vectors of many pairs at a time in a pandas UDF;
+* medians are ``percentile(x, 0.5, count)``; the 2-means split is exact in one
   dimension, found from window prefix sums over the sorted distinct ratios.
 
 The training gate of the original (train while the domain has fewer than 50
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import EMPTY, TRAIN_DOC_LIMIT
-from ..functions.editdistance import levenshtein
+from ..functions.editdistance import levenshtein_batch
 from ..session import default_parallelism
 from . import dom
 
@@ -42,7 +43,7 @@ def text_id(c) -> F.Column:
 
 @F.pandas_udf(T.IntegerType())
 def edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([levenshtein(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(levenshtein_batch(a.tolist(), b.tolist()), dtype="int32")
 
 
 # ------------------------------------------------------------------ inputs
@@ -81,8 +82,9 @@ def pair_distances(pairs: DataFrame, texts: DataFrame, partitions: int) -> DataF
     """
     tx = texts.select(F.col("tid").alias("x"), F.col("item").alias("xs"))
     ty = texts.select(F.col("tid").alias("y"), F.col("item").alias("ys"))
+    # pairs of one text together (their match vectors are shared), a frequent text in several pieces
     p = (pairs.join(tx, "x").join(ty, "y")
-         .repartition(partitions, "x", "y"))
+         .repartition(partitions, F.col("x"), F.pmod(F.hash("y"), F.lit(4))))
     same = F.col("xs") == F.col("ys")
     return p.select("x", "y", F.when(same, F.lit(0)).otherwise(edit_distance_udf("xs", "ys")).alias("lev"))
 
@@ -101,10 +103,12 @@ def path_ratios(items: DataFrame, normalized: bool = True, partitions: int | Non
     n_items = it.groupBy("domain", "path", "seq").agg(F.count("*").alias("n_items"))
 
     a = it.select("domain", "path", F.col("seq").alias("k"), F.col("tid").alias("a"))
-    b = it.select("domain", "path", F.col("seq").alias("j"), F.col("tid").alias("b"))
-    bg = (a.join(b, ["domain", "path"]).filter(F.col("j") < F.col("k")).select("domain", "path", "k", "a", "b"))
+    b = it.groupBy("domain", "path", F.col("tid").alias("b")).agg(F.collect_list("seq").alias("js"))
+    bg = (a.join(b, ["domain", "path"])
+          .withColumn("w", F.size(F.filter("js", lambda j: j < F.col("k")))).filter("w > 0")
+          .select("domain", "path", "k", "a", "b", "w"))
     empty_id = text_id(F.lit(EMPTY))
-    bg = bg.unionByName(a.select("domain", "path", "k", "a", empty_id.alias("b")))
+    bg = bg.unionByName(a.select("domain", "path", "k", "a", empty_id.alias("b"), F.lit(1).alias("w")))
 
     key_x = F.least("a", "b")
     key_y = F.greatest("a", "b")
@@ -114,9 +118,9 @@ def path_ratios(items: DataFrame, normalized: bool = True, partitions: int | Non
     dist = pair_distances(pairs, texts_all, parts)
 
     d = (bg.join(dist, (key_x == F.col("x")) & (key_y == F.col("y")))
-         .select("domain", "path", "k", "a",
+         .select("domain", "path", "k", "a", "w",
                  (F.col("lev") * 2.0 / (F.col("a.n") + F.col("b.n"))).alias("d")))
-    med = d.groupBy("domain", "path", "k", "a").agg(F.percentile("d", 0.5).alias("med"))
+    med = d.groupBy("domain", "path", "k", "a").agg(F.percentile("d", 0.5, F.col("w")).alias("med"))
     r = (med.groupBy("domain", "path", "k").agg(F.avg("med").alias("m"))
          .withColumnRenamed("k", "seq")
          .join(n_items, ["domain", "path", "seq"]))
