@@ -5,6 +5,14 @@ when its current validator equals it.  So a successful poll is *changed* when
 its validator differs from the last one stored (or none is stored yet), and
 then the stored validator is replaced (a missing one becomes ''); otherwise
 it is *same*.  A failed poll is *unchanged* and keeps the stored validator.
+
+Polls may carry two validators.  The stronger one decides: the etag, or where
+there is none the Last-Modified value; an answer with neither can never be
+"not modified", so such a poll is changed.
+
+The stream holds polls in state until the watermark has passed their hour,
+then hands them on in event-time order, each once.  State is kept by (feed,
+hour), so a feed with a large share of all polls is many state keys.
 """
 
 from __future__ import annotations
@@ -15,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.constants import POLL_SECONDS
+from ..sources.cycles import Attempt, CycleStore
 
 POLL_SCHEMA = T.StructType([
     T.StructField("feed_url", T.LongType()),
@@ -27,6 +36,8 @@ POLL_SCHEMA = T.StructType([
     T.StructField("etag", T.StringType()),
 ])
 
+VALIDATED_SCHEMA = T.StructType(POLL_SCHEMA.fields + [T.StructField("modified", T.StringType())])
+
 CHANGE_SCHEMA = T.StructType(POLL_SCHEMA.fields + [
     T.StructField("status", T.StringType()),
     T.StructField("changed", T.BooleanType()),
@@ -34,12 +45,17 @@ CHANGE_SCHEMA = T.StructType(POLL_SCHEMA.fields + [
 ])
 
 
-def _validator():
-    return F.when(F.col("ok"), F.coalesce(F.col("etag"), F.lit("")))
+def _validator(two: bool = False):
+    """The validator of a successful poll; with ``two``, the stronger of etag
+    and Last-Modified, or the poll itself, which equals nothing."""
+    if not two:
+        return F.when(F.col("ok"), F.coalesce(F.col("etag"), F.lit("")))
+    tagged = [F.concat(F.lit(f"{name}:"), F.nullif(name, F.lit(""))) for name in ("etag", "modified")]
+    return F.when(F.col("ok"), F.coalesce(*tagged, F.concat(F.lit("poll:"), F.col("event_id").cast("string"))))
 
 
-def _label(prev):
-    v = _validator()
+def _label(prev, two: bool = False):
+    v = _validator(two)
     status = (F.when(~F.col("ok"), F.lit("unchanged"))
               .when(prev.isNull() | (v != prev), F.lit("changed"))
               .otherwise(F.lit("same")))
@@ -47,7 +63,7 @@ def _label(prev):
     return status, after
 
 
-def feed_changes(polls: DataFrame, chunk: str = "1 hour") -> DataFrame:
+def feed_changes(polls: DataFrame, chunk: str = "1 hour", stored: DataFrame | None = None) -> DataFrame:
     """C1 over a poll table, as a two-phase prefix scan.
 
     A single feed may hold a large share of all polls, so the ordered scan is
@@ -55,23 +71,36 @@ def feed_changes(polls: DataFrame, chunk: str = "1 hour") -> DataFrame:
     finds the last validator before every poll locally, a small per-piece
     table carries the last validator of all earlier pieces forward, and the
     two are combined.  Work per task is bounded by the chunk size.
+
+    Polls with a ``modified`` column are compared by both validators.
+    ``stored`` (``feed_url``, ``validator``) holds what earlier polls left.
     """
+    two = "modified" in polls.columns
     p = polls.withColumn("_chunk", F.date_trunc("hour", "poll_ts") if chunk == "1 hour"
                          else F.window("poll_ts", chunk).start)
     order = [F.col("poll_ts"), F.col("event_id")]
     w_local = (Window.partitionBy("feed_url", "_chunk").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, -1))
-    p = p.withColumn("_local", F.last(_validator(), ignorenulls=True).over(w_local))
+    p = p.withColumn("_local", F.last(_validator(two), ignorenulls=True).over(w_local))
     last_in_chunk = (p.groupBy("feed_url", "_chunk")
-                     .agg(F.max_by(_validator(), F.when(F.col("ok"), F.struct(*order))).alias("_last")))
+                     .agg(F.max_by(_validator(two), F.when(F.col("ok"), F.struct(*order))).alias("_last")))
     w_carry = Window.partitionBy("feed_url").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = last_in_chunk.withColumn("_carry", F.last("_last", ignorenulls=True).over(w_carry)) \
                          .select("feed_url", "_chunk", "_carry")
     p = p.join(carry, ["feed_url", "_chunk"])
     prev = F.coalesce(F.col("_local"), F.col("_carry"))
-    status, after = _label(prev)
-    return p.select(*[c.name for c in POLL_SCHEMA.fields], status.alias("status"),
-                    (status == "changed").alias("changed"), after.alias("validator"))
+    if stored is not None:
+        p = p.join(stored.select("feed_url", F.col("validator").alias("_stored")), "feed_url", "left")
+        prev = F.coalesce(prev, F.col("_stored"))
+    status, after = _label(prev, two)
+    columns = [c.name for c in (VALIDATED_SCHEMA if two else POLL_SCHEMA).fields]
+    return p.select(*columns, status.alias("status"), (status == "changed").alias("changed"), after.alias("validator"))
+
+
+def last_validators(changes: DataFrame) -> DataFrame:
+    """What each feed's polls leave stored: ``(feed_url, validator)``."""
+    return changes.groupBy("feed_url").agg(
+        F.max_by("validator", F.struct("poll_ts", "event_id")).alias("validator"))
 
 
 def changed_feeds(changes: DataFrame) -> DataFrame:
@@ -90,48 +119,111 @@ def dedupe_polls(polls: DataFrame, done: DataFrame | None = None) -> DataFrame:
 
 # ------------------------------------------------------------------ stream
 
-def _track(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per-feed state: the stored validator, carried across micro-batches."""
-    stored = state.get[0] if state.exists else None
-    parts = [x for x in pdfs]
-    pdf = pd.concat(parts).sort_values(["poll_ts", "event_id"]).drop_duplicates("event_id")
-    status, changed, validator = [], [], []
-    for ok, etag in zip(pdf["ok"], pdf["etag"]):
-        if not ok:
-            status.append("unchanged")
-            changed.append(False)
-        else:
-            v = "" if etag is None or (isinstance(etag, float) and pd.isna(etag)) else etag
-            if stored is None or v != stored:
-                status.append("changed")
-                changed.append(True)
-                stored = v
-            else:
-                status.append("same")
-                changed.append(False)
-        validator.append(stored)
-    state.update((stored,))
-    out = pdf.assign(status=status, changed=changed, validator=validator)
-    yield out[[f.name for f in CHANGE_SCHEMA.fields]]
-
-
-def change_stream(polls_stream: DataFrame) -> DataFrame:
-    """C1 as a stateful streaming operator (one state row per feed)."""
-    return polls_stream.groupBy("feed_url").applyInPandasWithState(
-        _track, CHANGE_SCHEMA, T.StructType([T.StructField("validator", T.StringType())]),
-        "append", GroupStateTimeout.NoTimeout)
-
-
-def run_feed_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
-                    available_now: bool = True, poll_seconds: int = POLL_SECONDS):
-    """Poll files -> change detection -> parquet sink, exactly once.
+PIECE = "1 hour"
+PIECE_MS = 3_600_000
+POLL_COLUMNS = [f.name for f in VALIDATED_SCHEMA.fields]
+
+
+class HeldPolls(StatefulProcessor):
+    """Polls of one (feed, hour) until the watermark has passed the hour's end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.polls = handle.getListState("polls", VALIDATED_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        end = int(pd.Timestamp(key[1]).timestamp() * 1000) + PIECE_MS
+        first = not self.polls.exists()
+        for pdf in rows:
+            pdf = pdf[POLL_COLUMNS].astype(object).where(pdf[POLL_COLUMNS].notna(), None)
+            self.polls.appendList([tuple(r) for r in pdf.itertuples(index=False, name=None)])
+        if first:
+            self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame([tuple(r) for r in self.polls.get()], columns=POLL_COLUMNS, dtype=object)
+        self.polls.clear()
+        held = held.drop_duplicates("event_id").sort_values(["poll_ts", "event_id"])
+        held["poll_ts"] = pd.to_datetime(held["poll_ts"])
+        yield held.astype({"feed_url": "int64", "event_id": "int64", "ok": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_polls(polls_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each poll once, when its hour is complete.  Polls later than ``delay``
+    behind the latest one seen are dropped, as the watermark says."""
+    if "modified" not in polls_stream.columns:
+        polls_stream = polls_stream.withColumn("modified", F.lit(None).cast("string"))
+    # rows without a feed, an id or a time only move the watermark (one condition that reads the
+    # event time, since others would be pushed below the watermark)
+    whole = F.concat(*[F.col(c).cast("string") for c in ("poll_ts", "feed_url", "event_id")]).isNotNull()
+    held = (polls_stream.select(*POLL_COLUMNS).withWatermark("poll_ts", delay)
+            .filter(whole).withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn("piece", F.date_trunc("hour", "poll_ts")).groupBy("feed_url", "piece"))
+    return held.transformWithStateInPandas(HeldPolls(), VALIDATED_SCHEMA, "append", "EventTime")
+
+
+FEED_TABLES = {
+    "polls": "feed_url long, poll_ts timestamp, event_id long, ok boolean, etag string, modified string",
+    "changes": "feed_url long, poll_ts timestamp, event_id long, ok boolean, etag string, modified string, "
+               "status string, changed boolean, validator string",
+    "validators": "feed_url long, validator string",
+}
+
+
+def change_cycle(closed: DataFrame, store: CycleStore, attempt: Attempt) -> DataFrame:
+    """One cycle of ordered polls: their changes, and the validators that every
+    feed has then (a snapshot)."""
+    known = store.table("validators", before=attempt.cycle, latest=True)
+    changes = attempt.put("changes", feed_changes(closed, stored=known))
+    new = last_validators(changes).withColumnRenamed("validator", "_new")
+    # a feed whose polls all failed keeps what it had, which may be nothing
+    attempt.put("validators", known.join(new, "feed_url", "full").select(
+        "feed_url", F.coalesce("_new", "validator").alias("validator")))
+    return changes
+
+
+def run_feed_stream(spark: SparkSession, source_dir: str, store_dir: str, checkpoint_dir: str,
+                    available_now: bool = True, poll_seconds: int = POLL_SECONDS, delay: str = "1 hour",
+                    files_per_cycle: int = 64, then=None, tables: dict[str, str] | None = None,
+                    buckets: dict[str, str] | None = None):
+    """Poll files -> ordered polls -> one committed cycle per micro-batch.
 
     ``available_now`` processes what is there and stops (tests, backfills);
     otherwise the query fires every ``poll_seconds`` like the original loop.
-    The file source and the checkpoint make a rerun add nothing twice.
+    ``then(changes, store, attempt)`` adds more tables to the same cycle.  A
+    cycle that is asked for again does nothing when it was committed, and
+    starts afresh when it died before.
     """
-    src = spark.readStream.schema(POLL_SCHEMA).parquet(source_dir)
-    w = (change_stream(src).writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append"))
+    store = CycleStore(spark, store_dir, FEED_TABLES | (tables or {}), buckets)
+
+    def cycle(closed: DataFrame, number: int) -> None:
+        attempt = store.begin(number)
+        if attempt is None:
+            return
+        # the stateful plan runs once: everything else reads what it wrote
+        polls = attempt.put("polls", closed)
+        if polls.isEmpty():
+            return
+        changes = change_cycle(polls, store, attempt)
+        if then is not None:
+            then(changes, store, attempt)
+        attempt.commit()
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = (spark.readStream.schema(VALIDATED_SCHEMA).option("maxFilesPerTrigger", files_per_cycle)
+           .option("recursiveFileLookup", "true").parquet(source_dir))
+    w = ordered_polls(src, delay).writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{poll_seconds} seconds")
     return w.start()
+
+
+def end_mark(spark: SparkSession, source_dir: str, after: str) -> None:
+    """Adds a poll of no feed ``after`` a time, which lets the watermark pass
+    all earlier hours (a finite backfill has no later polls to do that)."""
+    spark.createDataFrame([(None, None, None, False, None, None)], VALIDATED_SCHEMA) \
+        .withColumn("poll_ts", F.expr(f"timestamp '{after}' + interval 1 day")).select(*POLL_COLUMNS) \
+        .coalesce(1).write.mode("append").parquet(source_dir)

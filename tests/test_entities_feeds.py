@@ -51,18 +51,17 @@ def test_stream_matches_batch_and_is_idempotent(spark):
     work = tempfile.mkdtemp(prefix="feeds-")
     indir = os.path.join(work, "in")
     polls.withColumn("day", F.to_date("poll_ts")).write.partitionBy("day").parquet(indir)
-    files_dir = indir
+    feeds.end_mark(spark, os.path.join(indir, "day=end"), "2024-03-01")
     out, ck = os.path.join(work, "out"), os.path.join(work, "ck")
-    q = feeds.run_feed_stream(spark, files_dir + "/*", out, ck)
-    q.awaitTermination()
-    first = spark.read.parquet(out)
-    batch = feeds.feed_changes(polls)
+    feeds.run_feed_stream(spark, indir, out, ck, delay="10 days").awaitTermination()
+    store = feeds.CycleStore(spark, out, feeds.FEED_TABLES)
+    first = store.table("changes")
+    batch = feeds.feed_changes(polls.withColumn("modified", F.lit(None).cast("string")))
     cols = ["event_id", "status", "validator"]
     assert first.count() == batch.count()
     assert first.select(cols).exceptAll(batch.select(cols)).count() == 0
-    q2 = feeds.run_feed_stream(spark, files_dir + "/*", out, ck)
-    q2.awaitTermination()
-    assert spark.read.parquet(out).count() == batch.count()
+    feeds.run_feed_stream(spark, indir, out, ck, delay="10 days").awaitTermination()
+    assert store.table("changes").count() == batch.count()
 
 
 def test_corpus_since_keeps_old_rows_of_same_length(spark):
