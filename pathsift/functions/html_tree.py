@@ -186,16 +186,11 @@ def parse(html: str) -> _Builder:
     try:
         b.feed(html or "")
         b.close()
-    except Exception:  # what was built so far is only a part of the page
+    except (AssertionError, ValueError):  # the parser's own errors: what was built is only a part of the page
         b.failed = True
     return b
 
 
-def fails(html: str) -> bool:
-    """Does the parser stop before the end of the page?"""
-    return parse(html).failed
-
-
 def collapse(s: str) -> str:
     return " ".join(s.split())
 
@@ -219,7 +214,7 @@ def _text(n: Node, skip=("script", "style")) -> str:
     return "".join(out)
 
 
-def direct_text(n: Node) -> str:
+def own_text(n: Node) -> str:
     """Serialized non-structural, non-script children with their tails."""
     parts = []
     for c in n.children:
@@ -229,7 +224,12 @@ def direct_text(n: Node) -> str:
             continue
         else:
             parts.append(_text(c) + c.tail)
-    return collapse(" ".join(parts)) or EMPTY
+    return collapse(" ".join(parts))
+
+
+def direct_text(n: Node) -> str:
+    """D5 with the sentinel for a node without text."""
+    return own_text(n) or EMPTY
 
 
 def child_text(n: Node) -> str:
@@ -252,7 +252,7 @@ def subtree_text(n: Node) -> str:
 
 
 def page_records(html: str):
-    """Return (title, doctype, nodes) for one page.
+    """Return (title, doctype, nodes, failed) for one page.
 
     ``nodes`` lists every structural element in document order as
     ``(abs_path, tag_path, positions, chain, in_body, node)``: ``abs_path`` is
@@ -263,7 +263,7 @@ def page_records(html: str):
     """
     b = parse(html)
     if b.failed:
-        return None, None, []
+        return None, None, [], True
     title = None
     stack = [(b.root, "/html", "/html", [1], [], False)]
     out = []
@@ -290,4 +290,4 @@ def page_records(html: str):
             kids.append((c, f"{apath}/{step}", f"{tpath}/{c.tag}", pos + [seen[c.tag]],
                          kid_chain, kid_in))
         stack.extend(reversed(kids))
-    return title, b.doctype, out
+    return title, b.doctype, out, False

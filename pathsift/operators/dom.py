@@ -34,16 +34,24 @@ NODE_FIELDS = [
     T.StructField("direct_text", T.StringType()),
     T.StructField("child_text", T.StringType()),
     T.StructField("subtree_text", T.StringType()),
+    T.StructField("no_text", T.BooleanType()),
+    T.StructField("failed", T.BooleanType()),
 ]
 
+#: Rows of an Arrow batch that a parse task hands on at most.
+SLICE_ROWS = 4096
+
 
 def explode_nodes(pages_df: DataFrame, modes: Sequence[str] = ("direct",),
-                  html_col: str = "html") -> DataFrame:
+                  html_col: str = "html", marks: bool = False) -> DataFrame:
     """One row per structural element of every page.
 
     All input columns except the markup are carried through.  ``modes`` picks
     which text columns are filled (others stay null), so a job that only needs
-    the ``direct`` text never materialises subtree text.
+    the ``direct`` text never materialises subtree text.  ``no_text`` tells an
+    element without direct text from one whose text is the sentinel's word.
+    With ``marks`` every page also has a row with ``node_seq`` -1, which
+    carries its title and doctype and whether parsing ``failed``.
     """
     bad = set(modes) - set(TEXT_MODES)
     if bad:
@@ -51,25 +59,34 @@ def explode_nodes(pages_df: DataFrame, modes: Sequence[str] = ("direct",),
     keep = [f for f in pages_df.schema.fields if f.name != html_col]
     schema = T.StructType(keep + NODE_FIELDS)
     keep_names = [f.name for f in keep]
+    names = schema.fieldNames()
     want = tuple(modes)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        rows = []
         for pdf in batches:
-            rows = []
             for rec in pdf.itertuples(index=False):
                 r = rec._asdict()
-                title, doctype, nodes = html_tree.page_records(r[html_col])
+                title, doctype, nodes, failed = html_tree.page_records(r[html_col])
                 base = [r[k] for k in keep_names]
+                if marks:
+                    rows.append(base + [title, doctype, -1] + [None] * (len(NODE_FIELDS) - 4) + [failed])
                 for i, (apath, tpath, pos, chain, in_body, node) in enumerate(nodes):
                     cls = " ".join(node.attrs.get("class", "").split())
+                    direct = html_tree.own_text(node) if "direct" in want else None
                     rows.append(base + [
                         title, doctype, i, node.tag, cls, node.attrs.get("id", ""),
                         apath, tpath, pos, chain, in_body,
-                        html_tree.direct_text(node) if "direct" in want else None,
+                        (direct or EMPTY) if "direct" in want else None,
                         html_tree.child_text(node) if "child" in want else None,
                         html_tree.subtree_text(node) if "subtree" in want else None,
+                        not direct if "direct" in want else None, False,
                     ])
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+                    if len(rows) >= SLICE_ROWS:      # a page of very many nodes is handed on in slices
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return pages_df.mapInPandas(run, schema)
 
@@ -156,14 +173,11 @@ def path_items(nodes: DataFrame, paths: DataFrame, keys: Sequence[str],
 # ------------------------------------------------------------------ D10
 
 def page_titles(nodes: DataFrame) -> DataFrame:
+    """The title of every page; of pages without a structural element too
+    where ``nodes`` holds their marks."""
     return nodes.groupBy("page_id").agg(F.first("title", ignorenulls=True).alias("title"))
 
 
-def title_sql_form(html_col: str = "html"):
-    """D10 SQL form of the page title (first ``<title>``)."""
-    return F.regexp_extract(html_col, r"(?is)<title>(.*?)</title>", 1)
-
-
 # ------------------------------------------------------------------ D12/D13
 
 def dom_summary(nodes: DataFrame, mode: str = "union") -> DataFrame:

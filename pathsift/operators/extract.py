@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import html_tree
 from ..functions.constants import EMPTY, TRAIN_DOC_LIMIT, XPATH_TYPE
 from . import dom
 
@@ -22,75 +20,67 @@ def model_rounds(train: DataFrame, model: DataFrame) -> DataFrame:
             .filter(F.col("model_seq").isNotNull()).select("domain", "seq", "model_seq"))
 
 
-def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
 def page_model(pages_df: DataFrame, train: DataFrame, model: DataFrame,
-               limit: int = TRAIN_DOC_LIMIT, small: bool = False) -> DataFrame:
+               limit: int = TRAIN_DOC_LIMIT) -> DataFrame:
     """``(page_id, domain, model_seq)``: the model each page is extracted with.
 
     A page of round ``k <= limit`` is extracted right after training on it;
-    later pages use the model of round ``limit``.  ``small`` (a checked
-    bound on the training tables) lets both lookups be broadcast, so the
-    page side is never shuffled by domain.
+    later pages use the model of round ``limit``.  The lookups have at most
+    ``limit`` rows a domain; whether they are broadcast is Spark's choice by
+    their size in bytes, and a hot domain is split by AQE otherwise.
     """
     p = (pages_df.select("page_id", "domain")
-         .join(_maybe_broadcast(train.select("page_id", "seq"), small), "page_id", "left")
+         .join(train.select("page_id", "seq"), "page_id", "left")
          .withColumn("seq", F.coalesce("seq", F.lit(limit))))
-    return p.join(_maybe_broadcast(model_rounds(train, model), small), ["domain", "seq"]) \
-            .select("page_id", "domain", "model_seq")
+    return p.join(model_rounds(train, model), ["domain", "seq"]).select("page_id", "domain", "model_seq")
 
 
 def content_items(nodes: DataFrame, pages_model: DataFrame, model: DataFrame,
-                  text_col: str = "direct_text", small: bool = False) -> DataFrame:
-    """Texts of every content path on every page: ``(page_id, domain, path, item)``.
-
-    Past the training gate all pages of a domain read the same model round,
-    so a shuffle join on (domain, round, path) would put a hot domain in one
-    task; under a checked bound the path model is broadcast instead (beyond
-    it, AQE's skew-join split takes over)."""
+                  text_col: str = "direct_text") -> DataFrame:
+    """Texts of every content path on every page: ``(page_id, domain, path,
+    item, no_text)``."""
     cp = (model.filter("is_content")
           .select("domain", F.col("seq").alias("model_seq"), "path",
                   dom.path_tags(F.col("path")).alias("tag_path"),
                   dom.path_indexes(F.col("path")).alias("idx_path")))
-    n = nodes.select("page_id", "tag_path", "pos_path", F.col(text_col).alias("item")) \
+    n = nodes.select("page_id", "tag_path", "pos_path", F.col(text_col).alias("item"), "no_text") \
              .join(pages_model, "page_id")
-    return (n.join(_maybe_broadcast(cp, small), ["domain", "model_seq", "tag_path"])
+    return (n.join(cp, ["domain", "model_seq", "tag_path"])
             .filter(dom.match_condition())
-            .select("page_id", "domain", "path", "item").distinct())
+            .select("page_id", "domain", "path", "item", "no_text").distinct())
 
 
 def longest_extract(items: DataFrame, keep_empty: bool = False) -> DataFrame:
     """F1 + F2 + F3: one extract per page, the longest text (UTF-8 bytes after
     ``"`` -> ``'``) over all content paths; ties by path, then text.
 
-    ``'empty'`` sentinels never win over real text; a page with nothing else
-    yields no row unless ``keep_empty``.
+    Nodes without text never win over real text; a page with nothing else
+    yields no row unless ``keep_empty``.  A text that reads like the sentinel
+    is a text where ``no_text`` says so.
     """
+    if not keep_empty:
+        items = items.filter(~F.col("no_text") if "no_text" in items.columns else F.col("item") != EMPTY)
     it = items.select("page_id", "domain",
                       F.translate("path", '"', "'").alias("xpath"),
                       F.translate("item", '"', "'").alias("content"))
-    if not keep_empty:
-        it = it.filter(F.col("content") != EMPTY)
     it = it.withColumn("content_length", F.octet_length("content").cast("int"))
     best = F.min(F.struct((-F.col("content_length")).alias("nl"), "xpath", "content")).alias("b")
     return (it.groupBy("page_id", "domain").agg(best)
             .select("page_id", "domain", "b.xpath", "b.content", (-F.col("b.nl")).alias("content_length")))
 
 
-def page_outcomes(pages_df: DataFrame, main: DataFrame, model: DataFrame) -> DataFrame:
+def page_outcomes(pages_df: DataFrame, main: DataFrame, model: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row per page: ``extracted``, and where it is false the ``reason``:
-    ``parse_error`` (the markup, where the pages have ``html``, can't be parsed
-    to its end), ``no_model`` (its domain never gave content paths) or ``no_text``."""
-    done = main.select("page_id").withColumn("extracted", F.lit(True))
-    known = model.select("domain").distinct().withColumn("_known", F.lit(True))
-    has_html = "html" in pages_df.columns
-    out = pages_df.select("page_id", "domain", *["html"] * has_html).join(done, "page_id", "left")
-    # only pages without an extract are parsed again
-    fails = F.udf(html_tree.fails, T.BooleanType())
-    broken = fails(F.when(F.col("extracted").isNull(), F.col("html"))) if has_html else F.lit(False)
-    out = out.withColumn("_broken", broken).drop("html").join(known, "domain", "left")
+    ``parse_error`` (the markup can't be parsed to its end, as the marks among
+    ``nodes`` say), ``no_model`` (its domain never gave content paths) or ``no_text``."""
+    out = pages_df.select("page_id", "domain").join(
+        main.select("page_id").withColumn("extracted", F.lit(True)), "page_id", "left")
+    out = out.join(model.select("domain").distinct().withColumn("_known", F.lit(True)), "domain", "left")
+    if nodes is not None:
+        broken = nodes.filter("failed").select("page_id").distinct().withColumn("_broken", F.lit(True))
+        out = out.join(broken, "page_id", "left")
+    else:
+        out = out.withColumn("_broken", F.lit(None).cast("boolean"))
     return out.select("page_id", "domain", F.coalesce("extracted", F.lit(False)).alias("extracted"),
                       F.when(F.col("extracted"), F.lit(None)).when(F.col("_broken"), F.lit("parse_error"))
                       .when(F.col("_known"), F.lit("no_text")).otherwise(F.lit("no_model")).alias("reason"))

@@ -89,38 +89,42 @@ def pair_distances(pairs: DataFrame, texts: DataFrame, partitions: int) -> DataF
     return p.select("x", "y", F.when(same, F.lit(0)).otherwise(edit_distance_udf("xs", "ys")).alias("lev"))
 
 
-def path_ratios(items: DataFrame, normalized: bool = True, partitions: int | None = None) -> DataFrame:
-    """Ratio of every (domain, path, round).
-
-    ``items``: ``(domain, seq, path, item)`` with distinct items per round.
-    Returns ``(domain, path, seq, n_items, ratio)``; with ``normalized`` each
-    median is divided by the number of items (E2, the one in use), else E1.
-    """
-    spark = items.sparkSession
-    parts = partitions or default_parallelism(spark)
-    it = items.select("domain", "path", "seq", "item", text_id(F.col("item")).alias("tid"))
-    texts = it.select("tid", "item").dropDuplicates(["tid"])
-    n_items = it.groupBy("domain", "path", "seq").agg(F.count("*").alias("n_items"))
-
+def background(items: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Each item of round ``k`` with the texts of its path before that round
+    and their number: ``(domain, path, k, a, b, w)``.  ``history`` holds the
+    items of rounds trained before (nothing of it is scored again)."""
+    it = items.select("domain", "path", "seq", text_id(F.col("item")).alias("tid"))
+    past = it if history is None else it.unionByName(
+        history.select("domain", "path", "seq", text_id(F.col("item")).alias("tid")))
     a = it.select("domain", "path", F.col("seq").alias("k"), F.col("tid").alias("a"))
-    b = it.groupBy("domain", "path", F.col("tid").alias("b")).agg(F.collect_list("seq").alias("js"))
+    b = past.groupBy("domain", "path", F.col("tid").alias("b")).agg(F.collect_list("seq").alias("js"))
     bg = (a.join(b, ["domain", "path"])
           .withColumn("w", F.size(F.filter("js", lambda j: j < F.col("k")))).filter("w > 0")
           .select("domain", "path", "k", "a", "b", "w"))
-    empty_id = text_id(F.lit(EMPTY))
-    bg = bg.unionByName(a.select("domain", "path", "k", "a", empty_id.alias("b"), F.lit(1).alias("w")))
-
-    key_x = F.least("a", "b")
-    key_y = F.greatest("a", "b")
-    pairs = bg.select(key_x.alias("x"), key_y.alias("y")).distinct()
-    texts_all = texts.unionByName(spark.range(1).select(empty_id.alias("tid"), F.lit(EMPTY).alias("item"))) \
-                     .dropDuplicates(["tid"])
-    dist = pair_distances(pairs, texts_all, parts)
-
-    d = (bg.join(dist, (key_x == F.col("x")) & (key_y == F.col("y")))
+    return bg.unionByName(a.select("domain", "path", "k", "a", text_id(F.lit(EMPTY)).alias("b"), F.lit(1).alias("w")))
+
+
+def new_distances(bg: DataFrame, items: DataFrame, history: DataFrame | None = None,
+                  known: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Distances of the text pairs of ``bg`` that aren't ``known`` yet: ``(x, y, lev)``."""
+    spark = bg.sparkSession
+    pairs = bg.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    if known is not None:
+        pairs = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti")
+    texts = items.select("item") if history is None else items.select("item").unionByName(history.select("item"))
+    texts = texts.unionByName(spark.range(1).select(F.lit(EMPTY).alias("item")))
+    texts = texts.select(text_id(F.col("item")).alias("tid"), "item").dropDuplicates(["tid"])
+    return pair_distances(pairs, texts, partitions or default_parallelism(spark))
+
+
+def ratios_from(bg: DataFrame, items: DataFrame, distances: DataFrame, normalized: bool = True) -> DataFrame:
+    """The ratios of ``bg``'s items from stored distances."""
+    d = (bg.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
+         .join(distances, ["x", "y"])
          .select("domain", "path", "k", "a", "w",
                  (F.col("lev") * 2.0 / (F.col("a.n") + F.col("b.n"))).alias("d")))
     med = d.groupBy("domain", "path", "k", "a").agg(F.percentile("d", 0.5, F.col("w")).alias("med"))
+    n_items = items.groupBy("domain", "path", "seq").agg(F.count("*").alias("n_items"))
     r = (med.groupBy("domain", "path", "k").agg(F.avg("med").alias("m"))
          .withColumnRenamed("k", "seq")
          .join(n_items, ["domain", "path", "seq"]))
@@ -128,6 +132,21 @@ def path_ratios(items: DataFrame, normalized: bool = True, partitions: int | Non
     return r.select("domain", "path", "seq", "n_items", ratio.alias("ratio"))
 
 
+def path_ratios(items: DataFrame, normalized: bool = True, partitions: int | None = None,
+                distances: DataFrame | None = None) -> DataFrame:
+    """Ratio of every (domain, path, round).
+
+    ``items``: ``(domain, seq, path, item)`` with distinct items per round.
+    Returns ``(domain, path, seq, n_items, ratio)``; with ``normalized`` each
+    median is divided by the number of items (E2, the one in use), else E1.
+    Stored ``distances`` of all pairs are not computed again.
+    """
+    bg = background(items)
+    if distances is None:
+        distances = new_distances(bg, items, partitions=partitions)
+    return ratios_from(bg, items, distances, normalized)
+
+
 #: By its formula the same ratio as E2.
 ngram_ratios = path_ratios
 
@@ -216,15 +235,3 @@ def latest_content_paths(model: DataFrame) -> DataFrame:
     """Content path list of each domain (its last training round)."""
     last = model.groupBy("domain").agg(F.max("seq").alias("seq"))
     return model.join(last, ["domain", "seq"]).filter("is_content").select("domain", "path")
-
-
-# ------------------------------------------------------------------ E11
-
-def train(nodes: DataFrame, pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT,
-          normalized: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Train every domain; returns ``(ratios, model)``."""
-    tr = training_pages(pages_df, limit)
-    nodes_t = nodes.join(tr.select("page_id", "seq"), "page_id")
-    items = path_items_by_round(nodes_t, tr)
-    ratios = path_ratios(items, normalized=normalized)
-    return ratios, content_paths(ratios)

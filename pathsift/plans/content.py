@@ -1,71 +1,56 @@
 """Content extractor job: pages in, one main-content row per page out.
 
-pages -> node explosion (parsed once, persisted) -> training rounds of every
-domain (E11) -> path model per round -> extraction with the model each page
-saw (F1-F4).
+One cycle of the stored model (``operators.training``) over all pages.  Queries
+over the same pages share the stored tables: the model is trained once and read
+by extraction, records, ratio log and reports.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import TRAIN_DOC_LIMIT
-from ..operators import dom, extract, paths
-from ..session import cores, num_partitions
+from ..operators.training import MODEL_TABLES, content_cycle
+from ..session import ensure_checkpoint_dir
+from ..sources.cycles import CycleStore
 
 
 @dataclass
 class ContentRun:
+    """Stored tables of a run; ``nodes`` include the pages' marks."""
     nodes: DataFrame
     train: DataFrame
     items: DataFrame
+    distances: DataFrame
     ratios: DataFrame
     model: DataFrame
     main: DataFrame
 
 
-def train_and_extract(pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT,
-                      keep_empty: bool = False, persist: bool = True) -> ContentRun:
-    """``pages_df``: ``(page_id, domain, html)``."""
-    spark = pages_df.sparkSession
-    src = pages_df.select("page_id", "domain", "html")
-    # Small scans arrive as one or two splits; spread the parse over the
-    # cluster.  Large inputs already have enough splits and are not shuffled.
-    target = cores(spark)
-    n_parts = num_partitions(src)
-    if n_parts is not None and n_parts < target:
-        src = src.repartition(target, "page_id")
-    nodes = dom.explode_nodes(src, modes=("direct",))
-    if persist:
-        nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
-    tr = paths.training_pages(pages_df, limit)
-    small = _small(tr, limit)
-    nodes_t = nodes.join(F.broadcast(tr.select("page_id", "seq")) if small else
-                         tr.select("page_id", "seq"), "page_id")
-    items = paths.path_items_by_round(nodes_t, tr)
-    if persist:
-        # read by every branch of the ratio plan (texts, pairs, counts)
-        items = items.persist(StorageLevel.MEMORY_AND_DISK)
-    ratios = paths.path_ratios(items)
-    model = paths.content_paths(ratios)
-    if persist:
-        model = model.persist(StorageLevel.MEMORY_AND_DISK)
-    small_model = small and model.count() <= BROADCAST_ROWS
-    pm = extract.page_model(pages_df, tr, model, limit, small=small)
-    items_x = extract.content_items(nodes, pm, model, small=small_model)
-    main = extract.longest_extract(items_x, keep_empty=keep_empty)
-    return ContentRun(nodes, tr, items, ratios, model, main)
-
+def read_run(store: CycleStore) -> ContentRun:
+    return ContentRun(*(store.table(n) for n in ("nodes", "train_pages", "items", "distances", "ratios", "model", "extracts")))
 
-BROADCAST_ROWS = 2_000_000
 
-
-def _small(train: DataFrame, limit: int) -> bool:
-    """Broadcast the training tables only under a checked bound: they hold
-    at most ``limit`` rows per domain, so the domain count decides."""
-    n_domains = train.select("domain").distinct().count()
-    return n_domains * limit <= BROADCAST_ROWS
+def train_and_extract(pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT, keep_empty: bool = False,
+                      name: str | None = None) -> ContentRun:
+    """``pages_df``: ``(page_id, domain, html)``.  A store of this ``name``
+    that has its cycle already is read, not made again."""
+    spark = pages_df.sparkSession
+    store = CycleStore(spark, f"{ensure_checkpoint_dir(spark)}/content/{name or uuid.uuid4().hex}", MODEL_TABLES)
+    attempt = store.begin(0)
+    if attempt is not None:
+        content_cycle(store, attempt, pages_df, limit, keep_empty)
+        attempt.commit()
+    return read_run(store)
+
+
+def stored_run(pages_df: DataFrame) -> ContentRun:
+    """The stored run over exactly these pages, made on first use.  Its name is
+    a digest of all rows, so other pages never meet it."""
+    row = F.xxhash64("page_id", "domain", "html"), F.hash("html", "domain", "page_id")
+    key = pages_df.agg(F.count("*"), F.bit_xor(row[0]), F.sum(row[0].cast("decimal(38,0)")), F.sum(row[1].cast("long"))).first()
+    return train_and_extract(pages_df, name="-".join(str(v) for v in key))

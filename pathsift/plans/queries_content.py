@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import dom, extract, keys, paths
 from ..sources import tables as tb
 from . import oracle_views as ov
-from .content import train_and_extract
+from .content import stored_run
 from .registry import query
 
 
 @query("f1_main_extract", ov.main_extract_sql())
 def f1_main_extract(spark, sf):
     """Flagship: pages in, one main-content row per page out (E11 + F1-F3)."""
-    return train_and_extract(tb.pages(spark, sf)).main
+    return stored_run(tb.pages(spark, sf)).main
 
 
 @query("f1_page_outcomes", f"""WITH x AS ({ov.main_extract_sql()}), {ov.PAGES}
@@ -22,15 +22,15 @@ SELECT pg.page_id, pg.domain, x.page_id IS NOT NULL AS extracted FROM pg LEFT JO
 def f1_page_outcomes(spark, sf):
     """One row for every page: extracted, or why not."""
     p = tb.pages(spark, sf)
-    run = train_and_extract(p)
-    return extract.page_outcomes(p, run.main, run.model).select("page_id", "domain", "extracted")
+    run = stored_run(p)
+    return extract.page_outcomes(p, run.main, run.model, run.nodes).select("page_id", "domain", "extracted")
 
 
 @query("e2_path_ratio", f"""WITH {ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}
 SELECT domain, path, CAST(seq AS INTEGER) AS seq, CAST(n_items AS BIGINT) AS n_items,
        round(ratio, 8) AS ratio FROM rat""")
 def e2_path_ratio(spark, sf):
-    run = train_and_extract(tb.pages(spark, sf))
+    run = stored_run(tb.pages(spark, sf))
     return run.ratios.select("domain", "path", "seq", F.col("n_items").cast("long"),
                              F.round("ratio", 8).alias("ratio"))
 
@@ -38,15 +38,15 @@ def e2_path_ratio(spark, sf):
 @query("e1_path_ratio_plain", f"""WITH {ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}
 SELECT domain, path, CAST(seq AS INTEGER) AS seq, round(ratio * n_items, 6) AS ratio FROM rat""")
 def e1_path_ratio_plain(spark, sf):
-    run = train_and_extract(tb.pages(spark, sf))
-    return paths.path_ratios(run.items, normalized=False).select("domain", "path", "seq",
+    run = stored_run(tb.pages(spark, sf))
+    return paths.path_ratios(run.items, normalized=False, distances=run.distances).select("domain", "path", "seq",
                                                                  F.round("ratio", 6).alias("ratio"))
 
 
 @query("e7_content_paths", f"""WITH {ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}, {ov.MODEL}
 SELECT domain, CAST(seq AS INTEGER) AS seq, path, is_content FROM model""")
 def e7_content_paths(spark, sf):
-    run = train_and_extract(tb.pages(spark, sf))
+    run = stored_run(tb.pages(spark, sf))
     return run.model.select("domain", "seq", "path", "is_content")
 
 
@@ -166,7 +166,8 @@ def d7_subtree_text(spark, sf):
 @query("d10_title", f"""WITH {ov.PAGES}
 SELECT page_id, {ov.unescape("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title FROM pg""")
 def d10_title(spark, sf):
-    return dom.page_titles(_nodes(spark, sf, ()))
+    pages = tb.pages(spark, sf).select("page_id", "domain", "html")
+    return dom.page_titles(dom.explode_nodes(pages, modes=(), marks=True))
 
 
 SUMMARY_SQL = f"""{ov.PAGES},
@@ -217,7 +218,7 @@ def d16_select_by_attribute_path(spark, sf):
 # ---------------------------------------------------------------- E: model tables
 
 def _run(spark, sf):
-    return train_and_extract(tb.pages(spark, sf))
+    return stored_run(tb.pages(spark, sf))
 
 
 RAT = f"{ov.PAGES}, {ov.TRAIN}, {ov.NODES}, {ov.ratios_sql()}"

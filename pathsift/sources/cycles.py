@@ -80,7 +80,7 @@ class Attempt:
         df = df.select(*columns)
         schema = st.schemas[name]
         if name in st.buckets:
-            df.withColumn("bucket", st.bucket(name)).write.partitionBy("bucket").parquet(path)
+            df.withColumn("bucket", st.bucket(name)).repartition("bucket").write.partitionBy("bucket").parquet(path)
             schema += ", bucket int"
         else:
             df.write.parquet(path)

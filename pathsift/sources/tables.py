@@ -7,7 +7,7 @@ grows with them.  The SQL twins used by the DuckDB oracle live in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.textcols import authority, first_line_title
@@ -76,6 +76,28 @@ def feed_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def validated_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View ``validated_polls``: polls of servers of four kinds (feed modulo 4):
+    0 sends only a Last-Modified value (day ``$.k % 28 + 1``), 1 nothing,
+    2 both validators, 3 only the etag ``$.k``."""
+    p = feed_polls(spark, sf_dir)
+    kind, k = F.col("feed_url") % 4, F.col("etag").cast("int")
+    return (p.withColumn("modified", F.when(kind.isin(0, 2), F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))))
+             .withColumn("etag", F.when(kind.isin(2, 3), F.col("etag"))))
+
+
+def feed_entries(spark: SparkSession, sf_dir: str, polls: DataFrame) -> DataFrame:
+    """View ``feed_entries(event_id, page_id, url, html)``: the three articles
+    that each poll lists, pages ``(3 * event_id + j) % pages``; every fiftieth
+    entry comes without a link."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    n = max(1, p.count())
+    listed = polls.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")) \
+        .withColumn("page_id", (3 * F.col("event_id") + F.col("j")) % n)
+    return listed.join(p, "page_id").select(
+        "event_id", "page_id", F.when((F.col("event_id") + F.col("j")) % 50 != 0, F.col("url")).alias("url"), "html")
+
+
 # ----------------------------------------------------------- extracts (G, H, J)
 
 EPOCH = "2024-01-01"
@@ -142,15 +164,6 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter(F.col("phrase") != "").distinct()
 
 
-def lit_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Small literal parameter frame (keywords, query words)."""
-    return spark.createDataFrame(rows, schema)
-
-
-def col_or(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 # --------------------------------------------------------- topic terms (I)
 
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,79 +1,91 @@
-"""The per-cycle ingest: articles of a poll cycle in,
-stored documents and extracts out.
-
-Each cycle writes its own ``cycle=<id>`` partitions, and a cycle that runs again
-(a retried micro-batch) replaces them, so nothing is stored twice.
+"""The per-cycle ingest: changed feeds in, stored
+documents, extracts and models out.
+
+The change stream feeds it: the polls of a cycle that bring new content name
+articles, articles whose URL isn't stored become documents, their domains are
+trained on, and every new document ends in the extracts or the rejects.  All
+tables of a cycle become visible with its manifest, so a cycle that dies is as
+if it had never begun, and a cycle is never taken twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.constants import TRAIN_DOC_LIMIT
 from ..operators import extract, keys
-from ..plans.content import train_and_extract
+from ..operators.training import MODEL_TABLES, content_cycle
+from ..sources.cycles import Attempt, CycleStore
+from .feeds import FEED_TABLES, run_feed_stream
 
 ARTICLES = "page_id long, url string, html string"
-DOCUMENTS = "page_id long, url string, domain string, html string"
-
-
-def _put(df: DataFrame, path: str, cycle: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/cycle={cycle}")
+TABLES = MODEL_TABLES | {
+    "documents": "page_id long, url string, domain string, html string",
+    "quarantine": "page_id long, url string",
+    "rejects": "page_id long, domain string, reason string",
+}
+#: Documents are looked up by URL: a cycle reads the buckets of its own URLs.
+BUCKETS = {"documents": "url"}
 
 
-def stored(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of all cycles under ``path`` (those before ``before``); none yet: empty."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, cycle int")
-    return df if before is None else df.filter(F.col("cycle") < before)
+def open_store(spark: SparkSession, path: str) -> CycleStore:
+    return CycleStore(spark, path, FEED_TABLES | TABLES, BUCKETS)
 
 
-def ingest_cycle(articles: DataFrame, store: str, cycle: int, limit: int = TRAIN_DOC_LIMIT) -> None:
+def ingest_cycle(articles: DataFrame, store: CycleStore, attempt: Attempt, limit: int = TRAIN_DOC_LIMIT) -> None:
     """One cycle over ``(page_id, url, html)``.
 
-    Articles without a usable link go to ``store/quarantine``.  Of the rest,
-    those whose URL is not stored yet (of repeats the lowest ``page_id``) are
-    appended to ``store/documents``.  Their domains are trained on the first
-    ``limit`` stored documents, new ones included, as in one batch run; the new
-    documents' extracts go to ``store/extracts``, and those that give none, with
-    the reason, to ``store/rejects``.
+    Articles without a usable link go to ``quarantine``.  Of the rest, those
+    whose URL is not stored yet (of repeats the lowest ``page_id``) become
+    ``documents``.  Their domains are trained on their first ``limit`` documents
+    in order of arrival; new documents' extracts go to ``extracts``, and those
+    that give none, with the reason, to ``rejects``.
     """
-    spark = articles.sparkSession
     a = keys.netloc(articles.select("page_id", "url", "html")).withColumnRenamed("netloc", "domain")
     bad = F.col("url").isNull() | (F.coalesce("domain", F.lit("")) == "")
-    _put(a.filter(bad).select("page_id", "url"), f"{store}/quarantine", cycle)
-
-    done = stored(spark, f"{store}/documents", DOCUMENTS, before=cycle)
-    w = Window.partitionBy("url").orderBy("page_id")
-    first = a.filter(~bad).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    _put(first.join(done.select("url"), "url", "left_anti")
-         .select("page_id", "url", "domain", "html"), f"{store}/documents", cycle)
-
-    docs = stored(spark, f"{store}/documents", DOCUMENTS, before=cycle + 1)
-    new = docs.filter(F.col("cycle") == cycle)
-    known = docs.join(new.select("domain").distinct(), "domain", "left_semi")
-    # earlier documents only train; new ones train within the limit and are extracted
-    order = Window.partitionBy("domain").orderBy("page_id")
-    kept = (known.withColumn("_r", F.row_number().over(order))
-            .filter((F.col("_r") <= limit) | (F.col("cycle") == cycle)).select("page_id", "domain", "html"))
-    run = train_and_extract(kept, limit)
-    fresh = new.select("page_id", "domain", "html")
-    main = run.main.join(fresh.select("page_id"), "page_id", "left_semi")
-    _put(main, f"{store}/extracts", cycle)
-    _put(extract.page_outcomes(fresh, main, run.model).filter(~F.col("extracted")).drop("extracted"),
-         f"{store}/rejects", cycle)
-    for df in (run.nodes, run.items, run.model):
-        df.unpersist()
-
-
-def run_ingest_stream(spark: SparkSession, source_dir: str, store: str, checkpoint_dir: str,
-                      files_per_cycle: int = 64):
+    attempt.put("quarantine", a.filter(bad))
+
+    # of a URL that many entries repeat one row per task travels, without its markup
+    first = a.filter(~bad).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    touched = [r.bucket for r in first.select(store.bucket("documents").alias("bucket")).distinct().collect()]
+    done = store.table("documents", before=attempt.cycle).filter(F.col("bucket").isin(touched)).select("url")
+    new = first.join(done, "url", "left_anti")
+    docs = attempt.put("documents", a.filter(~bad).join(new, ["url", "page_id"]).dropDuplicates(["url", "page_id"]))
+
+    pages = docs.select("page_id", "domain")
+    main = content_cycle(store, attempt, docs, limit)
+    nodes = store.spark.read.schema(store.schemas["nodes"]).parquet(attempt.paths["nodes"])
+    model = store.table("model", before=attempt.cycle).select("domain").unionByName(
+        store.spark.read.schema(store.schemas["model"]).parquet(attempt.paths["model"]).select("domain"))
+    attempt.put("rejects", extract.page_outcomes(pages, main, model, nodes).filter(~F.col("extracted")))
+
+
+def run_ingest_stream(spark: SparkSession, polls_dir: str, entries: Callable[[DataFrame], DataFrame], store_dir: str,
+                      checkpoint_dir: str, limit: int = TRAIN_DOC_LIMIT, **stream):
+    """Poll files through change detection into :func:`ingest_cycle`.
+    ``entries`` gives the articles ``(page_id, url, html)`` that changed polls
+    list (a join with the fetched pages)."""
+    def then(changes: DataFrame, store: CycleStore, attempt: Attempt) -> None:
+        ingest_cycle(entries(changes.filter("changed")), store, attempt, limit)
+
+    return run_feed_stream(spark, polls_dir, store_dir, checkpoint_dir, then=then, tables=TABLES, buckets=BUCKETS, **stream)
+
+
+def run_article_stream(spark: SparkSession, source_dir: str, store_dir: str, checkpoint_dir: str,
+                       files_per_cycle: int = 64, limit: int = TRAIN_DOC_LIMIT):
     """Article files through :func:`ingest_cycle`, at most ``files_per_cycle``
     files a cycle; processes what is there and stops."""
+    store = open_store(spark, store_dir)
+
+    def cycle(articles: DataFrame, number: int) -> None:
+        attempt = store.begin(number)
+        if attempt is not None:
+            ingest_cycle(articles, store, attempt, limit)
+            attempt.commit()
+
     src = spark.readStream.schema(ARTICLES).option("maxFilesPerTrigger", files_per_cycle).parquet(source_dir)
-    return (src.writeStream.foreachBatch(lambda df, cycle: ingest_cycle(df, store, cycle))
-            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    return (src.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True).start())

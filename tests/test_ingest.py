@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pathsift.operators import dom, extract, topics
-from pathsift.streaming import ingest
+from pathsift.streaming import feeds, ingest
 
 
 def _pages(n, start=0):
@@ -10,25 +10,95 @@ def _pages(n, start=0):
              f"<article>{'word%d ' % i * (i % 5 + 9)}</article></body></html>") for i in range(start, start + n)]
 
 
+def _content(store):
+    return {r.page_id: (r.xpath, r.content) for r in store.table("extracts").collect()}
+
+
+def _one_cycle(spark, path, rows):
+    store = ingest.open_store(spark, str(path))
+    attempt = store.begin(0)
+    ingest.ingest_cycle(spark.createDataFrame(rows, ingest.ARTICLES), store, attempt)
+    attempt.commit()
+    return store
+
+
 def test_cycles_equal_one_batch_and_rerun_adds_nothing(spark, tmp_path):
-    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    src, out = str(tmp_path / "in"), str(tmp_path / "store")
     rows = _pages(8) + [(90, None, "<html></html>"), (91, "http://site0.org/0", "again")]
     spark.createDataFrame(rows, ingest.ARTICLES).coalesce(1).write.parquet(src)
     for _ in range(2):
-        ingest.run_ingest_stream(spark, src, store, str(tmp_path / "ck")).awaitTermination()
+        ingest.run_article_stream(spark, src, out, str(tmp_path / "ck")).awaitTermination()
     spark.createDataFrame(_pages(4, 6), ingest.ARTICLES).coalesce(1).write.mode("append").parquet(src)
-    ingest.run_ingest_stream(spark, src, store, str(tmp_path / "ck")).awaitTermination()
+    ingest.run_article_stream(spark, src, out, str(tmp_path / "ck")).awaitTermination()
 
-    docs = ingest.stored(spark, f"{store}/documents", ingest.DOCUMENTS)
-    assert sorted(r.page_id for r in docs.select("page_id").collect()) == list(range(10))
-    assert [r.page_id for r in spark.read.parquet(f"{store}/quarantine").collect()] == [90]
-    got = {r.page_id: r.content for r in spark.read.parquet(f"{store}/extracts").collect()}
-    rejected = {r.page_id for r in spark.read.parquet(f"{store}/rejects").collect()}
+    store = ingest.open_store(spark, out)
+    assert sorted(r.page_id for r in store.table("documents").collect()) == list(range(10))
+    assert [r.page_id for r in store.table("quarantine").collect()] == [90]
+    got = _content(store)
+    rejected = {r.page_id for r in store.table("rejects").collect()}
     assert set(got) | rejected == set(range(10)) and not set(got) & rejected
+    assert _content(_one_cycle(spark, tmp_path / "whole", _pages(10))) == got
+
+
+def test_three_training_cycles_equal_one_and_parse_once(spark, tmp_path):
+    """Models, ratios and distances grow by cycle; nothing stored is made again."""
+    store = ingest.open_store(spark, str(tmp_path / "a"))
+    for cycle, (n, start) in enumerate([(6, 0), (5, 6), (4, 11)]):
+        attempt = store.begin(cycle)
+        ingest.ingest_cycle(spark.createDataFrame(_pages(n, start), ingest.ARTICLES), store, attempt, limit=6)
+        attempt.commit()
+        assert store.begin(cycle) is None
+    whole = ingest.open_store(spark, str(tmp_path / "b"))
+    attempt = whole.begin(0)
+    ingest.ingest_cycle(spark.createDataFrame(_pages(15), ingest.ARTICLES), whole, attempt, limit=6)
+    attempt.commit()
+
+    def rows(st, name, *cols):
+        return sorted(map(str, st.table(name).select(*[F.round(c, 12) if c == "ratio" else c for c in cols]).collect()))
+
+    for name, cols in {"ratios": ["domain", "path", "seq", "n_items", "ratio"], "train_pages": ["domain", "page_id", "seq"],
+                       "model": ["domain", "seq", "path", "is_content"], "extracts": ["page_id", "content"],
+                       "distances": ["x", "y", "lev"]}.items():
+        assert rows(store, name, *cols) == rows(whole, name, *cols), name
+    parsed = store.table("nodes").filter("node_seq = -1")
+    assert parsed.count() == 15 == parsed.select("page_id").distinct().count()
+
+
+def test_changed_feeds_bring_documents_and_a_killed_cycle_does_not(spark, tmp_path):
+    pages = spark.createDataFrame(_pages(12) + [(12, None, "x")], ingest.ARTICLES)
+    rows = [(f, f"2024-03-01 0{h}:10:00", 10 * f + h, True, etag, None)
+            for f, etags in enumerate(["aab", "ccc", "dd"]) for h, etag in enumerate(etags)]
+    polls = spark.createDataFrame(rows, "feed_url long, t string, event_id long, ok boolean, etag string, modified string") \
+        .withColumn("poll_ts", F.to_timestamp("t")).select(*feeds.POLL_COLUMNS)
+    killed = []
+
+    def entries(changed):
+        if not killed:
+            killed.append(changed.count())
+            raise RuntimeError("killed")
+        listed = changed.select(F.explode(F.expr("sequence(feed_url * 4, feed_url * 4 + 4)")).alias("page_id"))
+        return listed.join(pages, "page_id")
+
+    def run():
+        ingest.run_ingest_stream(spark, str(tmp_path / "in"), entries, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
 
-    whole = str(tmp_path / "whole")
-    ingest.ingest_cycle(spark.createDataFrame(_pages(10), ingest.ARTICLES), whole, 0)
-    assert {r.page_id: r.content for r in spark.read.parquet(f"{whole}/extracts").collect()} == got
+    polls.filter("poll_ts < '2024-03-01 02:00:00'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    feeds.end_mark(spark, str(tmp_path / "in"), "2024-02-29 03:00:00")
+    store = ingest.open_store(spark, str(tmp_path / "store"))
+    try:
+        run()
+    except Exception as e:
+        assert "killed" in str(e)
+    assert store.manifests() == []
+    run()
+    first = {r.page_id for r in store.table("documents").collect()}
+    polls.filter("poll_ts >= '2024-03-01 02:00:00'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feeds.end_mark(spark, str(tmp_path / "in"), "2024-03-02 00:00:00")
+    run()
+    assert first == set(range(12)) == {r.page_id for r in store.table("documents").collect()}
+    assert [r.page_id for r in store.table("quarantine").collect()] == [12]
+    assert store.table("changes").count() == 8 and store.table("changes").filter("changed").count() == 4
+    assert _content(_one_cycle(spark, tmp_path / "whole", _pages(12))) == _content(store)
 
 
 def test_page_outcomes_name_every_page(spark):
