@@ -40,37 +40,50 @@ def entities_from_spans(mentions: DataFrame, keep=SPAN_ENTITY_LABELS) -> DataFra
         F.array_join(F.array_sort(F.collect_set(_strip_quotes(F.col("text")))), ",").alias("ner"))
 
 
-def gazetteer_mentions(tokens: DataFrame, gazetteer: DataFrame, max_len: int | None = None) -> DataFrame:
-    """F8: dictionary tagging.  Every 1..``max_len`` token n-gram of a sentence
-    is an equi-join probe into ``gazetteer(phrase, label)``; where matches
-    nest, the longest wins.  ``max_len`` defaults to the longest phrase of the
-    gazetteer.  ``(doc_id, sent, start, n, text, label)``."""
-    if max_len is None:
-        max_len = gazetteer.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    w = Window.partitionBy("doc_id", "sent").orderBy("pos")
-    t = tokens.select("doc_id", "sent", "pos", "token")
-    for i in range(1, max_len):
-        t = t.withColumn(f"t{i}", F.lead("token", i).over(w)).withColumn(f"p{i}", F.lead("pos", i).over(w))
-    grams = []
-    for n in range(1, max_len + 1):
-        toks = [F.col("token")] + [F.col(f"t{i}") for i in range(1, n)]
-        contiguous = F.lit(True)
-        for i in range(1, n):
-            contiguous = contiguous & (F.col(f"p{i}") == F.col("pos") + i)
-        grams.append(t.filter(F.col(f"t{n - 1}").isNotNull() & contiguous if n > 1 else F.lit(True))
-                     .select("doc_id", "sent", F.col("pos").alias("start"), F.lit(n).alias("n"),
-                             F.concat_ws(" ", *toks).alias("text")))
-    g = grams[0]
-    for x in grams[1:]:
-        g = g.unionByName(x)
-    hits = g.join(gazetteer.select(F.col("phrase").alias("text"), "label"), "text")
-    a, b = hits.alias("a"), hits.alias("b")
-    covered = (a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.sent") == F.col("b.sent"))
-                      & (F.col("b.start") <= F.col("a.start"))
-                      & (F.col("b.start") + F.col("b.n") >= F.col("a.start") + F.col("a.n"))
-                      & (F.col("b.n") > F.col("a.n")), "left_semi"))
-    return hits.join(covered, ["doc_id", "sent", "start", "n", "text", "label"], "left_anti") \
-               .select("doc_id", "sent", "start", "n", "text", "label")
+HEAD = 3
+
+
+def gazetteer_mentions(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """F8: dictionary tagging with ``gazetteer(phrase, label)``, phrases of any
+    length; where matches nest, the longest wins.  ``(doc_id, sent, start, n,
+    text, label)``.
+
+    Tokens are gathered by sentence in one shuffle.  Each position probes the
+    phrases once, by its first words (up to three), and a phrase that starts
+    like that is compared as a whole with the sentence's words; so the work
+    doesn't depend on the number of phrase lengths.  One window over the hits of
+    a sentence drops those inside a longer one.  Words must be at consecutive
+    positions; repeated phrases with other labels are hits of their own.
+    """
+    lines = (tokens.groupBy("doc_id", "sent")
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("words")))
+    at = F.col("i")
+    word = lambda k: F.get("words", at + k)
+
+    def head(k):
+        """The ``k`` words from position ``i`` on, null where there are fewer or a gap."""
+        there = F.coalesce(word(k - 1)["pos"] == word(0)["pos"] + k - 1, F.lit(False))
+        return F.when(there, F.struct(F.lit(k).alias("k"), F.concat_ws(" ", *[word(j)["token"] for j in range(k)]).alias("head")))
+
+    starts = (lines.select("doc_id", "sent", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i"))
+              .select("doc_id", "sent", "i", F.explode(F.array_compact(F.array(*[head(k) for k in range(1, HEAD + 1)]))).alias("h"))
+              .select("doc_id", "sent", "i", "h.k", "h.head"))
+    terms = F.split("phrase", " ")
+    book = gazetteer.select("phrase", "label", terms.alias("terms"), F.size(terms).alias("n"),
+                            F.least(F.size(terms), F.lit(HEAD)).alias("k"),
+                            F.array_join(F.slice(terms, 1, HEAD), " ").alias("head")).distinct()
+    found = starts.join(book, ["k", "head"]).join(lines, ["doc_id", "sent"])
+    part = F.slice("words", at + 1, F.col("n"))
+    whole = (F.transform(part, lambda w: w["token"]) == F.col("terms")) & \
+        (F.element_at(part, -1)["pos"] == F.element_at(part, 1)["pos"] + F.col("n") - 1)
+    hits = found.filter(whole).select("doc_id", "sent", F.get("words", at)["pos"].alias("start"), "n",
+                                      F.col("phrase").alias("text"), "label")
+    # by start, longer ones first; equal spans are peers, which don't cover each other
+    span = 1 << 32
+    order = F.col("start").cast("long") * span + (span - 1 - F.col("n"))
+    before = Window.partitionBy("doc_id", "sent").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("_end", F.max(F.col("start") + F.col("n")).over(before))
+    return hits.filter(F.col("_end").isNull() | (F.col("_end") < F.col("start") + F.col("n"))).drop("_end")
 
 
 def cleanup_entity_string(df: DataFrame, col: str = "ner") -> DataFrame:

@@ -152,10 +152,14 @@ tokens AS (
   FROM (SELECT doc_id, sent, unnest(range(0, len(ws))) AS pos, unnest(ws) AS token FROM tk2)
   WHERE token <> '')"""
 
-GAZETTEER = """gazetteer AS (
-  SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase,
+GAZETTEER = """gz0 AS (
+  SELECT replace(text, '. ', '.' || chr(10)) AS s,
          ['PERSON', 'ORG', 'WORK_OF_ART', 'PRODUCT', 'GPE'][CAST(item_id % 5 AS INTEGER) + 1] AS label
-  FROM benchmark WHERE array_to_string(string_split(text, ' ')[1:2], ' ') <> '')"""
+  FROM benchmark),
+gazetteer AS (
+  SELECT DISTINCT phrase, label FROM (
+    SELECT unnest(string_split(s, chr(10)) || string_split(replace(s, ', ', ',' || chr(10)), chr(10))) AS phrase, label FROM gz0)
+  WHERE phrase <> '')"""
 
 STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
 TOKEN_SEP = r"[\s!-,./:-@\[-^`{-~]+"

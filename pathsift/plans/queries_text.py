@@ -84,19 +84,11 @@ def f6_entities_from_tokens(spark, sf):
 
 
 GAZ_SQL = f"""{ov.TOKENS}, {ov.GAZETTEER},
-ng0 AS (
-  SELECT doc_id, sent, pos, token,
-         lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3,
-         lead(pos, 1) OVER w AS p1, lead(pos, 2) OVER w AS p2, lead(pos, 3) OVER w AS p3
-  FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)),
-grams AS (
-  SELECT doc_id, sent, pos AS start, 1 AS n, token AS text FROM ng0
-  UNION ALL SELECT doc_id, sent, pos, 2, token || ' ' || t1 FROM ng0 WHERE t1 IS NOT NULL AND p1 = pos + 1
-  UNION ALL SELECT doc_id, sent, pos, 3, token || ' ' || t1 || ' ' || t2 FROM ng0
-    WHERE t2 IS NOT NULL AND p1 = pos + 1 AND p2 = pos + 2
-  UNION ALL SELECT doc_id, sent, pos, 4, token || ' ' || t1 || ' ' || t2 || ' ' || t3 FROM ng0
-    WHERE t3 IS NOT NULL AND p1 = pos + 1 AND p2 = pos + 2 AND p3 = pos + 3),
-hits AS (SELECT g.doc_id, g.sent, g.start, g.n, g.text, z.label FROM grams g JOIN gazetteer z ON z.phrase = g.text),
+gz AS (SELECT phrase, label, string_split(phrase, ' ') AS words FROM gazetteer),
+place AS (SELECT doc_id, sent, ws, unnest(range(1, len(ws) + 1)) AS p FROM tk2),
+hits AS (
+  SELECT doc_id, CAST(sent AS INTEGER) AS sent, CAST(p - 1 AS INTEGER) AS start, len(words) AS n, phrase AS text, label
+  FROM place JOIN gz ON ws[p] = words[1] AND ws[p:p + len(words) - 1] = words),
 mentions AS (
   SELECT * FROM hits a WHERE NOT EXISTS (
     SELECT 1 FROM hits b WHERE b.doc_id = a.doc_id AND b.sent = a.sent AND b.start <= a.start

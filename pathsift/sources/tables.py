@@ -152,16 +152,16 @@ GAZETTEER_LABELS = ["PERSON", "ORG", "WORK_OF_ART", "PRODUCT", "GPE"]
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View ``gazetteer(phrase, label)`` derived from ``benchmark``.
 
-    Phrase = first two words of each benchmark passage; label cycles over the
-    four kept labels plus ``GPE``, which the span filter must drop.
+    Phrases = all sentences and all clauses (up to a comma) of each passage,
+    whole; label cycles over the four kept labels plus ``GPE``, which the span
+    filter must drop.
     """
     b = table(spark, sf_dir, "benchmark")
-    w = F.split(F.col("text"), " ")
     labels = F.array(*[F.lit(x) for x in GAZETTEER_LABELS])
-    return b.select(
-        F.concat_ws(" ", F.slice(w, 1, 2)).alias("phrase"),
-        F.element_at(labels, (F.col("item_id") % len(GAZETTEER_LABELS)).cast("int") + 1).alias("label"),
-    ).filter(F.col("phrase") != "").distinct()
+    label = F.element_at(labels, (F.col("item_id") % len(GAZETTEER_LABELS)).cast("int") + 1)
+    sentences = F.replace("text", F.lit(". "), F.lit(".\n"))
+    units = F.array_union(F.split(sentences, "\n"), F.split(F.replace(sentences, F.lit(", "), F.lit(",\n")), "\n"))
+    return b.select(F.explode(units).alias("phrase"), label.alias("label")).filter(F.col("phrase") != "").distinct()
 
 
 # --------------------------------------------------------- topic terms (I)
@@ -169,17 +169,38 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View ``topic_terms(topic, term, weight)``: a deterministic stand-in for
     a topic model -- topic = rank of the document ``source``, term = cleaned
-    token (H3-H5), weight = the term's share of the topic's tokens."""
+    token (H3-H5), weight = the term's share of the topic's tokens.
+
+    The texts are tokenized once: their counts are written and everything else
+    comes from them.  Queries over the same documents share the table.
+    """
     from ..functions.textcols import token_rows
     from ..operators.keys import dense_ids
-    d = token_rows(table(spark, sf_dir, "documents"), "text", ["source"]).withColumnRenamed("token", "term")
-    c = d.groupBy("source", "term").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    c = stored_view(spark, "topic-terms", docs.select("source", "text"), "source string, term string, n long",
+                    lambda d: token_rows(d, "text", ["source"]).groupBy("source", F.col("token").alias("term"))
+                    .agg(F.count("*").alias("n")))
     tot = c.groupBy("source").agg(F.sum("n").alias("tot"))
     topics = dense_ids(tot.select("source"), "source", "topic", start=-1)
     return (c.join(tot, "source").join(topics, "source")
             .select(F.col("topic").cast("int"), "term", (F.col("n") / F.col("tot")).alias("weight")))
 
 
+def stored_view(spark: SparkSession, name: str, source: DataFrame, schema: str, make) -> DataFrame:
+    """A derived table that is written once for exactly these ``source`` rows
+    (named by a digest of all of them) and read afterwards."""
+    from ..session import ensure_checkpoint_dir
+    from .cycles import CycleStore
+    a, b = F.xxhash64(*source.columns), F.hash(*source.columns)
+    key = source.agg(F.count("*"), F.bit_xor(a), F.sum(a.cast("decimal(38,0)")), F.sum(b.cast("long"))).first()
+    store = CycleStore(spark, f"{ensure_checkpoint_dir(spark)}/views/{name}-{'-'.join(str(v) for v in key)}", {name: schema})
+    attempt = store.begin(0)
+    if attempt is not None:
+        attempt.put(name, make(source))
+        attempt.commit()
+    return store.table(name)
+
+
 # Query-word groups (M15) are a parameter of the overlap reports; these
 # groups use frequent cleaned tokens of the driver documents.
 QUERY_WORDS = [("german", "der"), ("german", "und"), ("french", "que"), ("french", "des"),

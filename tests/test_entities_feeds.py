@@ -86,3 +86,16 @@ def test_entity_search_is_case_insensitive_substring(spark):
     rep = spark.createDataFrame([(1, "Microsoft,Bob"), (2, "Alice"), (3, None)], "document_id long, ner string")
     got = sorted((r.keyword, r.document_id) for r in dashboard.entity_search(rep, ["micro", "ALI"]).collect())
     assert got == [("ali", 2), ("micro", 1)]
+
+
+def test_phrases_of_any_length_the_longest_wins(spark):
+    line = "one two three four five six seven two three x two  three".split(" ")
+    rows = [(1, 0, p, w, "O") for p, w in enumerate(line) if w] + [(1, 1, p, w, "O") for p, w in enumerate(line[:5])]
+    tokens = spark.createDataFrame(rows, "doc_id long, sent int, pos int, token string, tag string").repartition(3)
+    book = spark.createDataFrame([("two three", "ORG"), ("two three four five six", "PERSON"), ("two three four five six", "GPE"),
+                                  ("five six seven two three x", "ORG"), ("x", "ORG"), ("one two three four five seven", "ORG"),
+                                  ("three four five", "PRODUCT"), ("four five", "ORG")], "phrase string, label string")
+    got = sorted((r.sent, r.start, r.n, r.text, r.label) for r in entities.gazetteer_mentions(tokens, book).collect())
+    assert got == [(0, 1, 5, "two three four five six", "GPE"), (0, 1, 5, "two three four five six", "PERSON"),
+                   (0, 4, 6, "five six seven two three x", "ORG"),
+                   (1, 1, 2, "two three", "ORG"), (1, 2, 3, "three four five", "PRODUCT")]
