@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dom, extract, keys, paths
 from ..sources import tables as tb
 from . import oracle_views as ov
+from ..session import ensure_checkpoint_dir
+from ..sources.snapshots import KeyedTable
 from .content import stored_run
+from .queries_topics import best_topic_sql, best_topics_of
 from .registry import query
 
 
@@ -265,6 +270,58 @@ def f4_extract_records(spark, sf):
     return rec.select("document_id", "domain", "xpath", "content", "xpath_type", "content_length", "title")
 
 
+FULL_SQL = f"""WITH x AS ({ov.main_extract_sql()}), {ov.PAGES}, {ov.TOPIC_TERMS}, {best_topic_sql('x', 'page_id', 'content')},
+w0 AS (SELECT page_id, string_split(content, ' ') AS ws FROM x),
+w1 AS (SELECT page_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS token FROM w0),
+w2 AS (
+  SELECT page_id, pos, trim(trim(token, '"'), chr(39)) AS tok, pos - row_number() OVER (PARTITION BY page_id ORDER BY pos) AS grp
+  FROM w1 WHERE regexp_full_match(token, '[A-Z][a-z]+')),
+w3 AS (SELECT page_id, grp, string_agg(tok, ' ' ORDER BY pos) AS phrase FROM w2 GROUP BY page_id, grp),
+ner AS (SELECT page_id, array_to_string(list_sort(list_distinct(list(phrase))), ',') AS ner FROM w3 GROUP BY page_id)
+SELECT x.page_id AS document_id, x.domain, x.xpath, x.content, 'Attribs' AS xpath_type, x.content_length,
+       CAST(coalesce(bt.topic, 0) AS INTEGER) AS main_topic,
+       {ov.unescape("regexp_extract(pg.html, '(?is)<title>(.*?)</title>', 1)")} AS title, ner.ner
+FROM x JOIN pg USING (page_id) LEFT JOIN bt ON bt.id = x.page_id LEFT JOIN ner ON ner.page_id = x.page_id"""
+
+
+@query("f4_full_records", FULL_SQL)
+def f4_full_records(spark, sf):
+    """F4 with topic and entities of each extract, appended to the extract table."""
+    from ..operators import entities
+    from ..operators.extract import extract_records
+    from ..sources.store import append_extracts
+    run = _run(spark, sf)
+    topics = best_topics_of(spark, sf, run.main, "page_id", "content")
+    words = run.main.select(F.col("page_id").alias("doc_id"), F.lit(0).alias("sent"),
+                            F.posexplode(F.split("content", " ")).alias("pos", "token"))
+    tagged = words.withColumn("tag", F.when(F.col("token").rlike("^[A-Z][a-z]+$"), "PERSON").otherwise("O"))
+    ner = entities.entities_from_tokens(tagged).withColumnRenamed("doc_id", "page_id")
+    records = extract_records(run.main, dom.page_titles(run.nodes), topics, ner)
+    path = f"{ensure_checkpoint_dir(spark)}/extract-records/{uuid.uuid4().hex}"
+    append_extracts(records, path)
+    return spark.read.schema(records.schema).parquet(path).select(*records.columns)
+
+
+@query("a1_rejected_pages", f"""WITH {ov.PAGES}
+SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pg)""")
+def a1_rejected_pages(spark, sf):
+    return tb.rejected_pages(spark, sf)
+
+
+@query("a4_versioned_update", f"""WITH {ov.EXTRACTS},
+upd AS (SELECT doc_id AS document_id, min(CAST(quality * 10 + toxic AS INTEGER)) AS main_topic FROM labels GROUP BY 1)
+SELECT e.extract_id, e.document_id, coalesce(upd.main_topic, e.main_topic) AS main_topic
+FROM extracts e LEFT JOIN upd USING (document_id)""")
+def a4_versioned_update(spark, sf):
+    """A4 on a stored table: only the buckets of updated documents are written."""
+    table = KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}",
+                       "extract_id long, document_id long, main_topic int", "document_id")
+    table.create(tb.extracts(spark, sf))
+    table.update(tb.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("document_id"), (F.col("quality") * 10 + F.col("toxic")).cast("int").alias("main_topic")), ["main_topic"])
+    return table.read()
+
+
 @query("a4_keyed_update", f"""WITH {ov.EXTRACTS},
 rep AS (SELECT * FROM extracts QUALIFY row_number() OVER (
   PARTITION BY document_id ORDER BY content_length DESC NULLS LAST, extract_id) = 1),

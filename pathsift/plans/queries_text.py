@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import entities, stats, text
+from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
+from ..sources.cycles import CycleStore
 from . import oracle_views as ov
 from .registry import query
 
@@ -43,23 +47,41 @@ vocab AS (
   FROM voc0 GROUP BY token)"""
 
 
-def _vocab_and_tokens(spark, sf):
-    d = tb.table(spark, sf, "documents").withColumnRenamed("doc_id", "document_id")
-    t = text.doc_tokens(d, "text")
-    return text.vocabulary(t), t
+def _counts(spark, sf):
+    """Term counts of all documents, tokenized once and stored."""
+    d = tb.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return tb.stored_view(spark, "term-counts", d, "document_id long, token string, n long",
+                          lambda x: text.term_counts(text.doc_tokens(x, "text")))
 
 
 @query("h6_vocabulary", f"WITH {VOCAB_SQL} SELECT term_id, term, df FROM vocab")
 def h6_vocabulary(spark, sf):
-    return _vocab_and_tokens(spark, sf)[0]
+    return text.vocabulary(_counts(spark, sf))
+
+
+@query("h6_vocabulary_by_cycle", f"""WITH {ov.EXTRACTS},
+tok AS (SELECT extracted_at < TIMESTAMP '{SINCE}' AS early, unnest({ov.clean_tokens_sql('content')}) AS term FROM extracts),
+seen AS (SELECT term, bool_or(early) AS early FROM tok GROUP BY term)
+SELECT term, row_number() OVER (ORDER BY early DESC, term) - 1 AS term_id FROM seen""")
+def h6_vocabulary_by_cycle(spark, sf):
+    """Extracts of two halves of the month as two cycles: ids of the first stay."""
+    work = f"{ensure_checkpoint_dir(spark)}/vocabulary/{uuid.uuid4().hex}"
+    store = CycleStore(spark, work, text.VOCABULARY_TABLES)
+    ex = tb.extracts(spark, sf)
+    early = F.col("extracted_at") < F.lit(SINCE).cast("timestamp")
+    for cycle, part in enumerate([ex.filter(early), ex.filter(~early)]):
+        attempt = store.begin(cycle)
+        text.vocabulary_cycle(store, attempt, text.term_counts(text.doc_tokens(part)))
+        attempt.commit()
+    return store.table("terms")
 
 
 @query("h7_bag_of_words", f"""WITH {VOCAB_SQL}
 SELECT v.doc_id AS document_id, vocab.term_id, CAST(count(*) AS BIGINT) AS n
 FROM voc0 v JOIN vocab ON vocab.term = v.token GROUP BY ALL""")
 def h7_bag_of_words(spark, sf):
-    vocab, t = _vocab_and_tokens(spark, sf)
-    return text.bag_of_words(t, vocab)
+    counts = _counts(spark, sf)
+    return text.bag_of_words(counts, text.vocabulary(counts))
 
 
 ISLANDS_SQL = f"""{ov.TOKENS},

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import text, topics
 from ..operators import topic_reports as tr
+from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
+from ..sources.snapshots import KeyedTable
 from . import oracle_views as ov
 from .registry import query
 
@@ -124,3 +129,44 @@ SELECT key || ';' || topic || ';' || terms AS line FROM o""")
 def a10_report_lines(spark, sf):
     from ..sources.store import report_lines
     return report_lines(tr.topic_overlaps(tb.topic_terms(spark, sf), tb.query_words(spark)))
+
+
+# ---------------------------------------------------- I6, I7 over a stored distribution
+
+def best_topic_sql(rows: str, key: str, content: str) -> str:
+    """CTEs ``bt`` with the best topic of each row's own tokens."""
+    return f"""bt0 AS (SELECT {key} AS id, unnest({ov.clean_tokens_sql(content)}) AS term FROM {rows}),
+bt1 AS (
+  SELECT id, topic, sum(CAST(floor(weight * 1000000000) AS BIGINT)) AS score
+  FROM bt0 JOIN topic_terms USING (term) GROUP BY id, topic),
+bt AS (SELECT id, topic FROM bt1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) = 1)"""
+
+
+def best_topics_of(spark, sf, rows, id_col, text_col):
+    counts = text.term_counts(text.doc_tokens(rows, text_col, id_col), id_col)
+    return topics.best_topics(rows, topics.topic_scores(counts, tb.topic_terms(spark, sf), id_col), id_col)
+
+
+@query("i6_main_topic_stored", f"""WITH {ov.TOPIC_TERMS}, {best_topic_sql('documents', 'doc_id', 'text')}
+SELECT d.doc_id, CAST(coalesce(bt.topic, 0) AS INTEGER) AS main_topic
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN bt ON bt.id = d.doc_id""")
+def i6_main_topic_stored(spark, sf):
+    """I6 over the stored topic-term table."""
+    return best_topics_of(spark, sf, tb.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("i7_topics_of_extracts", f"""WITH {ov.TOPIC_TERMS}, {ov.EXTRACTS}, {best_topic_sql('extracts', 'extract_id', 'content')}
+SELECT e.extract_id, e.document_id, e.content_length,
+       CAST(CASE WHEN e.content_length % 2 = 1 THEN e.main_topic ELSE coalesce(bt.topic, 0) END AS INTEGER) AS main_topic
+FROM extracts e LEFT JOIN bt ON bt.id = e.extract_id""")
+def i7_topics_of_extracts(spark, sf):
+    """Topic per extract, merged into a half-filled table (extracts of even
+    length have none yet) as a new version."""
+    ex = tb.extracts(spark, sf)
+    table = KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}",
+                       "extract_id long, document_id long, content_length int, main_topic int", "extract_id")
+    table.create(ex.withColumn("main_topic", F.when(F.col("content_length") % 2 == 1, F.col("main_topic"))))
+    missing = table.read().filter("main_topic IS NULL").select("extract_id")
+    rows = ex.select("extract_id", "content").join(missing, "extract_id", "left_semi")
+    table.update(best_topics_of(spark, sf, rows, "extract_id", "content"), ["main_topic"], only_missing=True)
+    return table.read()
