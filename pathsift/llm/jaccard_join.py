@@ -43,10 +43,11 @@ from .components import connected
 SIZES = "doc_id bigint, key binary, n bigint, cls binary, block int, task int, counts binary"
 COUNTS = "block int, task int, counts binary"
 ENTRIES = "bucket int, classes binary, sizes binary, which binary, grams binary, ranks binary"
-MEMBERS = "gram bigint, cls binary, n int, pos int, pivots array<binary>"
+MEMBERS = "gram bigint, cls binary, n int, pos int, pivots array<binary>, more boolean"
 SETS = "cls binary, n int, grams binary"
 FILTER = "block bigint, marks binary"
 LINKS = "a binary, b binary"
+VERIFIED = "a binary, b binary, near boolean"
 #: Bits (as a power of two) of one block of the class filter.
 FILTER_BLOCK = 14
 
@@ -290,10 +291,14 @@ def _groups(cfg: Settings):
             hubs.append(a)
             ok.append((a != own) & (np.minimum(n[a] - rank[a], n - rank) >= cfg.overlap(size[a], size)))
         hubs, ok = np.stack(hubs, axis=1), np.stack(ok, axis=1)
+        # groups of two, and of three with two pivots, are settled by their pivot pairs
+        group, members = np.repeat(np.arange(len(first)), length), np.repeat(length, length)
+        whole = np.bincount(group, weights=own == pivot, minlength=len(first))[group] == 1
+        more = (members > 2) & ~((members == 3) & whole & (pivot != early))
         offsets = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
         pivots = pa.ListArray.from_arrays(pa.array(offsets), _binary(cls[hubs[ok]]))
         out = common.arrow_batch(schema, gram=(np.int64(bucket) << 40) | gram, cls=_binary(cls), n=n, pos=rank,
-                                 pivots=pivots.cast(schema.field("pivots").type))
+                                 pivots=pivots.cast(schema.field("pivots").type), more=more)
         return pa.Table.from_batches([out.filter(pa.array(keep)) if len(gram) else out])
     return run
 
@@ -340,9 +345,7 @@ def class_filter(classes: DataFrame, cfg: Settings) -> np.ndarray:
 
 
 def _short(g: np.ndarray, size: int) -> bytes:
-    """The leading ``size`` bytes of sorted hashes.  With 5 of them, two sets of
-    1,000 n-grams share one by chance once in a million pairs, and that only
-    matters for a pair one n-gram short of the threshold."""
+    """The leading ``size`` bytes of sorted hashes."""
     return np.ascontiguousarray(g.byteswap().view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
@@ -352,7 +355,7 @@ def _long(raw: bytes, size: int) -> np.ndarray:
     return out.view(U64).ravel().byteswap()
 
 
-def _sets(wanted: np.ndarray, cfg: Settings):
+def _sets(wanted: np.ndarray, cfg: Settings, size: int):
     """Sets of the classes that pass the filter, once per task."""
     schema = common.arrow_schema(SETS)
     bits = int(len(wanted) * 8).bit_length() - 1
@@ -371,7 +374,7 @@ def _sets(wanted: np.ndarray, cfg: Settings):
                     seen.add(key)
                     rows.append(i)
             yield common.arrow_batch(schema, cls=_binary(classes[rows]), n=n[rows].astype(np.int32),
-                                     grams=[_short(g[ends[i] - n[i]:ends[i]], cfg.gram_bytes) for i in rows])
+                                     grams=[_short(g[ends[i] - n[i]:ends[i]], size) for i in rows])
     return run
 
 
@@ -391,45 +394,65 @@ def _named_sets(wanted: np.ndarray):
 _RANGES = np.arange(1, 16, dtype=U64) << U64(60)
 
 
-def linked(x: np.ndarray, y: np.ndarray, cfg: Settings) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, cfg: Settings, bits: int = 64) -> tuple[bool, bool]:
     """Suffix filter by hash ranges, then the exact intersection of two sorted
-    sets."""
+    sets.  Also whether ``bits`` of the hashes are too few to tell: without
+    the matches that chance may give, the sets would not link."""
     n, m = len(x), len(y)
     need = cfg.overlap(n, m)
     if min(n, m) < need:
-        return False
+        return False, False
     cx = np.diff(np.concatenate([[0], np.searchsorted(x, _RANGES), [n]]))
     cy = np.diff(np.concatenate([[0], np.searchsorted(y, _RANGES), [m]]))
     if np.minimum(cx, cy).sum() < need:
-        return False
+        return False, False
     if n > m:
         x, y = y, x
     at = np.searchsorted(y, x)
     common_grams = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * common_grams >= cfg.percent * (n + m - common_grams)
+    links = 100 * common_grams >= cfg.percent * (n + m - common_grams)
+    chance = 3 + (n * m >> bits - 4) if bits < 64 else 0        # far more than the mean of n * m / 2^bits
+    least = common_grams - chance
+    return links, links and 100 * least < cfg.percent * (n + m - least)
 
 
-def _verify(cfg: Settings):
-    schema = common.arrow_schema(LINKS)
+def _verify(cfg: Settings, size: int):
+    schema = common.arrow_schema(VERIFIED)
 
     def run(batches):
         for b in batches:
             left, right = b.column("grams_a"), b.column("grams_b")
-            ok = [linked(_long(x.as_py(), cfg.gram_bytes), _long(y.as_py(), cfg.gram_bytes), cfg)
-                  for x, y in zip(left, right, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).cast(schema)
+            found = np.array([linked(_long(x.as_py(), size), _long(y.as_py(), size), cfg, 8 * size)
+                              for x, y in zip(left, right, strict=True)], dtype=bool).reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(found[:, 1])], schema=schema)
+            yield out.filter(pa.array(found[:, 0]))
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b), written, and the links among them.  Only the sets that
-    these pairs name are shuffled."""
-    pairs = common.saved(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = sets.mapInArrow(_named_sets(class_filter(named, cfg)), SETS)
+def _compared(pairs: DataFrame, sets: DataFrame, cfg: Settings, size: int) -> DataFrame:
+    """Links among the pairs (a, b).  Only the sets that these pairs name are shuffled."""
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    return pairs, common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), "links")
+    return pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg, size), VERIFIED)
+
+
+def _named(pairs: DataFrame, cfg: Settings) -> np.ndarray:
+    return class_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, text: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b), written, and the links among them.  Hashes travel in
+    ``gram_bytes`` bytes; pairs that chance could have lifted over the threshold
+    then are compared once more by whole hashes."""
+    pairs = common.saved(pairs, "pairs")
+    named = sets.mapInArrow(_named_sets(_named(pairs, cfg)), SETS)
+    links = common.saved(_compared(pairs, named, cfg, cfg.gram_bytes), "links")
+    near = links.filter("near").select("a", "b")
+    if near.isEmpty():
+        return pairs, links.select("a", "b")
+    whole = text.mapInArrow(_sets(_named(near, cfg), cfg, 8), SETS).dropDuplicates(["cls"])
+    exact = common.saved(_compared(near, whole, cfg, 8), "near-links")
+    return pairs, links.filter("NOT near").unionByName(exact).select("a", "b")
 
 
 def _may_link(n, pos, m, at, cfg: Settings):
@@ -488,16 +511,15 @@ def _resolved(rows: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
 
     wanted = class_filter(members.select("cls").distinct(), cfg)
-    sets = common.saved(text.mapInArrow(_sets(wanted, cfg), SETS).dropDuplicates(["cls"]), "sets")
-    members = members.select("gram", "cls", "n", "pos", "pivots")
+    sets = common.saved(text.mapInArrow(_sets(wanted, cfg, cfg.gram_bytes), SETS).dropDuplicates(["cls"]), "sets")
     pairs, links = _verified(members.select(F.explode("pivots").alias("u"), F.col("cls").alias("v"))
-                             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), sets, cfg)
+                             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), sets, text, cfg)
     labels = common.saved(connected(links), "labels")
-    members = members.drop("pivots")
+    members = members.filter("more")
     for turn in range(cfg.star_turns + 1):
         members = _placed(members.select("gram", "cls", "n", "pos"), labels)
         new = _pairs_apart(members, cfg) if turn == cfg.star_turns else _star_pairs(members, turn, cfg)
-        tried, found = _verified(new.join(pairs, ["a", "b"], "left_anti"), sets, cfg)
+        tried, found = _verified(new.join(pairs, ["a", "b"], "left_anti"), sets, text, cfg)
         pairs, links = pairs.unionByName(tried), links.unionByName(found)
         labels = common.saved(connected(links), "labels")
 
