@@ -5,9 +5,18 @@ common words of its language are compared with references by the
 Jensen-Shannon distance (square root of the divergence in bits).  The
 references are the same histograms over all documents: one per language that
 holds ``reference_words`` words or, in a small table, ``min_share`` of all
-words, and one of all texts together.  A text without a reference of its own
-(null or scarcer language) takes the least distance over all references.  A
-distance counts only where the document is long enough for its histogram, and
+words, and one of all texts together.
+
+A label makes no reference of junk: the common words of a reference must hold
+``min_coverage`` of its words, and only words that two different texts share
+count for that (copies of one text are one text).  Random strings share
+nothing; a language's common words hold some 40 % of it.  A text is left out of
+the reference that it is held to.  A text without a reference of its own (null,
+scarcer or refused language) takes the least distance over all references.  At
+most ``languages`` labels, those with most words, have one (3 KB each), which
+bounds what is sent to the driver and back.
+
+A distance counts only where the document is long enough for its histogram, and
 its limit is relaxed by the divergence that sampling alone gives to a text of
 that length.
 
@@ -31,7 +40,7 @@ from .common import U64
 
 OUT = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
        "n_repeat_words bigint, base_failed boolean, char_distance double, word_distance double, kept boolean")
-PARTS = "lang string, kind int, item bigint, n bigint"
+PARTS = "lang string, kind int, item bigint, n bigint, lo bigint, hi bigint"
 
 #: Character classes: 0 white space, 1 lower, 2 upper, 3 digit, 4 sentence
 #: marks, 5 other ASCII marks, 6 control, 7 lead byte of a non-ASCII character.
@@ -63,6 +72,8 @@ class Rules:
     slack: float = 0.8
     min_share: float = 0.001
     reference_words: int = 20_000
+    min_coverage: float = 0.25
+    languages: int = 1000
     cells: int = 1 << 17
     flush_words: int = 1 << 20
 
@@ -126,16 +137,23 @@ def _count_parts(rules: Rules):
     schema = common.arrow_schema(PARTS)
 
     def flush(held):
-        lang, kind, item, n = [], [], [], []
-        for name, (classes, hashes) in held.items():
-            w, c = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, U64), [])
-            lang += [name] * (len(w) + CLASSES)
-            kind += [0] * CLASSES + [1] * len(w)
-            item.append(np.concatenate([np.arange(CLASSES), w.view(np.int64)]))
-            n.append(np.concatenate([classes, c]).astype(np.int64))
+        lang, kind, item, n, lo, hi = [], [], [], [], [], []
+        for name, (classes, hashes, texts) in held.items():
+            h, t = np.concatenate(hashes), np.concatenate(texts)
+            order = np.argsort(h, kind="stable")
+            h, t = h[order], t[order]
+            first = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
+            lang += [name] * (len(first) + CLASSES)
+            kind += [0] * CLASSES + [1] * len(first)
+            item.append(np.concatenate([np.arange(CLASSES), h[first].view(np.int64)]))
+            n.append(np.concatenate([classes, np.diff(np.append(first, len(h)))]).astype(np.int64))
+            # the least and greatest text that holds a word differ where two different texts do
+            none = np.zeros(CLASSES, np.int64)
+            lo.append(np.concatenate([none, np.minimum.reduceat(t, first) if len(first) else none[:0]]))
+            hi.append(np.concatenate([none, np.maximum.reduceat(t, first) if len(first) else none[:0]]))
         if lang:
             yield common.arrow_batch(schema, lang=lang, kind=np.array(kind, np.int32), item=np.concatenate(item),
-                                     n=np.concatenate(n))
+                                     n=np.concatenate(n), lo=np.concatenate(lo), hi=np.concatenate(hi))
 
     def run(batches):
         held, words = {}, 0
@@ -143,12 +161,14 @@ def _count_parts(rules: Rules):
             data, offs = common.buffers(b.column("text"))
             s, e, doc = common.word_ranges(data, offs)
             h, classes = common.range_hashes(data, s, e), _class_counts(data, offs)
+            text = common.range_hashes(data, offs[:-1], offs[1:]).view(np.int64)
             langs = np.array([x if x is not None else "" for x in b.column("lang").to_pylist()], dtype=object)
             for name in set(langs):
                 mine = langs == name
-                at = held.setdefault(name, [np.zeros(CLASSES, np.int64), []])
+                at = held.setdefault(name, [np.zeros(CLASSES, np.int64), [], []])
                 at[0] = at[0] + classes[mine].sum(axis=0)
                 at[1].append(h[mine[doc]])
+                at[2].append(text[doc[mine[doc]]])
             words += len(h)
             if words >= rules.flush_words:
                 yield from flush(held)
@@ -157,43 +177,52 @@ def _count_parts(rules: Rules):
     return run
 
 
-def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``=`` and language -> (class shares, common word hashes ascending, their shares);
-    ``POOLED`` holds all texts together.  At most ``common_words`` rows (16
-    bytes each) of each language that holds ``reference_words`` words reach the
-    driver, however small its share of the table."""
+@dataclass
+class Reference:
+    """Class and common word counts (word hashes ascending) of ``total`` words."""
+
+    classes: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    total: int
+
+
+def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
+    """``=`` and language -> reference; ``POOLED`` holds all texts together.
+    At most ``common_words`` rows of each of ``languages`` reach the driver."""
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    parts = rows.mapInArrow(_count_parts(rules), PARTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    parts = (rows.mapInArrow(_count_parts(rules), PARTS).groupBy("lang", "kind", "item")
+             .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     parts = common.saved(parts, "histograms")
     words = parts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     total = words.agg(F.sum("total")).first()[0] or 0
-    pooled = parts.groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    pooled = parts.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     least = max(1, min(rules.min_share * total, rules.reference_words))
-    named = words.filter((F.col("total") >= least) & (F.col("lang") != "")).select("lang", "total")
+    named = (words.filter((F.col("total") >= least) & (F.col("lang") != "")).select("lang", "total")
+             .orderBy(F.desc("total"), "lang").limit(rules.languages))
     sizes = {POOLED: total} | {f"={r['lang']}": r["total"] for r in named.collect()}
     mine = parts.join(F.broadcast(named.select("lang")), "lang", "left_semi")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
-    cols = "lang", "item", "n"
+    cols = "lang", "item", "n", (F.col("lo") != F.col("hi")).alias("shared")
     top = [pooled.filter("kind = 1").orderBy(F.desc("n"), "item").limit(rules.common_words)
-           .select(F.lit(POOLED).alias("lang"), "item", "n"),
+           .withColumn("lang", F.lit(POOLED)).select(*cols),
            mine.filter("kind = 1").withColumn("rank", rank).filter(F.col("rank") <= rules.common_words)
-           .select(F.concat(F.lit("="), "lang").alias("lang"), "item", "n")]
-    kinds = [pooled.filter("kind = 0").select(F.lit(POOLED).alias("lang"), "item", "n"),
-             mine.filter("kind = 0").select(F.concat(F.lit("="), "lang").alias("lang"), "item", "n")]
+           .withColumn("lang", F.concat(F.lit("="), "lang")).select(*cols)]
+    kinds = [pooled.filter("kind = 0").withColumn("lang", F.lit(POOLED)).select(*cols),
+             mine.filter("kind = 0").withColumn("lang", F.concat(F.lit("="), "lang")).select(*cols)]
     classes = {k: np.zeros(CLASSES) for k in sizes}
-    for r in (x for f in kinds for x in f.select(*cols).collect()):
+    for r in (x for f in kinds for x in f.collect()):
         classes[r["lang"]][r["item"]] = r["n"]
-    found = {k: (np.zeros(0, U64), np.zeros(0)) for k in sizes}
-    for frame in top:
-        rows = frame.select(*cols).toArrow().to_pydict()
-        lang = np.array(rows["lang"], dtype=object)
-        item, n = np.array(rows["item"], dtype=np.int64).view(U64), np.array(rows["n"], dtype=float)
-        order = np.lexsort((item, lang.astype(str)))
-        cuts = np.flatnonzero(lang[order][1:] != lang[order][:-1]) + 1
-        for at in np.split(order, cuts):
-            if len(at):
-                found[lang[at[0]]] = item[at], n[at] / max(sizes[lang[at[0]]], 1)
-    out = {k: (classes[k] / max(classes[k].sum(), 1.0), *found[k]) for k in sizes}
+    found = {k: [] for k in sizes}
+    for r in (x for f in top for x in f.collect()):
+        found[r["lang"]].append((r["item"], r["n"], r["shared"]))
+    out = {}
+    for k, rows in found.items():
+        if k != POOLED and sum(n for _, n, shared in rows if shared) < rules.min_coverage * sizes[k]:
+            continue
+        item = np.array([r[0] for r in rows], dtype=np.int64).view(U64)
+        order = np.argsort(item)
+        out[k] = Reference(classes[k], item[order], np.array([r[1] for r in rows], dtype=float)[order], sizes[k])
     return out
 
 
@@ -215,18 +244,22 @@ def _judge(refs, rules: Rules):
     schema = common.arrow_schema(OUT)
     names = sorted(refs)
     index = {k: i for i, k in enumerate(names)}
-    class_ref = np.stack([refs[k][0] for k in names])
+    totals = np.array([max(refs[k].total, 1) for k in names], dtype=float)
+    class_n = np.stack([refs[k].classes for k in names])
+    class_ref = class_n / np.maximum(class_n.sum(axis=1), 1)[:, None]
     salt = common.mix64(np.arange(1, len(names) + 1, dtype=U64))
-    keys = np.concatenate([common.mix64(refs[k][1] + salt[i]) for k, i in index.items()])
-    share = np.concatenate([refs[k][2] for k in names])
+    keys = np.concatenate([common.mix64(refs[k].words + salt[i]) for k, i in index.items()])
+    counted = np.concatenate([refs[k].counts for k in names])
     order = np.argsort(keys)
-    keys, share = keys[order], share[order]
-    rest_ref = np.array([1 - refs[k][2].sum() for k in names])
+    keys, counted = keys[order], counted[order]
+    top_n = np.array([refs[k].counts.sum() for k in names])
+    rest_ref = 1 - top_n / totals
     # the references that hold each word: of word i those from start[i] to start[i + 1]
-    word = np.concatenate([refs[k][1] for k in names])
-    holder = np.repeat(np.arange(len(names)), [len(refs[k][1]) for k in names])
+    word = np.concatenate([refs[k].words for k in names])
+    holder = np.repeat(np.arange(len(names)), [len(refs[k].words) for k in names])
     by_word = np.argsort(word, kind="stable")
-    holder, held_share = holder[by_word], np.concatenate([refs[k][2] for k in names])[by_word]
+    held_share = np.concatenate([refs[k].counts / max(refs[k].total, 1) for k in names])[by_word]
+    holder = holder[by_word]
     vocabulary, start = np.unique(word[by_word], return_index=True)
     start = np.append(start, len(word))
 
@@ -261,7 +294,10 @@ def _judge(refs, rules: Rules):
             lang[lonely] = index[POOLED]
             classes = _class_counts(data, offs)
             chars = classes.sum(axis=1)
-            char_d = js_distance(classes / np.maximum(chars, 1)[:, None], class_ref[lang])
+            # a text is left out of its own language's reference (and of the pooled one)
+            others = np.maximum(class_n[lang] - classes, 0)
+            char_d = js_distance(classes / np.maximum(chars, 1)[:, None],
+                                 others / np.maximum(others.sum(axis=1), 1)[:, None])
             # words: only cells that the document has, and the reference's remaining mass
             word_d = np.ones(n)
             if len(keys) and len(doc):
@@ -271,13 +307,16 @@ def _judge(refs, rules: Rules):
                 known = keys[at] == k
                 cell, count = np.unique(doc[known] * len(keys) + at[known], return_counts=True)
                 cd, cw = cell // len(keys), cell % len(keys)
-                p = count / np.maximum(facts["n_words"], 1)[cd]
-                seen_p = np.bincount(cd, weights=p, minlength=n)
-                seen_q = np.bincount(cd, weights=share[cw], minlength=n)
-                div = np.bincount(cd, weights=_half_terms(p, share[cw]), minlength=n)
-                rest = rest_ref[lang]
-                div += _half_terms(np.maximum(1 - seen_p, 0), np.maximum(rest, 0))
-                div += np.maximum(1 - rest - seen_q, 0) / 2
+                n_words = facts["n_words"]
+                left = np.maximum(totals[lang] - n_words, 1)
+                p = count / np.maximum(n_words, 1)[cd]
+                q = np.maximum(counted[cw] - count, 0) / left[cd]
+                known_words = np.bincount(cd, weights=count, minlength=n)
+                seen_p, seen_q = known_words / np.maximum(n_words, 1), np.bincount(cd, weights=q, minlength=n)
+                top = np.clip((top_n[lang] - known_words) / left, 0, 1)
+                div = np.bincount(cd, weights=_half_terms(p, q), minlength=n)
+                div += _half_terms(np.maximum(1 - seen_p, 0), 1 - top)
+                div += np.maximum(top - seen_q, 0) / 2
                 word_d = np.sqrt(np.maximum(div, 0))
                 step = max(1, rules.cells // len(names))
                 for part in (lonely[i:i + step] for i in range(0, len(lonely), step)):
