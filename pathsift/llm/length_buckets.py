@@ -3,12 +3,14 @@
 The global histogram of token counts (rounded up to a small multiple) is
 gathered; dynamic programming over it picks the bucket widths with the least
 total padding.  Inside each bucket, batches of ``token_budget // width``
-documents form in the order of a hash shard and the id.  Rows are numbered
-inside shards of bounded size and shifted by the shards' running counts, so a
-bucket with a third of all rows is numbered by many tasks and no batch but a
-bucket's last is short.
+documents form in the order of a shard and the id.  Rows are numbered inside
+shards of bounded size, dealt by the rows' own numbers (so rows of one id, or
+without one, spread too), and shifted by the shards' running counts: a bucket
+with a third of all rows is numbered by many tasks and no batch but a bucket's
+last is short.
 
-Documents wider than the budget form batches of one, of their own width.
+Documents wider than the budget come in one more bucket, each a batch of its
+own with its own width.
 
 Defined results: null or empty text has 0 tokens and takes the width of the
 first bucket; repeated rows and ties are numbered each; a null id stays null;
@@ -86,7 +88,7 @@ def length_batches(lengths: DataFrame, n_buckets: int = 16, token_budget: int =
     """doc_id, n_tokens, bucket, width, batch, slot, padding of every row of
     ``lengths`` (doc_id, n_tokens)."""
     spark = lengths.sparkSession
-    lengths = common.saved(lengths, "lengths")
+    lengths = common.saved(lengths.withColumn("_row", F.monotonically_increasing_id()), "lengths")
     width = (F.greatest(F.ceil(F.col("n_tokens") / multiple), F.lit(1)) * multiple).cast("int")
     rows = lengths.withColumn("width", width)
     # at most token_budget / multiple rows: a proven bound for the driver
@@ -96,25 +98,22 @@ def length_batches(lengths: DataFrame, n_buckets: int = 16, token_budget: int =
     n = np.array([h[1] for h in hist], dtype=np.int64)
     bounds = optimal_widths(at, n, n_buckets) if len(at) else []
     held = [int(n[(at > lo) & (at <= hi)].sum()) for lo, hi in zip([0, *bounds], bounds)]
-    shards = [common.n_partitions(c, shard_rows) for c in held] + [1]
+    wide = rows.filter(F.col("width") > token_budget).count()
+    shards = [common.n_partitions(c, shard_rows) for c in [*held, wide]]
     edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<int>")
     bucket = F.size(F.filter(edges, lambda b: b < F.col("width"))).cast("int")
     rows = rows.withColumn("bucket", bucket)
-    oversize = rows.filter(F.col("width") > token_budget).select(
-        "doc_id", "n_tokens", "bucket", "width", F.lit(None).cast("bigint").alias("batch"), F.lit(0).alias("slot"))
-    rows = (rows.filter(F.col("width") <= token_budget)
-            .withColumn("width", F.element_at(edges, F.col("bucket") + 1) if bounds else F.col("width"))
-            .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.element_at(
+    rows = (rows.withColumn("width", F.coalesce(F.get(edges, F.col("bucket")), F.col("width")))
+            .withColumn("shard", F.pmod(F.xxhash64("_row"), F.element_at(
                 F.array(*[F.lit(s) for s in shards]), F.col("bucket") + 1)).cast("int")))
     sizes = rows.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")
+    inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "_row")
     numbered = (rows.withColumn("k", F.row_number().over(inside) - 1).join(starts, ["bucket", "shard"])
                 .withColumn("k", F.col("k") + F.col("start"))
-                .withColumn("fit", F.floor(F.lit(token_budget) / F.col("width"))))
+                .withColumn("fit", F.greatest(F.floor(F.lit(token_budget) / F.col("width")), F.lit(1))))
     batches = numbered.select("doc_id", "n_tokens", "bucket", "width",
                               F.floor(F.col("k") / F.col("fit")).cast("bigint").alias("batch"),
                               (F.col("k") % F.col("fit")).cast("int").alias("slot"))
-    return (batches.unionByName(oversize)
-            .withColumn("padding", (F.col("width") - F.col("n_tokens")).cast("int")))
+    return batches.withColumn("padding", (F.col("width") - F.col("n_tokens")).cast("int"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -213,9 +214,38 @@ def test_length_batches(spark):
     used = collections.Counter()
     for r in out:
         assert r["n_tokens"] <= r["width"] and r["padding"] == r["width"] - r["n_tokens"]
-        if r["batch"] is not None:
-            used[r["bucket"], r["batch"]] += r["width"]
-    assert max(used.values()) <= 256
+        used[r["bucket"], r["batch"]] += r["width"]
+    assert all(v <= 256 or v == r_width for (v, r_width) in ((v, max(r["width"] for r in out if (r["bucket"], r["batch"]) == k))
+                                                              for k, v in used.items()))
+
+
+@pytest.mark.parametrize("n_buckets", [1, 3])
+def test_length_batches_against_brute_force(spark, n_buckets):
+    """Least padding over all bucket bounds; full batches but a bucket's last; wide rows in batches of one; one hot id."""
+    rnd = random.Random(n_buckets)
+    rows = [(rnd.choice([None, 7, k]), rnd.choice([0, 1, 7, 8, 9, 20, 33, 64, 65, 100])) for k in range(300)]
+    rows += [(7, 8)] * 150 + [(k, 65 * k + 200) for k in range(5)]
+    budget = 128
+    lengths = spark.createDataFrame(rows, "doc_id bigint, n_tokens int").repartition(5)
+    out = length_buckets.length_batches(lengths, n_buckets=n_buckets, token_budget=budget, shard_rows=16).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == sorted((str(d), n) for d, n in rows)
+    up = lambda n: max(-(-n // 8), 1) * 8
+    fit = [n for _, n in rows if up(n) <= budget]
+    widths = sorted({up(n) for n in fit})
+    best = min(sum(min(b for b in (*cut, widths[-1]) if b >= up(n)) - n for n in fit)
+               for cut in itertools.combinations(widths[:-1], min(n_buckets, len(widths)) - 1))
+    narrow = [r for r in out if up(r["n_tokens"]) <= budget]
+    assert sum(r["padding"] for r in narrow) == best
+    batches = collections.defaultdict(list)
+    for r in out:
+        batches[r["bucket"], r["batch"]].append(r)
+    for (bucket, batch), rs in batches.items():
+        assert len({r["width"] for r in rs}) == 1 and sorted(r["slot"] for r in rs) == list(range(len(rs)))
+        full = max(budget // rs[0]["width"], 1)
+        last = batch == max(b for k, b in batches if k == bucket)
+        assert len(rs) == full or last and len(rs) < full
+    wide = [r for r in out if up(r["n_tokens"]) > budget]
+    assert len({(r["bucket"], r["batch"]) for r in wide}) == 5 and all(r["width"] == up(r["n_tokens"]) for r in wide)
 
 
 def test_distribution_base_facts(spark):
