@@ -3,8 +3,7 @@
 Tokens are runs of letters and digits (any byte from 0x80 counts as a letter).
 The chain has two states, clean and toxic; its emission is the sum of hashed
 features (word, byte prefixes and suffix, neighbours, case), its transitions
-are learned.  A chain covers a line of the text, in pieces of at most
-``chain`` tokens.
+are learned.  A chain covers a whole line of the text, however long.
 
 Labelled tokens for training come from the labelled documents: a token of a
 toxic document is toxic when its word or a prefix of it is far more frequent
@@ -17,7 +16,8 @@ marginals of 0.5 or more give the offending offsets (code points).
 
 Defined results: null or empty text has no tokens, the score of its intercept
 and no spans; without labelled rows every score is 0; repeated rows and extra
-columns change nothing.
+columns change nothing.  Words mark toxic documents from ``min_docs`` of them on:
+fewer labelled toxic documents in the sample tag no token.
 """
 
 from __future__ import annotations
@@ -44,7 +44,6 @@ _TOKEN[128:] = _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = True
 @dataclass
 class Settings:
     buckets: int = 1 << 18
-    chain: int = 512
     rows_per_class: int = 1000
     byte_budget: int = 3 << 20
     rounds: int = 20
@@ -78,17 +77,15 @@ def _prefix_hashes(data, s, e) -> list[np.ndarray]:
     return out
 
 
-def chains(data, offs, s, doc, limit: int) -> np.ndarray:
-    """First token of each chain: a new document, line, or ``limit`` tokens."""
+def chains(data, offs, s, doc) -> np.ndarray:
+    """First token of each chain: a new document or line."""
     if not len(s):
         return np.zeros(0, np.int64)
     lines = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(data == 10, out=lines[1:])
     new = np.ones(len(s), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (lines[s[1:]] != lines[s[:-1]])
-    start = np.flatnonzero(new)
-    at = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
-    return np.flatnonzero(at % limit == 0)
+    return np.flatnonzero(new)
 
 
 def features(data, s, e, first, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -183,7 +180,7 @@ class Tagger:
 
     def tag(self, data, offs):
         s, e, doc = tokens(data, offs)
-        first = chains(data, offs, s, doc, self.cfg.chain)
+        first = chains(data, offs, s, doc)
         p = np.zeros(0)
         if len(s):
             x, _, _ = features(data, s, e, first, self.cfg.buckets)
@@ -219,7 +216,7 @@ def fit(texts: pa.Array, labels: np.ndarray, cfg: Settings) -> Tagger:
         return model
     data, offs = common.buffers(texts)
     s, e, doc = tokens(data, offs)
-    first = chains(data, offs, s, doc, cfg.chain)
+    first = chains(data, offs, s, doc)
     x, word, prefixes = features(data, s, e, first, cfg.buckets)
     y = _token_labels(word, prefixes, doc, toxic, cfg)
     # a toxic document without a marked token tells nothing about its tokens
