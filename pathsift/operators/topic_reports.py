@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import SIMILAR_TOPICS, STOP_WORDS, TOP_TERMS_REPORT
+from ..session import ensure_checkpoint_dir
 
 
 def top_terms(topic_terms: DataFrame, n: int = TOP_TERMS_REPORT, topic: int | None = None,
@@ -65,8 +66,26 @@ def normalized_weights(topic_terms: DataFrame) -> DataFrame:
         "norm_weight", F.when(F.col("_tot") == 0, F.lit(0.0)).otherwise(F.col("weight") / F.col("_tot")))
     # rank on the weight rounded to 12 digits: sums taken in a different order
     # may differ in the last bit, which must not reorder ties
-    w = Window.partitionBy("topic").orderBy(F.round("norm_weight", 12).desc(), "term")
-    return n.drop("_tot").withColumn("rank", F.row_number().over(w))
+    n = n.drop("_tot").withColumn("_order", -F.round("norm_weight", 12))
+    return ranks_in_groups(n, "topic", ["_order", "term"]).drop("_order")
+
+
+def ranks_in_groups(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rank`` of every row in its group, for few groups of any size: ranges of
+    (group, order) are numbered on their own and shifted by the rows of the
+    group in earlier ranges, so no task holds a group.  The ranges come from a
+    sample and are checkpointed, so that numbers and shifts see the same ones;
+    there are at most as many (group, range) pairs as groups and ranges."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    ranged = rows.repartitionByRange(n, group, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(
+        group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy("_range", group).orderBy(*order)
+    return (ranged.withColumn("_own", F.row_number().over(own)).join(shifts, [group, "_range"])
+            .withColumn("rank", (F.col("_own") + F.col("_shift")).cast("int")).drop("_own", "_shift", "_range"))
 
 
 def normalized_overlaps(topic_terms: DataFrame, query_words: DataFrame, n: int = TOP_TERMS_REPORT):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dashboard as db
-from ..operators import text
+from ..operators import substring_index, text
+from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
 from . import oracle_views as ov
 from .registry import query
@@ -73,6 +76,15 @@ def j5_entity_search_all(spark, sf):
     return db.entity_search(_rep(spark, sf), KW, limit=None).select("keyword", "document_id", "main_topic")
 
 
+@query("j5_entity_search_index", f"WITH {HITS_SQL} SELECT keyword, document_id, main_topic FROM hits0")
+def j5_entity_search_index(spark, sf):
+    """The same hits through trigram postings."""
+    rep = _rep(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark)}/indexes/{uuid.uuid4().hex}"
+    substring_index.build_index(rep, path, "document_id", "ner")
+    return substring_index.search(rep, path, "document_id", "ner", KW).select("keyword", "document_id", "main_topic")
+
+
 @query("j6_entity_hits", f"WITH {HITS_SQL} SELECT document_id, extracted_at FROM hitd")
 def j6_entity_hits(spark, sf):
     return db.entity_hits(db.entity_search(_rep(spark, sf), KW, limit=None)).select("document_id", "extracted_at")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import keys
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
 from ..streaming import feeds, ingest
@@ -102,3 +103,28 @@ def c3_ingest(spark, sf):
     docs = store.table("documents").select(F.lit("document").alias("kind"), "page_id", "url", "domain")
     return docs.unionByName(store.table("quarantine").select(
         F.lit("quarantine").alias("kind"), "page_id", "url", F.lit(None).cast("string").alias("domain")))
+
+
+@query("c4_repeated_polls", f"""WITH {ov.VALIDATED_POLLS},
+done AS (SELECT event_id FROM validated_polls WHERE poll_ts < TIMESTAMP '2024-01-08')
+SELECT feed_url, poll_ts, event_id, ok, etag, modified FROM validated_polls
+WHERE event_id NOT IN (SELECT event_id FROM done)""")
+def c4_repeated_polls(spark, sf):
+    """Every poll arrives twice, and those of the first week are stored already."""
+    polls = tb.validated_polls(spark, sf)
+    done = polls.filter(F.col("poll_ts") < F.lit("2024-01-08").cast("timestamp"))
+    return feeds.dedupe_polls(polls.unionByName(polls), done)
+
+
+@query("b6_new_articles_per_domain", f"""WITH {CHANGES}, {ov.PAGES},
+entry AS (
+  SELECT DISTINCT p.page_id, p.domain FROM changes c, range(3) AS r(j), pg p
+  WHERE c.changed AND p.page_id = (3 * c.event_id + j) % (SELECT count(*) FROM pages) AND (c.event_id + j) % 50 <> 0)
+SELECT d.domain, CAST(count(e.page_id) AS BIGINT) AS n_docs
+FROM (SELECT DISTINCT domain FROM pg) d LEFT JOIN entry e USING (domain) GROUP BY d.domain""")
+def b6_new_articles_per_domain(spark, sf):
+    """The articles that changed feeds list, by domain."""
+    changed = feeds.changed_feeds(feeds.feed_changes(tb.validated_polls(spark, sf)))
+    listed = tb.feed_entries(spark, sf, changed).filter("url IS NOT NULL").select("page_id").distinct()
+    pages = tb.pages(spark, sf)
+    return keys.per_domain_counts(pages.join(listed, "page_id").select("page_id", "domain"), pages)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import text, topics
@@ -170,3 +171,36 @@ def i7_topics_of_extracts(spark, sf):
     rows = ex.select("extract_id", "content").join(missing, "extract_id", "left_semi")
     table.update(best_topics_of(spark, sf, rows, "extract_id", "content"), ["main_topic"], only_missing=True)
     return table.read()
+
+
+# ---------------------------------------------------- I13 with words that hit
+
+OWN_WORDS_SQL = """qw AS (
+  SELECT 'topic ' || min(topic) AS key, term AS word FROM topic_terms GROUP BY term HAVING count(DISTINCT topic) = 1
+  QUALIFY row_number() OVER (PARTITION BY min(topic) ORDER BY term) <= 3)"""
+
+
+def _own_words(terms):
+    """Query words: of each topic the first three terms that no other topic has."""
+    own = terms.groupBy("term").agg(F.min("topic").alias("topic"), F.countDistinct("topic").alias("n")).filter("n = 1")
+    w = Window.partitionBy("topic").orderBy("term")
+    return own.withColumn("r", F.row_number().over(w)).filter("r <= 3").select(
+        F.concat(F.lit("topic "), F.col("topic").cast("string")).alias("key"), F.col("term").alias("word"))
+
+
+@query("i13_overlaps_of_own_words", f"""WITH {ov.TOPIC_TERMS}, {OWN_WORDS_SQL}, {NORM_SQL},
+{_overlap_sql('nw', 'norm_weight')}
+SELECT hit.key, hit.topic, string_agg(t.term, ', ' ORDER BY t.rank) AS terms
+FROM hit JOIN t USING (topic) GROUP BY hit.key, hit.topic""")
+def i13_overlaps_of_own_words(spark, sf):
+    terms = tb.topic_terms(spark, sf)
+    return tr.normalized_overlaps(terms, _own_words(terms))[0]
+
+
+@query("i13_unique_terms_of_own_words", f"""WITH {ov.TOPIC_TERMS}, {OWN_WORDS_SQL}, {NORM_SQL},
+{_overlap_sql('nw', 'norm_weight')}
+SELECT hit.key, array_to_string(list_sort(list_distinct(list(t.term))), ', ') AS terms
+FROM hit JOIN t USING (topic) GROUP BY hit.key""")
+def i13_unique_terms_of_own_words(spark, sf):
+    terms = tb.topic_terms(spark, sf)
+    return tr.normalized_overlaps(terms, _own_words(terms))[1]
