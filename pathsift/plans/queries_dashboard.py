@@ -10,6 +10,7 @@ from ..operators import dashboard as db
 from ..operators import substring_index, text
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
+from ..streaming import counts
 from . import oracle_views as ov
 from .registry import query
 
@@ -174,3 +175,44 @@ SELECT DISTINCT title, document_id AS article_id FROM hits""")
 def j17_entity_page_articles(spark, sf):
     page = db.entity_page(tb.extracts(spark, sf), tb.topic_terms(spark, sf), KW)
     return page["articles"].select("title", "article_id")
+
+
+# ---------------------------------------------------- J2, J4 by cycle
+
+def _counted(spark, sf):
+    """All extracts through the counts stream in four cycles, documents spread over them."""
+    work = f"{ensure_checkpoint_dir(spark)}/counts/{uuid.uuid4().hex}"
+    columns = ["extract_id", "document_id", "content_length", "main_topic", "extracted_at"]
+    tb.extracts(spark, sf).select(*columns).repartition(4, "extract_id").write.parquet(f"{work}/in")
+    counts.run_counts_stream(spark, f"{work}/in", f"{work}/store", f"{work}/checkpoint", files_per_cycle=1).awaitTermination()
+    return counts.open_store(spark, f"{work}/store")
+
+
+@query("j2_docs_per_topic_by_cycle", f"""WITH {REP_SQL}
+SELECT main_topic, CAST(count(*) AS BIGINT) AS n_docs FROM rep GROUP BY main_topic""")
+def j2_docs_per_topic_by_cycle(spark, sf):
+    return counts.docs_per_topic(_counted(spark, sf))
+
+
+@query("j4_docs_per_day_by_cycle", f"""WITH {REP_SQL}
+SELECT main_topic, CAST(extracted_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS n_docs FROM rep GROUP BY ALL""")
+def j4_docs_per_day_by_cycle(spark, sf):
+    return counts.docs_per_day(_counted(spark, sf))
+
+
+@query("j16_topic_page_keywords", f"""WITH {ov.TOPIC_TERMS},
+top AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank
+        FROM topic_terms QUALIFY rank <= 20)
+SELECT topic, term, CAST(rank AS INTEGER) AS rank, CAST(floor(floor(weight * 1000) / 2) AS BIGINT) AS size FROM top WHERE topic = 5""")
+def j16_topic_page_keywords(spark, sf):
+    page = db.topic_page(tb.extracts(spark, sf), tb.topic_terms(spark, sf), 5)
+    return page["keywords"].join(page["cloud"], ["topic", "term"]).select("topic", "term", "rank", "size")
+
+
+@query("j17_entity_page_keywords", f"""WITH {HITS_SQL}, {ov.TOPIC_TERMS},
+top AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank
+        FROM topic_terms QUALIFY rank <= 20)
+SELECT topic, term, CAST(rank AS INTEGER) AS rank FROM top WHERE topic IN (SELECT main_topic FROM hitd)""")
+def j17_entity_page_keywords(spark, sf):
+    page = db.entity_page(tb.extracts(spark, sf), tb.topic_terms(spark, sf), KW)
+    return page["keywords"].select("topic", "term", "rank")

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.textcols import authority, first_line_title
+from ..shipping import ship
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A1/A5 scan: one parquet table (column pruning and filters reach the scan)."""
+    """A1/A5 scan: one parquet table (column pruning and filters reach the scan).
+    Executors get the package with the first scan, wherever the caller lives."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -12,3 +12,12 @@ def spark():
     s = build_session("local[4]", shuffle_partitions=8)
     yield s
     s.stop()
+
+
+@pytest.fixture
+def few_partitions(spark):
+    """Two shuffle partitions: streams and jobs of many small stages start faster."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pathsift.streaming import feeds
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 T0 = "2024-03-01 00:00:00"
 
 

@@ -1,8 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pathsift.operators import dom, extract, topics
 from pathsift.streaming import feeds, ingest
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def _pages(n, start=0):
     return [(i, f"http://site{i % 2}.org/{i}",
