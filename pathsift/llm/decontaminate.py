@@ -9,8 +9,11 @@ counted in diagonal bands that overlap by e, regions that reach the bound stay,
 and a banded alignment of the item verifies each.  e is lowered where the
 bound would fall under 1, so the filter loses no match within the budget.
 
-Long items are cut into pieces of ``piece`` bytes, each searched by itself.
-Pieces go to the executors in blocks of a bounded number of bytes, each block
+Items of more than 1.5 pieces are cut into pieces of ``piece`` bytes every half
+piece, each searched by itself; so any quote of 1.5 pieces holds a whole piece,
+and texts that quote a part of an item are found.  ``item_start`` and
+``item_stop`` place a piece in its item (:func:`covered` adds up the share of an
+item that a text holds).  Pieces go to the executors in blocks of a bounded number of bytes, each block
 against all documents; texts are searched where they are read, without a
 shuffle.
 
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 from . import common
 from .common import U64
 
-PIECES = "item_id bigint, piece int, body binary"
-OUT = ("doc_id bigint, item_id bigint, piece int, start int, stop int, edits int, item_bytes int, shared_grams int")
+PIECES = "item_id bigint, piece int, item_start int, item_total int, body binary"
+OUT = ("doc_id bigint, item_id bigint, piece int, start int, stop int, edits int, item_bytes int, shared_grams int, "
+       "item_start int, item_stop int, item_total int")
 
 _KEEP = np.zeros(256, dtype=bool)
 _KEEP[128:] = _KEEP[48:58] = _KEEP[97:123] = True
@@ -43,7 +47,7 @@ _KEEP[128:] = _KEEP[48:58] = _KEEP[97:123] = True
 class Settings:
     q: int = 8
     rate: float = 0.1
-    piece: int = 1024
+    piece: int = 100
     block_bytes: int = 1 << 20
     table_bits: int = 22
 
@@ -63,15 +67,21 @@ def _cut(cfg: Settings):
     def run(batches):
         for b in common.bounded(batches):
             body, offs, *_ = normalised(b.column("text"))
-            ids, piece, out = [], [], []
+            ids, piece, start, total, out = [], [], [], [], []
             for k, item in enumerate(b.column("item_id").to_pylist()):
                 text = body[offs[k]:offs[k + 1]].tobytes()
-                n = max(1, len(text) // cfg.piece)          # the last piece takes the remainder
-                for j in range(n):
+                if 2 * len(text) <= 3 * cfg.piece:
+                    spots = [(0, len(text))]
+                else:                                       # the last piece ends with the item
+                    last = len(text) - cfg.piece
+                    spots = [(a, a + cfg.piece) for a in (*range(0, last, max(cfg.piece // 2, 1)), last)]
+                for j, (a, b_) in enumerate(spots):
                     ids.append(item)
                     piece.append(j)
-                    out.append(text[j * cfg.piece:(j + 1) * cfg.piece if j < n - 1 else len(text)])
-            yield common.arrow_batch(schema, item_id=ids, piece=piece, body=out)
+                    start.append(a)
+                    total.append(len(text))
+                    out.append(text[a:b_])
+            yield common.arrow_batch(schema, item_id=ids, piece=piece, item_start=start, item_total=total, body=out)
     return run
 
 
@@ -96,6 +106,7 @@ class Index:
         q = cfg.q
         rows = [r for r in rows if len(r["body"]) >= q]
         self.items, self.pieces = [r["item_id"] for r in rows], [r["piece"] for r in rows]
+        self.starts, self.totals = [r["item_start"] for r in rows], [r["item_total"] for r in rows]
         self.body = [bytes(r["body"]) for r in rows]
         self.m = np.array([len(x) for x in self.body], dtype=np.int64)
         self.budget = np.minimum((cfg.rate * self.m).astype(np.int64), (self.m - q) // q)
@@ -153,45 +164,49 @@ class Index:
         return key // span // len(self.m), item, (key % span) * self.width[item] - self.m[item], count
 
 
-def banded_alignment(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int, int] | None:
+def banded_alignment(item: np.ndarray, text: np.ndarray, limit: int, low: int | None = None,
+                     high: int | None = None) -> tuple[int, int, int] | None:
     """Fewest edits that turn ``item`` into a stretch of ``text``, as (edits,
     start, stop), the leftmost best end; None beyond ``limit``.
 
-    Free start and end in ``text``; ``text`` is the band's own stretch, so the
-    rows are as wide as the band plus the item's drift."""
-    n = len(text)
-    steps = np.arange(n + 1)
-    cost, origin = np.zeros(n + 1, np.int64), steps.copy()
+    Start and end in ``text`` are free.  Paths stay on the diagonals (text
+    position less item position) from ``low`` to ``high``, so a row has
+    ``high - low + 1`` cells; without them all diagonals count."""
+    n, m = len(text), len(item)
+    low, high = -m if low is None else low, n if high is None else high
+    diag = np.arange(low, high + 1)
+    far = m + n + 1
+    ranks = np.arange(len(diag))
+    cost, origin = np.where((diag >= 0) & (diag <= n), 0, far), diag.copy()
     for k, c in enumerate(item):
-        sub = cost[:-1] + (text != c)
-        down = cost[1:] + 1
-        new = np.empty(n + 1, np.int64)
-        new[0] = k + 1
-        new[1:] = np.minimum(sub, down)
-        from_ = np.empty(n + 1, np.int64)
-        from_[0] = origin[0]
-        from_[1:] = np.where(sub <= down, origin[:-1], origin[1:])
-        run = np.minimum.accumulate(new - steps)
-        lead = np.maximum.accumulate(np.where(new - steps == run, steps, 0))
-        cost, origin = run + steps, from_[lead]
+        j = diag + k + 1                                    # text characters taken at the end of this row
+        here = (j >= 1) & (j <= n)
+        sub = np.where(here, cost + (text[np.clip(j - 1, 0, n - 1)] != c), far) if n else np.full(len(j), far)
+        down = np.append(cost[1:], far) + 1
+        new = np.where((j >= 0) & (j <= n), np.minimum(sub, down), far)
+        from_ = np.where(sub <= down, origin, np.append(origin[1:], 0))
+        run = np.minimum.accumulate(new - ranks)
+        lead = np.maximum.accumulate(np.where(new - ranks == run, ranks, 0))
+        cost, origin = np.where((j >= 0) & (j <= n), run + ranks, far), from_[lead]
         if cost.min() > limit:
             return None
     end = int(np.argmin(cost))
-    return (int(cost[end]), int(origin[end]), end) if cost[end] <= limit else None
+    return (int(cost[end]), int(origin[end]), int(diag[end]) + m) if cost[end] <= limit else None
 
 
 def _verify(index: Index, doc: np.ndarray, item: int, low: int):
-    """Best match of an item in a band: (edits, start, stop) in the document."""
-    m, e = int(index.m[item]), int(index.budget[item])
-    lo = max(0, low)
-    hi = min(len(doc), low + int(index.width[item]) + e + m + e)
+    """Best match of an item in a band: (edits, start, stop) in the document.
+    The counted diagonals are ``width + e``; a path strays e from them."""
+    m, e, width = int(index.m[item]), int(index.budget[item]), int(index.width[item])
+    lo = max(0, low - e)
+    hi = min(len(doc), low + width + 2 * e + m)
     if hi <= lo:
         return None
     stretch = doc[lo:hi]
     at = stretch.tobytes().find(index.body[item])
     if at >= 0:
         return 0, lo + at, lo + at + m
-    found = banded_alignment(np.frombuffer(index.body[item], np.uint8), stretch, e)
+    found = banded_alignment(np.frombuffer(index.body[item], np.uint8), stretch, e, low - e - lo, low + width + 2 * e - lo)
     return found and (found[0], lo + found[1], lo + found[2])
 
 
@@ -215,7 +230,8 @@ def _search(index: Index):
             for (d, i), (edits, s, e, n) in sorted(best.items()):
                 p, r = src[offs[d] + s], src[offs[d] + max(e - 1, s)]
                 rows.append((ids[d], index.items[i], index.pieces[i], int(lead[p] - lead[raw[d]]),
-                             int(lead[r + 1] - lead[raw[d]]), edits, int(index.m[i]), n))
+                             int(lead[r + 1] - lead[raw[d]]), edits, int(index.m[i]), n,
+                             index.starts[i], index.starts[i] + int(index.m[i]), index.totals[i]))
             yield common.arrow_batch(schema, **{f.name: [r[k] for r in rows] for k, f in enumerate(schema)})
     return run
 
@@ -240,3 +256,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Settings | None = None)
         found = texts.mapInArrow(_search(index), OUT)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, covered)``: the share of an item's kept bytes whose
+    pieces a document holds (pieces of one item overlap; a byte counts once)."""
+    spans = F.array_sort(F.collect_set(F.struct("item_start", "item_stop")))
+    step = lambda acc, x: F.struct(
+        (acc["n"] + F.greatest(x["item_stop"] - F.greatest(x["item_start"], acc["to"]), F.lit(0))).alias("n"),
+        F.greatest(acc["to"], x["item_stop"]).alias("to"))
+    total = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda acc: acc["n"])
+    return found.groupBy("doc_id", "item_id", "item_total").agg(total.alias("n")).select(
+        "doc_id", "item_id", (F.col("n") / F.col("item_total")).alias("covered"))
