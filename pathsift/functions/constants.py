@@ -37,7 +37,6 @@ TOP_TERMS_APP = 20          # keywords shown per topic
 TOP_TERMS_REPORT = 100      # terms per topic in the reports
 SIMILAR_TOPICS = 5
 POLL_SECONDS = 600
-CLUSTERS = 2
 
 # --- fixed values: Spark ML's default English stop-word list
 # (StopWordsRemover.loadDefaultStopWords("english"), 181 words, in its order)
@@ -55,7 +54,3 @@ STOP_WORDS = (
     "didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's "
     "how's let's ought that's there's what's when's where's who's why's would"
 ).split()
-
-# --- fixed values: characters removed as tokens in addition to punctuation
-CHARS_TO_REMOVE = ["[", "]", "(", ")", "*", "%", "{", "}", "\n", "\n\n", "\t", ";", "/",
-                   "^", "--", "\\", "+", "-", ".", "?", "&", "#"]

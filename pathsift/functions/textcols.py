@@ -24,11 +24,6 @@ def domain_root(url: Column) -> Column:
                     authority(url), F.lit("/"))
 
 
-def collapse_ws(c: Column) -> Column:
-    """Collapse runs of Unicode whitespace to one blank and trim."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-
-
 def sentinel(c: Column) -> Column:
     """Missing or blank text becomes the literal ``'empty'``."""
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(EMPTY))
@@ -58,14 +53,6 @@ def clean_tokens(text: Column) -> Column:
     return F.filter(stripped, lambda t: t.rlike("^[a-z]{3,}$"))
 
 
-def html_unescape_basic(c: Column) -> Column:
-    """Entity decoding for SQL-side checks (the parser decodes all entities)."""
-    for ent, ch in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-                    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
 def token_rows(df, text_col: str, keep: list[str]):
     """H3-H5 as rows ``keep... , token``: explode first, then the stop-word
     set test (an ``InSet`` hash lookup), the strip and the filter are plain

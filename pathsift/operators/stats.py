@@ -19,15 +19,24 @@ def _describe(keys: list[str], pcts: list[float]):
     return aggs, names
 
 
-def path_length_stats(extracts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+def path_length_stats(extracts: DataFrame, documents: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """G1: length statistics per (domain, path): count, mean, std, min,
     25/35/50/75/95 %, max.  ``documents`` (``document_id, domain``) restricts
-    to the domain's documents like the ``IN (select ...)`` of the original."""
+    to the domain's documents like the ``IN (select ...)`` of the original.
+    With ``asked`` (``domain, xpath``) only these, and one without rows gets the
+    statistics of the one-element series ``[0]`` (count 1, std null)."""
     e = extracts.filter(F.col("content_length").isNotNull())
     if documents is not None:
         e = e.join(documents.select("document_id", "domain"), ["document_id", "domain"], "left_semi")
     aggs, names = _describe(["domain", "xpath"], PATH_PCTS)
     g = e.groupBy("domain", "xpath").agg(*aggs)
+    if asked is not None:
+        g = asked.select("domain", "xpath").distinct().join(g, ["domain", "xpath"], "left")
+        none = F.col("count").isNull()
+        zeros = F.array(*[F.lit(0.0)] * len(names))
+        g = g.select("domain", "xpath", F.coalesce("count", F.lit(1).cast("long")).alias("count"),
+                     *[F.when(none, F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in ("mean", "min", "max")], "std",
+                     F.when(none, zeros).otherwise(F.col("_p")).alias("_p"))
     return g.select("domain", "xpath", "count", "mean", "std", "min",
                     *[F.col("_p")[i].alias(n) for i, n in enumerate(names)], "max")
 

@@ -158,12 +158,27 @@ def d5_direct_text(spark, sf):
     return _nodes(spark, sf).select("page_id", "abs_path", "direct_text")
 
 
-@query("d6_child_text")
+AD_INNER = "regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)"
+FOOT_INNER = "regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"
+BODY_INNER = "regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)<!--.*?-->', '', 'g')"
+COMMENT = "regexp_extract(html, '(?s)<!--(.*?)-->', 1)"
+# of the article's h1 and p children those that begin with text of their own
+ART_OWN = (f"array_to_string(list_filter(string_split_regex({ov.ART_INNER}, '<(h1|p)( [^>]*)?>'), "
+           "lambda s: s <> '' AND s[1] <> '<'), ' ')")
+
+
+def _text_sql(name: str, body: str, nav: str, ad: str, article: str, footer: str) -> str:
+    paths = {"": body, "/nav": nav, "/div": ad, "/article": article, "/footer": footer}
+    return f"WITH {ov.PAGES}\n" + "\nUNION ALL ".join(
+        f"SELECT page_id, '/html/body{p}' AS abs_path, {ov.clean(x)} AS {name} FROM pg" for p, x in paths.items())
+
+
+@query("d6_child_text", _text_sql("child_text", f"{COMMENT} || ' ' || {AD_INNER} || ' ' || {FOOT_INNER}", "''", "''", ART_OWN, "''"))
 def d6_child_text(spark, sf):
     return _nodes(spark, sf, ("child",)).select("page_id", "abs_path", "child_text")
 
 
-@query("d7_subtree_text")
+@query("d7_subtree_text", _text_sql("subtree_text", BODY_INNER, ov.NAV_INNER, AD_INNER, ov.ART_INNER, FOOT_INNER))
 def d7_subtree_text(spark, sf):
     return _nodes(spark, sf, ("subtree",)).select("page_id", "abs_path", "subtree_text")
 

@@ -190,6 +190,28 @@ def g1_path_length_stats(spark, sf):
     return g.select("domain", "xpath", "count", *[_r(c) for c in g.columns[3:]])
 
 
+@query("g1_length_stats_of_asked_paths", f"""WITH {ov.EXTRACTS},
+top AS (SELECT domain, max(CAST(substr(xpath, 3, length(xpath) - 3) AS INTEGER)) AS n FROM extracts GROUP BY domain),
+asked AS (SELECT t.domain, 'p[' || i || ']' AS xpath FROM (SELECT max(n) AS m FROM top) x, range(1, m + 1) AS r(i), top t),
+docs AS (SELECT DISTINCT document_id, domain FROM extracts WHERE extracted_at >= TIMESTAMP '{SINCE}'),
+e AS (SELECT * FROM extracts SEMI JOIN docs USING (document_id, domain) WHERE content_length IS NOT NULL),
+s AS (SELECT domain, xpath, {STAT_SQL_COLS.format(pcts=_pct_sql(stats.PATH_PCTS))} FROM e GROUP BY domain, xpath)
+SELECT domain, xpath, coalesce(count, 1) AS count, CASE WHEN count IS NULL THEN 0.0 ELSE mean END AS mean, std,
+       coalesce(min, 0.0) AS min, {", ".join(f"coalesce(p{int(round(q * 100)):02d}, 0.0) AS p{int(round(q * 100)):02d}" for q in stats.PATH_PCTS)},
+       coalesce(max, 0.0) AS max
+FROM asked LEFT JOIN s USING (domain, xpath)""")
+def g1_length_stats_of_asked_paths(spark, sf):
+    """Every path number in every domain, over the documents since a day; many have no rows."""
+    ex = tb.extracts(spark, sf)
+    number = F.regexp_extract("xpath", r"\[(\d+)\]", 1).cast("int")
+    m = ex.agg(F.max(number).alias("m"))
+    asked = (ex.select("domain").distinct().join(F.broadcast(m)).select("domain", F.explode(F.sequence(F.lit(1), "m")).alias("i"))
+             .select("domain", F.concat(F.lit("p["), F.col("i").cast("string"), F.lit("]")).alias("xpath")))
+    docs = ex.filter(F.col("extracted_at") >= F.lit(SINCE).cast("timestamp")).select("document_id", "domain").distinct()
+    g = stats.path_length_stats(ex, docs, asked)
+    return g.select("domain", "xpath", "count", *[_r(c) for c in g.columns[3:]])
+
+
 @query("g2_domain_length_stats", f"""WITH {ov.EXTRACTS}
 SELECT domain, {STAT_SQL_COLS.format(pcts=_pct_sql(stats.DOMAIN_PCTS))}
 FROM extracts WHERE content_length IS NOT NULL GROUP BY domain""")
