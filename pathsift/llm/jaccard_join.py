@@ -3,7 +3,8 @@
 A text's set holds the hashes of its distinct word n-grams.  Texts with equal
 sets form one class; the join runs between classes.
 
-1. One pass gives each document's set size and 128-bit class, and a sketch of
+1. One pass gives each document's set size, its 128-bit class, the parities of
+   its n-grams over 512 cells, and a sketch of
    n-gram frequencies over all documents (a fixed table of counters).  Its
    levels define the global rare-first order; any order gives the same links,
    a good one gives few candidates.
@@ -12,10 +13,13 @@ sets form one class; the join runs between classes.
    at least one of them.
 3. Classes that share such an n-gram form a group.  Length and positional
    filters discard pairs; to avoid emitting all pairs, each member is first
-   paired with its group's pivot only.  These pairs are verified (suffix filter
-   by hash ranges, then exact intersection), once per pair, and components are
-   formed.  Then all remaining pairs of a group that lie in different
-   components are verified, so no link between components is lost.
+   paired with its group's pivot only.  Every n-gram that one of two sets lacks
+   flips one parity, so differing parities bound the sets' difference from below:
+   pairs that share a rare n-gram by chance go before any set travels.  The
+   others are verified (suffix filter by hash ranges, then exact intersection of
+   whole hashes), once per pair, and components are formed.  Then all remaining
+   pairs of a group that lie in different components are verified, so no link
+   between components is lost.
 4. Components label all classes and, through them, all documents.
 
 No step has a cap; groups whose members are already connected need no pairs.
@@ -40,14 +44,16 @@ from . import common
 from .common import U64
 from .components import connected
 
-SIZES = "doc_id bigint, key binary, n bigint, cls binary, block int, task int, counts binary"
+PARITIES = 8
+BITS = [f"p{k}" for k in range(PARITIES)]
+SIZES = ("doc_id bigint, key binary, n bigint, cls binary, block int, task int, counts binary, "
+         + ", ".join(f"{c} bigint" for c in BITS))
 COUNTS = "block int, task int, counts binary"
 ENTRIES = "bucket int, classes binary, sizes binary, which binary, grams binary, ranks binary"
 MEMBERS = "gram bigint, cls binary, n int, pos int, pivots array<binary>, more boolean"
 SETS = "cls binary, n int, grams binary"
 FILTER = "block bigint, marks binary"
 LINKS = "a binary, b binary"
-VERIFIED = "a binary, b binary, near boolean"
 #: Bits (as a power of two) of one block of the class filter.
 FILTER_BLOCK = 14
 
@@ -63,7 +69,6 @@ class Settings:
     flush_bytes: int = 12 << 20
     filter_bits: int = 27
     star_turns: int = 1
-    gram_bytes: int = 5
 
     def needed(self, n):
         """Fewest common n-grams of a set of size n with any set it links to."""
@@ -117,6 +122,13 @@ def classes_of(g, d, n) -> np.ndarray:
     return out
 
 
+def parities_of(g, d, count: int) -> np.ndarray:
+    """Parity of the n-grams in each of 512 cells, as integers per document."""
+    cells = 64 * PARITIES
+    odd = np.bincount(d * cells + (g >> U64(20)).astype(np.int64) % cells, minlength=count * cells) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(count, cells), axis=1).view(np.int64).reshape(count, PARITIES)
+
+
 def _binary(classes: np.ndarray) -> pa.Array:
     raw = np.ascontiguousarray(classes).view(np.uint8).reshape(-1)
     offs = np.arange(len(classes) + 1, dtype=np.int32) * 16
@@ -135,14 +147,15 @@ def _measure(cfg: Settings):
             key = b.column("key") if "key" in b.schema.names else pa.nulls(len(n), pa.binary())
             yield common.arrow_batch(schema, doc_id=b.column("doc_id"), key=key, n=n, cls=_binary(classes_of(g, d, n)),
                                      block=pa.nulls(len(n), pa.int32()), task=pa.nulls(len(n), pa.int32()),
-                                     counts=pa.nulls(len(n), pa.binary()))
+                                     counts=pa.nulls(len(n), pa.binary()),
+                                     **dict(zip(BITS, parities_of(g, d, len(n)).T.copy(), strict=True)))
         size = 1 << cfg.block_bits
         task = TaskContext.get().partitionId()
         for k in range(0, len(sketch), size):
             part = sketch[k:k + size]
             if part.any():
                 yield common.arrow_batch(schema, doc_id=[None], key=[None], n=[None], cls=[None], block=[k // size], task=[task],
-                                         counts=[part.tobytes()])
+                                         counts=[part.tobytes()], **{c: [None] for c in BITS})
     return run
 
 
@@ -344,18 +357,7 @@ def class_filter(classes: DataFrame, cfg: Settings) -> np.ndarray:
     return out
 
 
-def _short(g: np.ndarray, size: int) -> bytes:
-    """The leading ``size`` bytes of sorted hashes."""
-    return np.ascontiguousarray(g.byteswap().view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
-
-
-def _long(raw: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
-    return out.view(U64).ravel().byteswap()
-
-
-def _sets(wanted: np.ndarray, cfg: Settings, size: int):
+def _sets(wanted: np.ndarray, cfg: Settings):
     """Sets of the classes that pass the filter, once per task."""
     schema = common.arrow_schema(SETS)
     bits = int(len(wanted) * 8).bit_length() - 1
@@ -374,85 +376,63 @@ def _sets(wanted: np.ndarray, cfg: Settings, size: int):
                     seen.add(key)
                     rows.append(i)
             yield common.arrow_batch(schema, cls=_binary(classes[rows]), n=n[rows].astype(np.int32),
-                                     grams=[_short(g[ends[i] - n[i]:ends[i]], size) for i in rows])
-    return run
-
-
-def _named_sets(wanted: np.ndarray):
-    """Rows of the sets table whose classes pass the filter."""
-    bits = int(len(wanted) * 8).bit_length() - 1
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                slot = _slots(np.frombuffer(b"".join(b.column("cls").to_pylist()), U64).reshape(-1, 2), bits)
-                pick = (wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
-                yield b.filter(pa.array(pick == 1))
+                                     grams=[g[ends[i] - n[i]:ends[i]].tobytes() for i in rows])
     return run
 
 
 _RANGES = np.arange(1, 16, dtype=U64) << U64(60)
 
 
-def linked(x: np.ndarray, y: np.ndarray, cfg: Settings, bits: int = 64) -> tuple[bool, bool]:
+def linked(x: np.ndarray, y: np.ndarray, cfg: Settings) -> bool:
     """Suffix filter by hash ranges, then the exact intersection of two sorted
-    sets.  Also whether ``bits`` of the hashes are too few to tell: without
-    the matches that chance may give, the sets would not link."""
+    sets."""
     n, m = len(x), len(y)
     need = cfg.overlap(n, m)
     if min(n, m) < need:
-        return False, False
+        return False
     cx = np.diff(np.concatenate([[0], np.searchsorted(x, _RANGES), [n]]))
     cy = np.diff(np.concatenate([[0], np.searchsorted(y, _RANGES), [m]]))
     if np.minimum(cx, cy).sum() < need:
-        return False, False
+        return False
     if n > m:
         x, y = y, x
     at = np.searchsorted(y, x)
     common_grams = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    links = 100 * common_grams >= cfg.percent * (n + m - common_grams)
-    chance = 3 + (n * m >> bits - 4) if bits < 64 else 0        # far more than the mean of n * m / 2^bits
-    least = common_grams - chance
-    return links, links and 100 * least < cfg.percent * (n + m - least)
+    return 100 * common_grams >= cfg.percent * (n + m - common_grams)
 
 
-def _verify(cfg: Settings, size: int):
-    schema = common.arrow_schema(VERIFIED)
+def _verify(cfg: Settings):
+    schema = common.arrow_schema(LINKS)
 
     def run(batches):
         for b in batches:
             left, right = b.column("grams_a"), b.column("grams_b")
-            found = np.array([linked(_long(x.as_py(), size), _long(y.as_py(), size), cfg, 8 * size)
-                              for x, y in zip(left, right, strict=True)], dtype=bool).reshape(-1, 2)
-            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(found[:, 1])], schema=schema)
-            yield out.filter(pa.array(found[:, 0]))
+            ok = [linked(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), cfg)
+                  for x, y in zip(left, right, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).cast(schema)
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, cfg: Settings, size: int) -> DataFrame:
-    """Links among the pairs (a, b).  Only the sets that these pairs name are shuffled."""
-    b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
-    a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    return pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg, size), VERIFIED)
-
-
-def _named(pairs: DataFrame, cfg: Settings) -> np.ndarray:
-    return class_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg)
+def _near(pairs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
+    """The pairs (a, b) whose parities don't rule out a link."""
+    for side in "ab":
+        own = [F.col(c).alias(f"{side}_{c}") for c in ("n", *BITS)]
+        pairs = pairs.join(classes.select(F.col("cls").alias(side), *own), side)
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BITS), F.lit(0))
+    both = F.col("a_n") + F.col("b_n")
+    need = F.ceil(both * cfg.percent / (100 + cfg.percent))
+    return pairs.filter(differ <= both - 2 * need).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, text: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b), written, and the links among them.  Hashes travel in
-    ``gram_bytes`` bytes; pairs that chance could have lifted over the threshold
-    then are compared once more by whole hashes."""
-    pairs = common.saved(pairs, "pairs")
-    named = sets.mapInArrow(_named_sets(_named(pairs, cfg)), SETS)
-    links = common.saved(_compared(pairs, named, cfg, cfg.gram_bytes), "links")
-    near = links.filter("near").select("a", "b")
-    if near.isEmpty():
-        return pairs, links.select("a", "b")
-    whole = text.mapInArrow(_sets(_named(near, cfg), cfg, 8), SETS).dropDuplicates(["cls"])
-    exact = common.saved(_compared(near, whole, cfg, 8), "near-links")
-    return pairs, links.filter("NOT near").unionByName(exact).select("a", "b")
+def _verified(pairs: DataFrame, classes: DataFrame, text: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that the parities leave, written, and the links among
+    them.  Only the sets that these pairs name are made and shuffled."""
+    pairs = common.saved(_near(pairs, classes, cfg), "pairs")
+    named = class_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg)
+    sets = common.saved(text.mapInArrow(_sets(named, cfg), SETS).dropDuplicates(["cls"]), "sets")
+    b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
+    a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
+    return pairs, common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), "links")
 
 
 def _may_link(n, pos, m, at, cfg: Settings):
@@ -507,19 +487,18 @@ def _resolved(rows: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     buckets = common.n_partitions(total, cfg.bucket_bytes)
     members = common.saved(text.mapInArrow(_prefixes(levels, buckets, cfg), ENTRIES)
                            .groupBy("bucket").applyInArrow(_groups(cfg), MEMBERS), "members")
-    sized = measured.filter("block is null").select("doc_id", "key", "n", "cls")
-    classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
-
-    wanted = class_filter(members.select("cls").distinct(), cfg)
-    sets = common.saved(text.mapInArrow(_sets(wanted, cfg, cfg.gram_bytes), SETS).dropDuplicates(["cls"]), "sets")
+    sized = measured.filter("block is null")
+    classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in BITS]), "classes")
+    sized = sized.select("doc_id", "key", "n", "cls")
     pairs, links = _verified(members.select(F.explode("pivots").alias("u"), F.col("cls").alias("v"))
-                             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), sets, text, cfg)
+                             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), classes, text, cfg)
     labels = common.saved(connected(links), "labels")
     members = members.filter("more")
     for turn in range(cfg.star_turns + 1):
         members = _placed(members.select("gram", "cls", "n", "pos"), labels)
         new = _pairs_apart(members, cfg) if turn == cfg.star_turns else _star_pairs(members, turn, cfg)
-        tried, found = _verified(new.join(pairs, ["a", "b"], "left_anti"), sets, text, cfg)
+        tried, found = _verified(new.join(pairs, ["a", "b"], "left_anti"), classes, text, cfg)
         pairs, links = pairs.unionByName(tried), links.unionByName(found)
         labels = common.saved(connected(links), "labels")
 
