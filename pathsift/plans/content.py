@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import TRAIN_DOC_LIMIT
 from ..operators.training import MODEL_TABLES, content_cycle
 from ..session import ensure_checkpoint_dir
+from ..shipping import code_digest
 from ..sources.cycles import CycleStore
 
 
@@ -50,7 +51,7 @@ def train_and_extract(pages_df: DataFrame, limit: int = TRAIN_DOC_LIMIT, keep_em
 
 def stored_run(pages_df: DataFrame) -> ContentRun:
     """The stored run over exactly these pages, made on first use.  Its name is
-    a digest of all rows, so other pages never meet it."""
+    a digest of all rows and of the code, so other pages never meet it."""
     row = F.xxhash64("page_id", "domain", "html"), F.hash("html", "domain", "page_id")
     key = pages_df.agg(F.count("*"), F.bit_xor(row[0]), F.sum(row[0].cast("decimal(38,0)")), F.sum(row[1].cast("long"))).first()
-    return train_and_extract(pages_df, name="-".join(str(v) for v in key))
+    return train_and_extract(pages_df, name="-".join([code_digest(), *(str(v) for v in key)]))

@@ -8,6 +8,7 @@ workers can import it whatever folder the driver was started from.
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -19,6 +20,19 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 _SENT: set[str] = set()
 
 
+@functools.cache
+def code_digest() -> str:
+    """Digest of the package's own modules: part of the names of stored views,
+    so that a view is never read by code that would make another one."""
+    found = hashlib.md5()
+    for folder, _, names in sorted(os.walk(ROOT)):
+        if os.path.basename(folder) in ("operators", "sources", "functions"):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                with open(os.path.join(folder, name), "rb") as f:
+                    found.update(name.encode() + f.read())
+    return found.hexdigest()[:12]
+
+
 def _archive() -> str:
     path = os.path.join(tempfile.mkdtemp(prefix="pathsift-"), "pathsift.zip")
     with zipfile.ZipFile(path, "w") as z:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.textcols import authority, first_line_title
-from ..shipping import ship
+from ..shipping import code_digest, ship
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -191,12 +191,13 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_view(spark: SparkSession, name: str, source: DataFrame, schema: str, make) -> DataFrame:
     """A derived table that is written once for exactly these ``source`` rows
-    (named by a digest of all of them) and read afterwards."""
+    and this code (named by digests of both) and read afterwards."""
     from ..session import ensure_checkpoint_dir
     from .cycles import CycleStore
     a, b = F.xxhash64(*source.columns), F.hash(*source.columns)
     key = source.agg(F.count("*"), F.bit_xor(a), F.sum(a.cast("decimal(38,0)")), F.sum(b.cast("long"))).first()
-    store = CycleStore(spark, f"{ensure_checkpoint_dir(spark)}/views/{name}-{'-'.join(str(v) for v in key)}", {name: schema})
+    store = CycleStore(spark, f"{ensure_checkpoint_dir(spark)}/views/{name}-{code_digest()}-{'-'.join(str(v) for v in key)}",
+                       {name: schema})
     attempt = store.begin(0)
     if attempt is not None:
         attempt.put(name, make(source))
