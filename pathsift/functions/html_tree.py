@@ -252,6 +252,11 @@ def subtree_text(n: Node) -> str:
 
 
 def page_records(html: str):
+    """Return (title, doctype, nodes) for one page (see :func:`parsed_page`)."""
+    return parsed_page(html)[:3]
+
+
+def parsed_page(html: str):
     """Return (title, doctype, nodes, failed) for one page.
 
     ``nodes`` lists every structural element in document order as

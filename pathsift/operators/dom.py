@@ -67,7 +67,7 @@ def explode_nodes(pages_df: DataFrame, modes: Sequence[str] = ("direct",),
         for pdf in batches:
             for rec in pdf.itertuples(index=False):
                 r = rec._asdict()
-                title, doctype, nodes, failed = html_tree.page_records(r[html_col])
+                title, doctype, nodes, failed = html_tree.parsed_page(r[html_col])
                 base = [r[k] for k in keep_names]
                 if marks:
                     rows.append(base + [title, doctype, -1] + [None] * (len(NODE_FIELDS) - 4) + [failed])

@@ -72,10 +72,14 @@ def longest_extract(items: DataFrame, keep_empty: bool = False) -> DataFrame:
 def page_outcomes(pages_df: DataFrame, main: DataFrame, model: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row per page: ``extracted``, and where it is false the ``reason``:
     ``parse_error`` (the markup can't be parsed to its end, as the marks among
-    ``nodes`` say), ``no_model`` (its domain never gave content paths) or ``no_text``."""
+    ``nodes`` say; without ``nodes``, pages with ``html`` but no extract are
+    parsed here), ``no_model`` (its domain never gave content paths) or ``no_text``."""
     out = pages_df.select("page_id", "domain").join(
         main.select("page_id").withColumn("extracted", F.lit(True)), "page_id", "left")
     out = out.join(model.select("domain").distinct().withColumn("_known", F.lit(True)), "domain", "left")
+    if nodes is None and "html" in pages_df.columns:
+        rest = pages_df.select("page_id", "html").join(main.select("page_id"), "page_id", "left_anti")
+        nodes = dom.explode_nodes(rest, modes=(), marks=True)
     if nodes is not None:
         broken = nodes.filter("failed").select("page_id").distinct().withColumn("_broken", F.lit(True))
         out = out.join(broken, "page_id", "left")
