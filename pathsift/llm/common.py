@@ -23,11 +23,13 @@ BATCH_ROWS = 256
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is
-    used and recorded in the session.
+    Only in a local session without that setting (tests) a temporary folder is
+    used and recorded in the session; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         base = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
