@@ -424,15 +424,22 @@ def _near(pairs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
     return pairs.filter(differ <= both - 2 * need).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, text: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that the parities leave, written, and the links among
-    them.  Only the sets that these pairs name are made and shuffled."""
-    pairs = common.saved(_near(pairs, classes, cfg), "pairs")
+def _verified(pairs: DataFrame, text: DataFrame, cfg: Settings) -> DataFrame:
+    """The links among written pairs (a, b).  Only the sets that these pairs
+    name are made; one shuffle of them serves both joins."""
     named = class_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg)
-    sets = common.saved(text.mapInArrow(_sets(named, cfg), SETS).dropDuplicates(["cls"]), "sets")
+    sets = text.mapInArrow(_sets(named, cfg), SETS).dropDuplicates(["cls"])
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    return pairs, common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), "links")
+    return common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), "links")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose classes lie in different components."""
+    for side in "ab":
+        of = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        pairs = pairs.join(of, side, "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", side))
+    return pairs.filter("a_label <> b_label").select("a", "b")
 
 
 def _may_link(n, pos, m, at, cfg: Settings):
@@ -491,15 +498,23 @@ def _resolved(rows: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in BITS]), "classes")
     sized = sized.select("doc_id", "key", "n", "cls")
-    pairs, links = _verified(members.select(F.explode("pivots").alias("u"), F.col("cls").alias("v"))
-                             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), classes, text, cfg)
+    pivots = (members.select(F.explode("pivots").alias("u"), F.col("cls").alias("v"))
+              .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    pairs = common.saved(_near(pivots, classes, cfg), "pairs")
+    # each class with its least partner first; then only the pairs that still lie apart
+    first = common.saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = _verified(first, text, cfg)
+    labels = common.saved(connected(links), "labels")
+    rest = common.saved(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "pairs")
+    links = links.unionByName(_verified(rest, text, cfg))
     labels = common.saved(connected(links), "labels")
     members = members.filter("more")
     for turn in range(cfg.star_turns + 1):
         members = _placed(members.select("gram", "cls", "n", "pos"), labels)
         new = _pairs_apart(members, cfg) if turn == cfg.star_turns else _star_pairs(members, turn, cfg)
-        tried, found = _verified(new.join(pairs, ["a", "b"], "left_anti"), classes, text, cfg)
-        pairs, links = pairs.unionByName(tried), links.unionByName(found)
+        # pairs seen before are verified or inside a component
+        new = common.saved(_near(new.join(pairs, ["a", "b"], "left_anti"), classes, cfg), "pairs")
+        pairs, links = pairs.unionByName(new), links.unionByName(_verified(new, text, cfg))
         labels = common.saved(connected(links), "labels")
 
     # a component's id is the least document id of its classes
