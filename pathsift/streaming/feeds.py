@@ -11,19 +11,16 @@ there is none the Last-Modified value; an answer with neither can never be
 "not modified", so such a poll is changed.
 
 The stream holds polls in state until the watermark has passed their hour,
-then hands them on in event-time order, each once.  State is kept by (feed,
-hour), so a feed with a large share of all polls is many state keys.
+then hands them on, each once; cycles are in event-time order.  State is a window
+aggregation by (hour, feed, poll), so rows stay in the JVM and a feed with a large
+share of all polls is many state keys.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.constants import POLL_SECONDS
 from ..sources.cycles import Attempt, CycleStore
@@ -120,49 +117,23 @@ def dedupe_polls(polls: DataFrame, done: DataFrame | None = None) -> DataFrame:
 # ------------------------------------------------------------------ stream
 
 PIECE = "1 hour"
-PIECE_MS = 3_600_000
 POLL_COLUMNS = [f.name for f in VALIDATED_SCHEMA.fields]
 
 
-class HeldPolls(StatefulProcessor):
-    """Polls of one (feed, hour) until the watermark has passed the hour's end."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.polls = handle.getListState("polls", VALIDATED_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        end = int(pd.Timestamp(key[1]).timestamp() * 1000) + PIECE_MS
-        first = not self.polls.exists()
-        for pdf in rows:
-            pdf = pdf[POLL_COLUMNS].astype(object).where(pdf[POLL_COLUMNS].notna(), None)
-            self.polls.appendList([tuple(r) for r in pdf.itertuples(index=False, name=None)])
-        if first:
-            self.handle.registerTimer(end)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame([tuple(r) for r in self.polls.get()], columns=POLL_COLUMNS, dtype=object)
-        self.polls.clear()
-        held = held.drop_duplicates("event_id").sort_values(["poll_ts", "event_id"])
-        held["poll_ts"] = pd.to_datetime(held["poll_ts"])
-        yield held.astype({"feed_url": "int64", "event_id": "int64", "ok": bool})
-
-    def close(self) -> None:
-        pass
-
-
 def ordered_polls(polls_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each poll once, when its hour is complete.  Polls later than ``delay``
-    behind the latest one seen are dropped, as the watermark says."""
+    behind the latest one seen are dropped once the watermark has passed their
+    hour.  Of repeats inside an hour the first to arrive counts."""
     if "modified" not in polls_stream.columns:
         polls_stream = polls_stream.withColumn("modified", F.lit(None).cast("string"))
     # rows without a feed, an id or a time only move the watermark (one condition that reads the
     # event time, since others would be pushed below the watermark)
     whole = F.concat(*[F.col(c).cast("string") for c in ("poll_ts", "feed_url", "event_id")]).isNotNull()
+    rest = [c for c in POLL_COLUMNS if c not in ("feed_url", "event_id")]
     held = (polls_stream.select(*POLL_COLUMNS).withWatermark("poll_ts", delay)
-            .filter(whole).withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn("piece", F.date_trunc("hour", "poll_ts")).groupBy("feed_url", "piece"))
-    return held.transformWithStateInPandas(HeldPolls(), VALIDATED_SCHEMA, "append", "EventTime")
+            .filter(whole).withColumn("ok", F.coalesce("ok", F.lit(False)))
+            .groupBy(F.window("poll_ts", PIECE), "feed_url", "event_id").agg(F.first(F.struct(*rest)).alias("poll")))
+    return held.select("feed_url", "event_id", "poll.*").select(*POLL_COLUMNS)
 
 
 FEED_TABLES = {
