@@ -97,8 +97,8 @@ def c3_ingest(spark, sf):
     """Changed feeds through the whole ingest; what it stored and set aside."""
     source, work = _polls_dir(spark, sf)
     ingest.run_ingest_stream(
-        spark, source, lambda changed: tb.feed_entries(spark, sf, changed).select("page_id", "url", "html"),
-        f"{work}/store", f"{work}/checkpoint").awaitTermination()
+        spark, source, lambda changed: tb.feed_entries(spark, sf, changed).select("page_id", "url"),
+        f"{work}/store", f"{work}/checkpoint", fetched=tb.table(spark, sf, "pages")).awaitTermination()
     store = ingest.open_store(spark, f"{work}/store")
     docs = store.table("documents").select(F.lit("document").alias("kind"), "page_id", "url", "domain")
     return docs.unionByName(store.table("quarantine").select(

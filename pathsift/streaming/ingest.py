@@ -35,8 +35,11 @@ def open_store(spark: SparkSession, path: str) -> CycleStore:
     return CycleStore(spark, path, FEED_TABLES | TABLES, BUCKETS)
 
 
-def ingest_cycle(articles: DataFrame, store: CycleStore, attempt: Attempt, limit: int = TRAIN_DOC_LIMIT) -> None:
-    """One cycle over ``(page_id, url, html)``.
+def ingest_cycle(articles: DataFrame, store: CycleStore, attempt: Attempt, limit: int = TRAIN_DOC_LIMIT,
+                 fetched: DataFrame | None = None) -> None:
+    """One cycle over ``(page_id, url, html)``.  With ``fetched`` pages of the
+    same columns ``articles`` may be bare links ``(page_id, url)``: markup is
+    read for new documents only, not for every entry that lists them.
 
     Articles without a usable link go to ``quarantine``.  Of the rest, those
     whose URL is not stored yet (of repeats the lowest ``page_id``) become
@@ -44,7 +47,8 @@ def ingest_cycle(articles: DataFrame, store: CycleStore, attempt: Attempt, limit
     in order of arrival; new documents' extracts go to ``extracts``, and those
     that give none, with the reason, to ``rejects``.
     """
-    a = keys.netloc(articles.select("page_id", "url", "html")).withColumnRenamed("netloc", "domain")
+    columns = ["page_id", "url"] + (["html"] if fetched is None else [])
+    a = keys.netloc(articles.select(*columns)).withColumnRenamed("netloc", "domain")
     bad = F.col("url").isNull() | (F.coalesce("domain", F.lit("")) == "")
     attempt.put("quarantine", a.filter(bad))
 
@@ -53,7 +57,9 @@ def ingest_cycle(articles: DataFrame, store: CycleStore, attempt: Attempt, limit
     touched = [r.bucket for r in first.select(store.bucket("documents").alias("bucket")).distinct().collect()]
     done = store.table("documents", before=attempt.cycle).filter(F.col("bucket").isin(touched)).select("url")
     new = first.join(done, "url", "left_anti")
-    docs = attempt.put("documents", a.filter(~bad).join(new, ["url", "page_id"]).dropDuplicates(["url", "page_id"]))
+    found = a.filter(~bad) if fetched is None else \
+        keys.netloc(fetched.select("page_id", "url", "html")).withColumnRenamed("netloc", "domain")
+    docs = attempt.put("documents", found.join(new, ["url", "page_id"]).dropDuplicates(["url", "page_id"]))
 
     pages = docs.select("page_id", "domain")
     main = content_cycle(store, attempt, docs, limit)
@@ -64,12 +70,12 @@ def ingest_cycle(articles: DataFrame, store: CycleStore, attempt: Attempt, limit
 
 
 def run_ingest_stream(spark: SparkSession, polls_dir: str, entries: Callable[[DataFrame], DataFrame], store_dir: str,
-                      checkpoint_dir: str, limit: int = TRAIN_DOC_LIMIT, **stream):
+                      checkpoint_dir: str, limit: int = TRAIN_DOC_LIMIT, fetched: DataFrame | None = None, **stream):
     """Poll files through change detection into :func:`ingest_cycle`.
     ``entries`` gives the articles ``(page_id, url, html)`` that changed polls
-    list (a join with the fetched pages)."""
+    list (a join with the fetched pages), or links into ``fetched`` pages."""
     def then(changes: DataFrame, store: CycleStore, attempt: Attempt) -> None:
-        ingest_cycle(entries(changes.filter("changed")), store, attempt, limit)
+        ingest_cycle(entries(changes.filter("changed")), store, attempt, limit, fetched)
 
     return run_feed_stream(spark, polls_dir, store_dir, checkpoint_dir, then=then, tables=TABLES, buckets=BUCKETS, **stream)
 
