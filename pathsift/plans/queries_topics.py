@@ -143,9 +143,11 @@ bt1 AS (
 bt AS (SELECT id, topic FROM bt1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) = 1)"""
 
 
-def best_topics_of(spark, sf, rows, id_col, text_col):
+def best_topics_of(spark, sf, rows, id_col, text_col, ids=None):
+    """The best topic of each row; ``ids``: the rows' ids, where they are at hand."""
+    blocks = topics.score_blocks(rows.select(id_col) if ids is None else ids)
     counts = text.term_counts(text.doc_tokens(rows, text_col, id_col), id_col)
-    return topics.best_topics(rows, topics.topic_scores(counts, tb.topic_terms(spark, sf), id_col), id_col)
+    return topics.best_topics(rows, topics.topic_scores(counts, tb.topic_terms(spark, sf), id_col, blocks), id_col)
 
 
 @query("i6_main_topic_stored", f"""WITH {ov.TOPIC_TERMS}, {best_topic_sql('documents', 'doc_id', 'text')}
@@ -169,7 +171,7 @@ def i7_topics_of_extracts(spark, sf):
     table.create(ex.withColumn("main_topic", F.when(F.col("content_length") % 2 == 1, F.col("main_topic"))))
     missing = table.read().filter("main_topic IS NULL").select("extract_id")
     rows = ex.select("extract_id", "content").join(missing, "extract_id", "left_semi")
-    table.update(best_topics_of(spark, sf, rows, "extract_id", "content"), ["main_topic"], only_missing=True)
+    table.update(best_topics_of(spark, sf, rows, "extract_id", "content", missing), ["main_topic"], only_missing=True)
     return table.read()
 
 
