@@ -105,12 +105,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["f"], _POW["i"]
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ci: bool = True) -> np.ndarray:
-    """64-bit hashes of byte ranges; ``ci`` folds A-Z to a-z."""
-    fwd, inv = _powers(len(data) + 1)
+def prefix_sums(data: np.ndarray, ci: bool = True) -> np.ndarray:
+    """Sums that hashes of byte ranges are differences of; ``ci`` folds A-Z to a-z."""
+    fwd, _ = _powers(len(data) + 1)
     g = np.empty(len(data) + 1, dtype=U64)
     g[0] = 0
     np.cumsum((_BYTE_CI if ci else _BYTE)[data] * fwd[:len(data)], out=g[1:])
+    return g
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ci: bool = True,
+                 sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte ranges; ``ci`` folds A-Z to a-z.  ``sums``: the
+    data's :func:`prefix_sums`, where several range sets are hashed."""
+    _, inv = _powers(len(data) + 1)
+    g = prefix_sums(data, ci) if sums is None else sums
     return mix64((g[ends] - g[starts]) * inv[starts] + (ends - starts).astype(U64))
 
 

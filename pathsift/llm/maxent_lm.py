@@ -86,8 +86,9 @@ def token_stream(col: pa.Array, tails: int):
     data, offs = common.buffers(col)
     n = len(offs) - 1
     s, e, doc = common.word_ranges(data, offs)
-    h = common.range_hashes(data, s, e)
-    tail = (common.range_hashes(data, np.maximum(e - 2, s), e) % U64(tails)).astype(np.int32)
+    sums = common.prefix_sums(data)
+    h = common.range_hashes(data, s, e, sums=sums)
+    tail = (common.range_hashes(data, np.maximum(e - 2, s), e, sums=sums) % U64(tails)).astype(np.int32)
     words = np.bincount(doc, minlength=n)
     ends = np.cumsum(words) + np.arange(n)
     all_h, all_t = np.full(len(h) + n, END, U64), np.zeros(len(h) + n, np.int32)
@@ -161,31 +162,69 @@ class Model:
         return outer, inner, cls
 
     def class_logits(self, rows):
-        z = self.outer[rows[0]]
+        z = np.take(self.outer, rows[0], axis=0)
         for r in rows[1:]:
-            z += self.outer[r]
+            z += np.take(self.outer, r, axis=0)
         z += self.outer[0]
         return z
 
     def slot_logits(self, rows, cls):
-        z = self.inner_bias[cls]
+        z = np.take(self.inner_bias, cls, axis=0)
         for r in rows:
-            z += self.inner[r]
+            z += np.take(self.inner, r, axis=0)
         return z
 
 
+#: Tokens whose scores are made at a time: few enough to stay in the cache.
+PIECE = 2_048
+#: Rows of a run that are summed across runs; longer runs are summed one by one.
+FEW = 8
+
+
 def _log_softmax(z):
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def _probabilities(logits, n, width):
+    """Softmax of ``logits(piece)`` for ``n`` tokens, piece by piece."""
+    out = np.empty((n, width), np.float32)
+    for k in range(0, n, PIECE):
+        p = slice(k, k + PIECE)
+        np.exp(_log_softmax(logits(p)), out=out[p])
+    return out
+
+
+def _log_chosen(z, at):
+    """Log softmax of one column per row."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(at)), at]
+    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def _row_sums(rows, err):
     """Sums of ``err`` by row number."""
+    if rows.max() < 1 << 16:
+        rows = rows.astype(np.uint16)       # sorted by radix
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    return sorted_rows[first], np.add.reduceat(err[order], first, axis=0)
+    count = np.diff(first, append=len(rows))
+    out = np.take(err, order[first], axis=0)
+    # runs of up to FEW: their second rows are summed at once, then their third rows, ...
+    run = np.flatnonzero((count > 1) & (count <= FEW))
+    rest = np.take(err, order[first[run] + 1], axis=0)
+    for k in range(2, FEW):
+        longer = np.flatnonzero(count[run] > k)
+        rest[longer] += np.take(err, order[first[run[longer]] + k], axis=0)
+    out[run] += rest
+    many = count > FEW
+    if many.any():
+        rows_of = np.take(err, order[np.repeat(many, count)], axis=0)
+        size = count[many]
+        out[many] = np.add.reduceat(np.ascontiguousarray(rows_of.T), np.cumsum(size) - size, axis=1).T
+    return sorted_rows[first], out
 
 
 def _step(m: Model, sym, doc, acc, touched):
@@ -196,10 +235,10 @@ def _step(m: Model, sym, doc, acc, touched):
     for k in range(0, len(sym), cfg.chunk):
         part = slice(k, min(k + cfg.chunk, len(sym)))
         rows, c = outer[:, part], cls[part]
-        err = np.exp(_log_softmax(m.class_logits(rows)))
+        err = _probabilities(lambda p: m.class_logits(rows[:, p]), len(c), cfg.classes)  # noqa: B023
         err[np.arange(len(c)), c] -= 1
-        for r in (np.zeros(len(c), np.int64), *rows):
-            u, g = _row_sums(r, err)
+        bias = np.zeros(1, np.int64), np.add.reduceat(np.ascontiguousarray(err.T), [0], axis=1).T
+        for u, g in (bias, *(_row_sums(r, err) for r in rows)):
             acc[0][u] += g * g
             m.outer[u] -= cfg.rate * g / np.sqrt(acc[0][u])
             touched[0][u] = True
@@ -207,7 +246,7 @@ def _step(m: Model, sym, doc, acc, touched):
         if not len(at):
             continue
         rows, c, slot = inner[:, part][:, at], c[at], sym[part][at] % cfg.slots
-        err = np.exp(_log_softmax(m.slot_logits(rows, c)))
+        err = _probabilities(lambda p: m.slot_logits(rows[:, p], c[p]), len(c), cfg.slots)  # noqa: B023
         err[np.arange(len(at)), slot] -= 1
         for r in rows:
             u, g = _row_sums(r, err)
@@ -350,14 +389,13 @@ def _score(model: Model):
             sym = model.symbols(h, t)
             outer, inner, cls = model.history(sym, doc)
             logp = np.zeros(len(sym))
-            for k in range(0, len(sym), cfg.chunk):
-                part = slice(k, min(k + cfg.chunk, len(sym)))
+            for k in range(0, len(sym), PIECE):
+                part = slice(k, min(k + PIECE, len(sym)))
                 c = cls[part]
-                lp = _log_softmax(model.class_logits(outer[:, part]))[np.arange(len(c)), c].astype(float)
+                lp = _log_chosen(model.class_logits(outer[:, part]), c).astype(float)
                 at = np.flatnonzero(sym[part] < heads)
                 if len(at):
-                    z = _log_softmax(model.slot_logits(inner[:, part][:, at], c[at]))
-                    lp[at] += z[np.arange(len(at)), sym[part][at] % cfg.slots]
+                    lp[at] += _log_chosen(model.slot_logits(inner[:, part][:, at], c[at]), sym[part][at] % cfg.slots)
                 logp[part] = lp
             logp /= np.log(10)
             in_tail = sym >= heads
