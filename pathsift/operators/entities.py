@@ -56,26 +56,31 @@ def gazetteer_mentions(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
     positions; repeated phrases with other labels are hits of their own.
     """
     lines = (tokens.groupBy("doc_id", "sent")
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("words")))
+             .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("words")))
     at = F.col("i")
-    word = lambda k: F.get("words", at + k)
+    # a position goes on with the next words, not with its whole sentence
+    word = lambda k: F.col(f"w{k}")
 
     def head(k):
         """The ``k`` words from position ``i`` on, null where there are fewer or a gap."""
         there = F.coalesce(word(k - 1)["pos"] == word(0)["pos"] + k - 1, F.lit(False))
         return F.when(there, F.struct(F.lit(k).alias("k"), F.concat_ws(" ", *[word(j)["token"] for j in range(k)]).alias("head")))
 
-    starts = (lines.select("doc_id", "sent", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i"))
-              .select("doc_id", "sent", "i", F.explode(F.array_compact(F.array(*[head(k) for k in range(1, HEAD + 1)]))).alias("h"))
-              .select("doc_id", "sent", "i", "h.k", "h.head"))
+    n = F.size("words")
+    ahead = F.arrays_zip(*[F.slice("words", k + 1, n).alias(f"w{k}") for k in range(HEAD)])
+    starts = (lines.select("doc_id", "sent", F.posexplode(ahead).alias("i", "w"))
+              .select("doc_id", "sent", "i", *[F.col(f"w.w{k}").alias(f"w{k}") for k in range(HEAD)])
+              .select("doc_id", "sent", "i", F.explode(F.array(*[head(k) for k in range(1, HEAD + 1)])).alias("h"))
+              .filter(F.col("h").isNotNull()).select("doc_id", "sent", "i", "h.k", "h.head"))
     terms = F.split("phrase", " ")
     book = gazetteer.select("phrase", "label", terms.alias("terms"), F.size(terms).alias("n"),
                             F.least(F.size(terms), F.lit(HEAD)).alias("k"),
                             F.array_join(F.slice(terms, 1, HEAD), " ").alias("head")).distinct()
     found = starts.join(book, ["k", "head"]).join(lines, ["doc_id", "sent"])
+    # no lambda: with one the join would copy the whole sentence for every phrase that starts in it
     part = F.slice("words", at + 1, F.col("n"))
-    whole = (F.transform(part, lambda w: w["token"]) == F.col("terms")) & \
-        (F.element_at(part, -1)["pos"] == F.element_at(part, 1)["pos"] + F.col("n") - 1)
+    whole = (F.get("words", at + F.col("n") - 1)["pos"] == F.get("words", at)["pos"] + F.col("n") - 1) & \
+        (part.getField("token") == F.col("terms"))
     hits = found.filter(whole).select("doc_id", "sent", F.get("words", at)["pos"].alias("start"), "n",
                                       F.col("phrase").alias("text"), "label")
     # by start, longer ones first; equal spans are peers, which don't cover each other
