@@ -82,9 +82,9 @@ def pair_distances(pairs: DataFrame, texts: DataFrame, partitions: int) -> DataF
     """
     tx = texts.select(F.col("tid").alias("x"), F.col("item").alias("xs"))
     ty = texts.select(F.col("tid").alias("y"), F.col("item").alias("ys"))
-    # pairs of one text together (their match vectors are shared), a frequent text in several pieces
+    # pairs of one text together (one pass over it serves them all), a frequent text in several pieces
     p = (pairs.join(tx, "x").join(ty, "y")
-         .repartition(partitions, F.col("x"), F.pmod(F.hash("y"), F.lit(4))))
+         .repartition(partitions, F.col("x"), F.pmod(F.hash("y"), F.lit(4))).sortWithinPartitions("x"))
     same = F.col("xs") == F.col("ys")
     return p.select("x", "y", F.when(same, F.lit(0)).otherwise(edit_distance_udf("xs", "ys")).alias("lev"))
 
