@@ -6,7 +6,9 @@ batch of documents at a time, so per-word Python objects are never built.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -49,6 +51,46 @@ def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Seconds between two times that a worker gives memory back.
+GIVE_BACK_S = 0.25
+_given_back = [0.0]
+
+
+def give_back() -> None:
+    """Returns to the system what this Python worker has freed.  Workers outlive
+    their tasks and wait with all they ever held, two for each core where a
+    stage has two Python steps; an executor's limit counts the idle ones too."""
+    now = time.monotonic()
+    if now - _given_back[0] < GIVE_BACK_S:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # not glibc: it has no such call
+        pass
+    _given_back[0] = time.monotonic()
+
+
+def lean(run):
+    """A function of ``mapInArrow`` that gives memory back at the end of its task."""
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return lean_run
+
+
+def lean_groups(run):
+    """A function of ``applyInArrow`` that gives memory back after a group."""
+    def lean_run(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+    return lean_run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

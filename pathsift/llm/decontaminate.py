@@ -244,7 +244,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Settings | None = None)
     common.arrow_rows(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                              F.coalesce("text", F.lit("")).alias("text"))
-    pieces = common.saved(items.mapInArrow(_cut(cfg), PIECES), "benchmark-pieces")
+    pieces = common.saved(items.mapInArrow(common.lean(_cut(cfg)), PIECES), "benchmark-pieces")
     total = pieces.agg(F.sum(F.octet_length("body"))).first()[0]
     blocks = common.n_partitions(total, cfg.block_bytes)
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks)))
@@ -253,7 +253,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Settings | None = None)
     for k in range(blocks):
         # a block holds about block_bytes; each piece is below twice the piece length
         index = Index(dealt.filter(F.col("block") == k).orderBy("item_id", "piece").collect(), cfg)
-        found = texts.mapInArrow(_search(index), OUT)
+        found = texts.mapInArrow(common.lean(_search(index)), OUT)
         out = found if out is None else out.unionByName(found)
     return out
 

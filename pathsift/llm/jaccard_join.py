@@ -178,7 +178,7 @@ def frequency_levels(measured: DataFrame, cfg: Settings) -> np.ndarray:
     while tasks > 1:
         tasks = -(-tasks // cfg.fan_in)
         parts = (parts.withColumn("task", (F.col("task") % tasks).cast("int"))
-                 .groupBy("block", "task").applyInArrow(_add_counts(), COUNTS))
+                 .groupBy("block", "task").applyInArrow(common.lean_groups(_add_counts()), COUNTS))
     out = np.zeros(1 << cfg.sketch_bits, np.uint32)
     size = 1 << cfg.block_bits
     for r in parts.collect():
@@ -347,9 +347,9 @@ def class_filter(classes: DataFrame, cfg: Settings) -> np.ndarray:
     sets that no pair asks for, never lose one."""
     count = classes.count()
     bits = min(cfg.filter_bits, max(FILTER_BLOCK, int(64 * count).bit_length()))
-    marks = (classes.mapInArrow(_slot_rows(bits), "slot bigint").distinct()
+    marks = (classes.mapInArrow(common.lean(_slot_rows(bits)), "slot bigint").distinct()
              .withColumn("block", F.shiftright("slot", FILTER_BLOCK))
-             .groupBy("block").applyInArrow(_filter_block(), FILTER))
+             .groupBy("block").applyInArrow(common.lean_groups(_filter_block()), FILTER))
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (FILTER_BLOCK - 3)
     for r in marks.collect():
@@ -428,10 +428,10 @@ def _verified(pairs: DataFrame, text: DataFrame, cfg: Settings) -> DataFrame:
     """The links among written pairs (a, b).  Only the sets that these pairs
     name are made; one shuffle of them serves both joins."""
     named = class_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg)
-    sets = text.mapInArrow(_sets(named, cfg), SETS).dropDuplicates(["cls"])
+    sets = text.mapInArrow(common.lean(_sets(named, cfg)), SETS).dropDuplicates(["cls"])
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    return common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(_verify(cfg), LINKS), "links")
+    return common.saved(pairs.join(b, "b").join(a, "a").mapInArrow(common.lean(_verify(cfg)), LINKS), "links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -488,12 +488,12 @@ def _resolved(rows: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     key); cls, component_id and label, the component's least class, of every class."""
     common.arrow_rows(rows.sparkSession)
     text = rows.select("text")
-    measured = common.saved(rows.mapInArrow(_measure(cfg), SIZES), "set-sizes")
+    measured = common.saved(rows.mapInArrow(common.lean(_measure(cfg)), SIZES), "set-sizes")
     levels = frequency_levels(measured, cfg)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     buckets = common.n_partitions(total, cfg.bucket_bytes)
-    members = common.saved(text.mapInArrow(_prefixes(levels, buckets, cfg), ENTRIES)
-                           .groupBy("bucket").applyInArrow(_groups(cfg), MEMBERS), "members")
+    members = common.saved(text.mapInArrow(common.lean(_prefixes(levels, buckets, cfg)), ENTRIES)
+                           .groupBy("bucket").applyInArrow(common.lean_groups(_groups(cfg)), MEMBERS), "members")
     sized = measured.filter("block is null")
     classes = common.saved(sized.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in BITS]), "classes")

@@ -42,7 +42,7 @@ def _lengths(path: str):
 
 def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     common.arrow_rows(docs.sparkSession)
-    return common.id_and_text(docs).mapInArrow(_lengths(tokenizer), LENGTHS)
+    return common.id_and_text(docs).mapInArrow(common.lean(_lengths(tokenizer)), LENGTHS)
 
 
 def optimal_widths(widths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:

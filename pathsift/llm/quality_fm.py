@@ -136,7 +136,9 @@ class Machine:
 
         @F.pandas_udf("double")
         def fm_score(t: pd.Series) -> pd.Series:
-            return pd.Series(machine.score_texts(pa.array(t, type=pa.string(), from_pandas=True)))
+            scores = machine.score_texts(pa.array(t, type=pa.string(), from_pandas=True))
+            common.give_back()
+            return pd.Series(scores)
         return fm_score(F.coalesce(text, F.lit("")))
 
 

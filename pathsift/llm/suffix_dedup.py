@@ -461,9 +461,9 @@ def id_filter(ids: DataFrame, cfg: Settings) -> np.ndarray:
     other documents the shuffle, and lets a few of them through."""
     from .jaccard_join import FILTER, FILTER_BLOCK, _filter_block
     bits = min(cfg.filter_bits, max(FILTER_BLOCK, int(32 * ids.count()).bit_length()))
-    marks = (ids.select("doc_id").mapInArrow(_id_marks(bits), "slot bigint").distinct()
+    marks = (ids.select("doc_id").mapInArrow(common.lean(_id_marks(bits)), "slot bigint").distinct()
              .withColumn("block", F.shiftright("slot", FILTER_BLOCK))
-             .groupBy("block").applyInArrow(_filter_block(), FILTER))
+             .groupBy("block").applyInArrow(common.lean_groups(_filter_block()), FILTER))
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (FILTER_BLOCK - 3)
     for r in marks.collect():
@@ -497,14 +497,14 @@ def repeated_spans(docs: DataFrame, cfg: Settings) -> DataFrame:
     rows = _keyed(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     parts = common.n_partitions(total, cfg.anchor_bucket)
-    sent = rows.mapInArrow(_send_anchors(parts, cfg), ANCHORS)
-    places = common.saved(sent.groupBy("bucket").applyInArrow(_repeated(parts), PARTS)
-                          .groupBy("shard").applyInArrow(_by_document(), REPEATED), "repeated-anchors")
+    sent = rows.mapInArrow(common.lean(_send_anchors(parts, cfg)), ANCHORS)
+    places = common.saved(sent.groupBy("bucket").applyInArrow(common.lean_groups(_repeated(parts)), PARTS)
+                          .groupBy("shard").applyInArrow(common.lean_groups(_by_document()), REPEATED), "repeated-anchors")
     count = places.agg(F.sum(F.octet_length("places") / 4)).first()[0]
     buckets = common.n_partitions(count, cfg.merge_bucket)
-    texts = rows.mapInArrow(_only_marked(id_filter(places, cfg)), "doc_id bigint, digest bigint, text string")
-    runs = texts.join(places, ["doc_id", "digest"]).mapInArrow(_make_runs(buckets, cfg), RUNS)
-    spans = common.saved(runs.groupBy("bucket").applyInArrow(_merge_bucket(cfg), SPANS), "spans")
+    texts = rows.mapInArrow(common.lean(_only_marked(id_filter(places, cfg))), "doc_id bigint, digest bigint, text string")
+    runs = texts.join(places, ["doc_id", "digest"]).mapInArrow(common.lean(_make_runs(buckets, cfg)), RUNS)
+    spans = common.saved(runs.groupBy("bucket").applyInArrow(common.lean_groups(_merge_bucket(cfg)), SPANS), "spans")
     return spans.groupBy("doc_id", "digest").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -561,8 +561,8 @@ def removals(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     cfg = cfg or Settings()
     spans = common.saved(repeated_spans(docs, cfg), "document-spans")
-    rows = _keyed(docs).mapInArrow(_prepare(id_filter(spans, cfg)), RESULT + ", digest bigint, text string")
-    return rows.join(spans, ["doc_id", "digest"], "left").mapInArrow(_finisher(), RESULT)
+    rows = _keyed(docs).mapInArrow(common.lean(_prepare(id_filter(spans, cfg))), RESULT + ", digest bigint, text string")
+    return rows.join(spans, ["doc_id", "digest"], "left").mapInArrow(common.lean(_finisher()), RESULT)
 
 
 def cut_documents(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
@@ -582,6 +582,7 @@ def cut_documents(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
                 data = np.frombuffer(t.encode(), np.uint8)
                 t = _kept(data, _spans_of(list(parts))).tobytes().decode("utf-8", "ignore")
             out.append(t)
+        common.give_back()
         return pd.Series(out, dtype=object)
 
     joined = docs.join(spans, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_span_id"))
