@@ -39,6 +39,9 @@ PIECES = "item_id bigint, piece int, item_start int, item_total int, body binary
 OUT = ("doc_id bigint, item_id bigint, piece int, start int, stop int, edits int, item_bytes int, shared_grams int, "
        "item_start int, item_stop int, item_total int")
 
+#: Cells of the tables of alignments made at once (a few bytes each).
+CELLS = 1 << 18
+
 _KEEP = np.zeros(256, dtype=bool)
 _KEEP[128:] = _KEEP[48:58] = _KEEP[97:123] = True
 
@@ -109,6 +112,7 @@ class Index:
         self.starts, self.totals = [r["item_start"] for r in rows], [r["item_total"] for r in rows]
         self.body = [bytes(r["body"]) for r in rows]
         self.m = np.array([len(x) for x in self.body], dtype=np.int64)
+        self.text, self.at = np.frombuffer(b"".join(self.body), np.uint8), np.cumsum(self.m) - self.m
         self.budget = np.minimum((cfg.rate * self.m).astype(np.int64), (self.m - q) // q)
         self.bound = self.m - q + 1 - q * self.budget
         self.width = 1 << np.ceil(np.log2(np.maximum(self.budget + 1, 16))).astype(np.int64)
@@ -164,50 +168,126 @@ class Index:
         return key // span // len(self.m), item, (key % span) * self.width[item] - self.m[item], count
 
 
+def _rows(body, first, m, text, lo, n, low, width, limit, trace: bool):
+    """The rows of :func:`alignments`, all lanes a row at a time; a lane ends
+    where its item does or where no path is left.  Without ``trace`` only the
+    edits are right."""
+    w, rows, top = int(width.max()), int(m.max()), int(limit.max()) + 1
+    kind = np.int16 if w + top < 1 << 15 else np.int32      # costs stop at top
+    ranks = np.arange(w, dtype=kind)
+    spot = low[:, None] + np.arange(w + rows)               # text position, row 0's first diagonal in front
+    chars = text[np.clip(lo[:, None] + spot, 0, len(text) - 1)]
+    item = body[np.minimum(first[:, None] + np.arange(rows), len(body) - 1)]
+    edge = np.where(spot >= n[:, None], top, 0).astype(kind)
+    outside = np.where(ranks >= width[:, None], top, 0).astype(kind)
+    cost = np.where((spot[:, :w] >= 0) & (spot[:, :w] <= n[:, None]), outside, top).astype(kind)
+    origin = np.broadcast_to(ranks, cost.shape)
+    lane, ends = np.arange(len(m)), set(m.tolist())
+    edits, start, stop = (np.full(len(m), -1, dtype=np.int64) for _ in range(3))
+    for k in range(rows):
+        sub = cost + (chars[:, k:k + w] != item[:, k:k + 1])
+        down = np.empty_like(cost)                          # the item's character is left out
+        down[:, :-1], down[:, -1] = cost[:, 1:] + 1, top
+        step = np.minimum(sub, down) - ranks
+        run = np.minimum.accumulate(step, axis=1)           # text characters are put in
+        if trace:
+            came = np.where(sub <= down, origin, np.append(origin[:, 1:], origin[:, :1], axis=1))
+            lead = np.maximum.accumulate(np.where(step == run, ranks, 0), axis=1)
+            origin = np.take_along_axis(came, lead.astype(np.int64), axis=1)
+        cost = np.minimum(run + ranks, top)
+        np.maximum(cost, edge[:, k:k + w], out=cost)
+        np.maximum(cost, outside, out=cost)
+        if k % 4 != 3 and k + 1 not in ends:
+            continue
+        least = cost.min(axis=1)
+        go = least <= limit
+        if k + 1 in ends:
+            at = np.flatnonzero(go & (m == k + 1))
+            end = np.argmin(cost[at], axis=1)
+            edits[lane[at]] = least[at]
+            start[lane[at]] = low[at] + origin[at, end]
+            stop[lane[at]] = low[at] + end + m[at]
+            go &= m > k + 1
+        if not go.any():
+            break
+        if not go.all():
+            chars, item, edge, outside, cost, origin = (a[go] for a in (chars, item, edge, outside, cost, origin))
+            lane, low, m, limit = lane[go], low[go], m[go], limit[go]
+    return edits, start, stop
+
+
+def alignments(body, first, m, text, lo, hi, low, high, limit):
+    """Many banded alignments at once: fewest edits that turn an item,
+    ``body[first:first + m]``, into a stretch of ``text[lo:hi]``, as (edits,
+    start, stop), the leftmost best end; edits are -1 beyond ``limit``.
+
+    All but the two texts are arrays with an entry per alignment.  Start and end
+    in the text are free and count from ``lo``.  Paths stay on the diagonals
+    (text position less item position) from ``low`` to ``high``, so a row has
+    ``high - low + 1`` cells.  Where texts end or are empty no path goes on."""
+    text, body = (x if len(x) else np.zeros(1, np.uint8) for x in (text, body))
+    width, out = high - low + 1, np.full((3, len(m)), -1, dtype=np.int64)
+    order = np.lexsort((m, width))
+    cells = (width + m)[order]
+    at = 0
+    while at < len(order):
+        size = np.arange(1, len(order) - at + 1) * np.maximum.accumulate(cells[at:])
+        part = order[at:at + max(1, int(np.searchsorted(size, CELLS, side="right")))]
+        at += len(part)
+        for trace in (False, True):                         # most have no match: where they start is not asked
+            out[:, part] = _rows(body, first[part], m[part], text, lo[part], (hi - lo)[part], low[part], width[part],
+                                 limit[part], trace)
+            part = part[out[0, part] >= 0]
+            if not len(part):
+                break
+    return out
+
+
 def banded_alignment(item: np.ndarray, text: np.ndarray, limit: int, low: int | None = None,
                      high: int | None = None) -> tuple[int, int, int] | None:
-    """Fewest edits that turn ``item`` into a stretch of ``text``, as (edits,
-    start, stop), the leftmost best end; None beyond ``limit``.
-
-    Start and end in ``text`` are free.  Paths stay on the diagonals (text
-    position less item position) from ``low`` to ``high``, so a row has
-    ``high - low + 1`` cells; without them all diagonals count."""
+    """One of :func:`alignments`, or None beyond ``limit``; without ``low`` and
+    ``high`` all diagonals count."""
     n, m = len(text), len(item)
     low, high = -m if low is None else low, n if high is None else high
-    diag = np.arange(low, high + 1)
-    far = m + n + 1
-    ranks = np.arange(len(diag))
-    cost, origin = np.where((diag >= 0) & (diag <= n), 0, far), diag.copy()
-    for k, c in enumerate(item):
-        j = diag + k + 1                                    # text characters taken at the end of this row
-        here = (j >= 1) & (j <= n)
-        sub = np.where(here, cost + (text[np.clip(j - 1, 0, n - 1)] != c), far) if n else np.full(len(j), far)
-        down = np.append(cost[1:], far) + 1
-        new = np.where((j >= 0) & (j <= n), np.minimum(sub, down), far)
-        from_ = np.where(sub <= down, origin, np.append(origin[1:], 0))
-        run = np.minimum.accumulate(new - ranks)
-        lead = np.maximum.accumulate(np.where(new - ranks == run, ranks, 0))
-        cost, origin = np.where((j >= 0) & (j <= n), run + ranks, far), from_[lead]
-        if cost.min() > limit:
-            return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(origin[end]), int(diag[end]) + m) if cost[end] <= limit else None
-
-
-def _verify(index: Index, doc: np.ndarray, item: int, low: int):
-    """Best match of an item in a band: (edits, start, stop) in the document.
-    The counted diagonals are ``width + e``; a path strays e from them."""
-    m, e, width = int(index.m[item]), int(index.budget[item]), int(index.width[item])
-    lo = max(0, low - e)
-    hi = min(len(doc), low + width + 2 * e + m)
-    if hi <= lo:
-        return None
-    stretch = doc[lo:hi]
-    at = stretch.tobytes().find(index.body[item])
-    if at >= 0:
-        return 0, lo + at, lo + at + m
-    found = banded_alignment(np.frombuffer(index.body[item], np.uint8), stretch, e, low - e - lo, low + width + 2 * e - lo)
-    return found and (found[0], lo + found[1], lo + found[2])
+    if not m:
+        return (0, max(low, 0), max(low, 0)) if max(low, 0) <= min(high, n) else None
+    found = alignments(item, *np.array([[0], [m]]), text, *np.array([[0], [n], [low], [high], [limit]]))[:, 0].tolist()
+    return tuple(found) if found[0] >= 0 else None
+
+
+def _best(index: Index, x: np.ndarray, offs: np.ndarray) -> dict:
+    """Best match of every item in every document by the bands of
+    :meth:`Index.regions`: (edits, start, stop, shared q-grams).  The counted
+    diagonals are ``width + e``; a path strays e from them."""
+    doc, item, low, shared = index.regions(x, offs)
+    m, e = index.m[item], index.budget[item]
+    high = low + index.width[item] + 2 * e
+    low = low - e
+    lo, hi = np.maximum(low, 0), np.minimum(offs[doc + 1] - offs[doc], high + m)
+    left = hi > lo
+    doc, item, low, high, lo, hi, m, e, shared = (a[left] for a in (doc, item, low, high, lo, hi, m, e, shared))
+    first = offs[doc] + lo
+    best: dict = {}
+
+    def keep(k, edits, start, stop):
+        key, found = (int(doc[k]), int(item[k])), (int(edits), int(start), int(stop))
+        if best.get(key) is None or found < best[key][:3]:
+            best[key] = (*found, int(shared[k]))
+
+    rest = []
+    for k, (a, b, i) in enumerate(zip(first.tolist(), (offs[doc] + hi).tolist(), item.tolist(), strict=True)):
+        at = x[a:b].tobytes().find(index.body[i])
+        if at >= 0:
+            keep(k, 0, lo[k] + at, lo[k] + at + m[k])
+        else:
+            rest.append(k)
+    # where an item is held without an edit, no other band has a better match
+    r = np.array([k for k in rest if (doc[k], item[k]) not in best], dtype=np.int64)
+    edits, start, stop = alignments(index.text, index.at[item[r]], m[r], x, first[r], offs[doc[r]] + hi[r],
+                                    low[r] - lo[r], high[r] - lo[r], e[r])
+    for k in np.flatnonzero(edits >= 0):
+        keep(r[k], edits[k], lo[r[k]] + start[k], lo[r[k]] + stop[k])
+    return best
 
 
 def _search(index: Index):
@@ -217,11 +297,7 @@ def _search(index: Index):
         for b in common.bounded(batches):
             x, offs, data, raw, src = normalised(b.column("text"))
             ids = b.column("doc_id").to_pylist()
-            best: dict = {}
-            for d, i, low, n in zip(*(a.tolist() for a in index.regions(x, offs)), strict=True):
-                found = _verify(index, x[offs[d]:offs[d + 1]], i, low)
-                if found and (best.get((d, i)) is None or found < best[d, i][:3]):
-                    best[d, i] = (*found, n)
+            best = _best(index, x, offs)
             if not best:
                 continue
             lead = np.zeros(len(data) + 1, dtype=np.int64)

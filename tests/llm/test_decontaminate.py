@@ -1,6 +1,7 @@
 """Operator 1: matches against all alignments, half quotes, several blocks."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -99,3 +100,73 @@ def test_half_quotes_are_found(spark):
     got = {(r["doc_id"], r["item_id"]): r["covered"] for r in dc.covered(found).collect()}
     assert all(d == i for d, i in got) and len(got) >= 36
     assert all(0.1 < c <= 0.75 for c in got.values())
+
+
+def plain_band(item, text, limit, low, high):
+    """(edits, start, stop) on the diagonals from low to high, cell by cell; ties
+    as in the operator: no gap before a gap in the text, then the shortest
+    run of added text characters; the leftmost best end."""
+    m, n, far = len(item), len(text), 10 ** 6
+    cost = {d: (0, d) if 0 <= d <= n else (far, d) for d in range(low, high + 1)}
+    for k in range(m):
+        new, before = {}, None
+        for d in range(low, high + 1):
+            j = d + k + 1
+            cell = (far, 0)
+            if 0 <= j <= n:
+                sub = cost[d][0] + (text[j - 1] != item[k]) if j else far
+                down = cost[d + 1][0] + 1 if d < high else 2 * far
+                cell = (sub, cost[d][1]) if sub <= down else (down, cost[d + 1][1])
+                if before and before[0] + 1 < cell[0]:
+                    cell = (before[0] + 1, before[1])
+            new[d] = before = cell
+        cost = new
+    edits, end = min((c[0], d) for d, c in cost.items())
+    return (edits, cost[end][1], end + m) if edits <= limit else (-1, -1, -1)
+
+
+@pytest.mark.parametrize("cells", [1, 300, 1 << 20])
+def test_many_alignments_at_once_are_those_of_each(cells, monkeypatch):
+    monkeypatch.setattr(dc, "CELLS", cells)
+    rnd = random.Random(5)
+    lanes = []
+    for k in range(400):
+        item = "".join(rnd.choice("ab" if k % 2 else "abcd") for _ in range(rnd.randint(1, 24)))
+        text = "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 20))) + edited(rnd, item, 0.2) * (k % 3 > 0)
+        low = rnd.randint(-len(item), len(text))
+        lanes.append((item.encode(), text.encode(), rnd.randint(0, 6), low, low + rnd.randint(0, 20)))
+    m, n, limit, low, high = (np.array(v) for v in zip(*((len(i), len(t), *r) for i, t, *r in lanes), strict=True))
+    lo = np.cumsum(n) - n
+    got = dc.alignments(np.frombuffer(b"".join(v[0] for v in lanes), np.uint8), np.cumsum(m) - m, m,
+                        np.frombuffer(b"".join(v[1] for v in lanes), np.uint8), lo, lo + n, low, high, limit)
+    want = [plain_band(*v) for v in lanes]
+    assert [tuple(v) for v in got.T.tolist()] == want and 100 < sum(v[0] >= 0 for v in want) < 390
+
+
+def test_regions_do_not_cost_a_call_per_row(spark):
+    """Texts that share q-grams with a piece, but no match, are refused together:
+    the calls a batch takes hardly grow with their number."""
+    rnd = random.Random(11)
+    body = kept(words(rnd, 60))[:100]
+    cfg = dc.Settings()
+    index = dc.Index([{"item_id": 1, "piece": 0, "item_start": 0, "item_total": 100, "body": body}], cfg)
+
+    def calls(n):
+        texts = [(body[:60] + words(rnd, 20).encode()).decode() for _ in range(n)]
+        batch = dc.pa.RecordBatch.from_arrays([dc.pa.array(range(n)), dc.pa.array(texts)], ["doc_id", "text"])
+        x, offs, *_ = dc.normalised(batch.column("text"))
+        assert len(index.regions(x, offs)[0]) >= n
+        count = [0]
+
+        def tick(frame, event, arg):
+            count[0] += event in ("call", "c_call")
+        search = dc._search(index)
+        sys.setprofile(tick)
+        try:
+            rows = [r for b in search([batch]) for r in b.to_pylist()]
+        finally:
+            sys.setprofile(None)
+        assert not rows
+        return count[0]
+
+    assert calls(300) - calls(100) < 200 * 30
